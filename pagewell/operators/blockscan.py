@@ -27,8 +27,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # A scorer is prepared once per question block. It yields (rows, questions,
-# scores): index arrays into the batch and the block, and a score matrix with
-# NaN where there is no hit.
+# scores): index arrays into the batch and the block, and a (questions x rows)
+# score matrix with minus infinity where there is no hit.
 Scored = tuple[np.ndarray, np.ndarray, np.ndarray]
 Scorer = Callable[[pa.RecordBatch], Iterator[Scored]]
 Prepare = Callable[[pa.Table], Scorer]
@@ -39,11 +39,17 @@ DECIMALS = 4
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds on what one task holds."""
+    """Bounds on what one task holds and on how many lists are merged.
+
+    ``block_rows`` and ``block_values`` bound a question block, ``group_rows`` the
+    chunks of a grid task. A scan uses at most ``scan_waves`` tasks per core, since
+    every task sends its own best k, and they are merged ``merge_ways`` at a time.
+    """
 
     block_rows: int = 20_000
     block_values: int = 8_000_000
     group_rows: int = 50_000
+    scan_waves: int = 4
     merge_ways: int = 16
 
 
@@ -59,12 +65,18 @@ class RunningBest:
         self.n_pending = 0
 
     def offer(self, keys: list[np.ndarray], rows, questions, scores) -> None:
-        with np.errstate(invalid="ignore"):
-            r, c = np.nonzero(scores >= self.floor[questions])
+        """Take a (questions x rows) block of scores."""
+        wanted = scores >= self.floor[questions, None]
+        if scores.shape[1] > self.k and np.count_nonzero(wanted) > 2 * self.k * len(questions):
+            # k rows of this block alone reach its k-th score: a floor for each question.
+            kth = np.partition(scores, -self.k, axis=1)[:, -self.k]
+            self.floor[questions] = np.maximum(self.floor[questions], kth)
+            wanted = scores >= self.floor[questions, None]
+        c, r = np.nonzero(wanted & (scores > -np.inf))
         if len(r):
-            self.pending.append((questions[c], scores[r, c], [key[rows[r]] for key in keys]))
+            self.pending.append((questions[c], scores[c, r], [key[rows[r]] for key in keys]))
             self.n_pending += len(r)
-            if self.n_pending > max(MATRIX_CELLS, 2 * len(self.q)):
+            if self.n_pending > max(MATRIX_CELLS // 2, 2 * len(self.q)):
                 self.settle()
 
     def settle(self) -> None:
@@ -79,7 +91,7 @@ class RunningBest:
         q, s, keys = q[order], s[order], [key[order] for key in keys]
         place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
         last = place == self.k - 1
-        self.floor[q[last]] = s[last]
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], s[last])
         keep = place < self.k
         self.q, self.s, self.kept = q[keep], s[keep], [key[keep] for key in keys]
 
@@ -146,7 +158,8 @@ def top_k(
         def scan(batches):
             yield best_of(batches, shared.value, prepare, k, keys, schema)
 
-        lists = chunks.mapInArrow(scan, ddl)
+        tasks = limits.scan_waves * chunks.sparkSession.sparkContext.defaultParallelism
+        lists = chunks.coalesce(tasks).mapInArrow(scan, ddl)
     else:
         lists = grid(chunks, questions, limits, cells, keys).applyInArrow(
             lambda left, right: pa.Table.from_batches(

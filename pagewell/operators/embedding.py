@@ -2,13 +2,14 @@
 
 Any model fits the encoder slot (`embed_with`). The default needs no model: each
 token adds its inverse document frequency to one of ``dim`` places chosen by a
-hash. Frequencies are counted per hash slot, not per token, so the table of
-weights has at most ``SLOTS`` rows however large the corpus grows, and sending
-it to every task is safe by construction.
+hash. Weights belong to hash slots, not to tokens, so their table has at most
+``SLOTS`` rows however large the corpus grows, and sending it to every task is
+safe by construction.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,8 +30,9 @@ def token_hash(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 7), 16, 10).cast("int")
 
 
-def token_hashes(tokens: Column) -> Column:
-    return F.transform(tokens, token_hash)
+def hash_of(token: str) -> int:
+    """The same as `token_hash`, for the distinct tokens of a batch."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:7], 16)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -38,23 +40,17 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
-def slot_frequencies(chunks: DataFrame) -> DataFrame:
-    """(slot, n_chunks): in how many chunks a hash slot occurs.
+def slot_weights(terms: DataFrame, totals: DataFrame) -> DataFrame:
+    """(slot, weight): idf in whole ten-thousandths, so that sums do not depend on order.
 
-    Counted map-side first, so a token found everywhere costs one row per task.
+    A slot occurs as often as its tokens together, at most in every chunk.
+    ``terms`` is (token, n_chunks), so the corpus is not read for this.
     """
-    slots = F.array_distinct(F.transform("tokens", lambda t: token_hash(t) % SLOTS))
-    return (
-        chunks.select(F.explode(slots).alias("slot"))
-        .groupBy("slot")
-        .agg(F.count(F.lit(1)).alias("n_chunks"))
-    )
-
-
-def slot_weights(slots: DataFrame, totals: DataFrame) -> DataFrame:
-    """(slot, weight): idf in whole ten-thousandths, so that sums do not depend on order."""
     n = totals.select(F.col("n_chunks").cast("double")).scalar()
-    scaled = F.round(idf(n, F.col("n_chunks").cast("double")) * WEIGHT_SCALE)
+    slots = terms.groupBy((token_hash(F.col("token")) % SLOTS).alias("slot")).agg(
+        F.sum("n_chunks").cast("double").alias("df")
+    )
+    scaled = F.round(idf(n, F.least(F.col("df"), n)) * WEIGHT_SCALE)
     return slots.select("slot", scaled.cast("int").alias("weight"))
 
 
@@ -72,12 +68,16 @@ def list_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten(), np.repeat(np.arange(len(column)), lengths)
 
 
-def hashed_vectors(hashes: pa.Array, weights: np.ndarray, dim: int) -> np.ndarray:
-    values, row = list_rows(hashes)
-    h = values.to_numpy(zero_copy_only=False)
-    place = row * dim + h % dim
-    summed = np.bincount(place, weights[h % SLOTS], minlength=len(hashes) * dim)
-    return (summed / WEIGHT_SCALE).astype(np.float32).reshape(len(hashes), dim)
+def hashed_vectors(tokens: pa.Array, weights: np.ndarray, dim: int) -> np.ndarray:
+    """One vector per list of tokens; each distinct token of the batch is hashed once."""
+    values, row = list_rows(tokens)
+    coded = values.dictionary_encode()
+    h = np.array([hash_of(t) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+    code = coded.indices.to_numpy()
+    summed = np.bincount(
+        row * dim + (h % dim)[code], weights[h % SLOTS][code], minlength=len(tokens) * dim
+    )
+    return (summed / WEIGHT_SCALE).astype(np.float32).reshape(len(tokens), dim)
 
 
 def as_list_array(matrix: np.ndarray) -> pa.Array:
@@ -87,22 +87,26 @@ def as_list_array(matrix: np.ndarray) -> pa.Array:
     )
 
 
+def once(udf):
+    """Keep the optimizer from copying an expensive function below a filter on its result."""
+    return udf.asNondeterministic()
+
+
 def hashed_embedding(df: DataFrame, weights: np.ndarray, dim: int = DIM) -> DataFrame:
     """Default embedder: adds ``embedding`` and ``norm`` to rows that have ``tokens``."""
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
-    @F.arrow_udf("array<float>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for hashes in batches:
-            step = 4096
-            yield pa.concat_arrays(
-                [
-                    as_list_array(hashed_vectors(hashes.slice(i, step), shared.value, dim))
-                    for i in range(0, max(len(hashes), 1), step)
-                ]
-            )
+    @F.arrow_udf("embedding array<float>, norm double")
+    def encode(tokens: pa.Array) -> pa.Array:
+        vectors = hashed_vectors(tokens, shared.value, dim)
+        exact = vectors.astype(np.float64)
+        norms = np.sqrt(np.einsum("ij,ij->i", exact, exact))
+        return pa.StructArray.from_arrays(
+            [as_list_array(vectors), pa.array(norms)], names=["embedding", "norm"]
+        )
 
-    return with_norm(df.withColumn("embedding", encode(token_hashes(F.col("tokens")))))
+    coded = df.withColumn("v", once(encode)("tokens"))
+    return coded.select(*df.columns, "v.embedding", "v.norm")
 
 
 def embed_with(
@@ -129,7 +133,7 @@ def embed_with(
                     out.iat[row] = np.asarray(vector, dtype=np.float32)
             yield out
 
-    return with_norm(df.withColumn("embedding", encode(F.col(text))))
+    return with_norm(df.withColumn("embedding", once(encode)(F.col(text))))
 
 
 def with_norm(df: DataFrame) -> DataFrame:

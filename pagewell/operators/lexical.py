@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pagewell.functions import text as tx
 from pagewell.operators.blockscan import MATRIX_CELLS, Limits, Scored, round_scores, top_k
@@ -38,10 +39,11 @@ def term_frequencies(chunks: DataFrame) -> DataFrame:
 
 
 def question_terms(questions: DataFrame, terms: DataFrame, totals: DataFrame) -> DataFrame:
-    """(query_id, token, idf, avg_len): the distinct question tokens the corpus knows.
+    """(query_id, terms, idfs, avg_len): each question's distinct tokens the corpus knows.
 
-    Distinct tokens are looked up, each once, so a token asked by a third of all
-    questions is still one row in the lookup against the corpus table.
+    ``terms`` may hold several counts per token; they are added up for the asked
+    tokens only. Distinct tokens are looked up, each once, so a token asked by a
+    third of all questions is still one row in the lookup.
     """
     asked = questions.select(
         "query_id", F.explode(F.array_distinct(tx.tokens(F.col("query_text")))).alias("token")
@@ -50,13 +52,32 @@ def question_terms(questions: DataFrame, terms: DataFrame, totals: DataFrame) ->
     avg = totals.select(F.try_divide(F.col("n_terms").cast("double"), F.col("n_chunks"))).scalar()
     known = (
         terms.join(asked.select("token").distinct(), "token")
-        .select("token", idf(n, F.col("n_chunks").cast("double")).alias("idf"))
+        .groupBy("token")
+        .agg(F.sum("n_chunks").cast("double").alias("n"))
+        .select("token", idf(n, F.col("n")).alias("idf"))
+    )
+    return (
+        asked.join(known, "token")
+        .groupBy("query_id")
+        .agg(F.collect_list("token").alias("terms"), F.collect_list("idf").alias("idfs"))
+        .withColumn("avg_len", avg)
     )
-    return asked.join(known, "token").select("query_id", "token", "idf", avg.alias("avg_len"))
 
 
-def saturation(tf: Column, length: Column, avg: Column) -> Column:
-    return tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / avg))
+def saturation(tf: np.ndarray, length: np.ndarray, avg) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
+
+
+def asked_counts(tokens: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row * vocabulary size + term number, count) of the vocabulary's terms, sorted."""
+    values, row = list_rows(tokens)
+    found = pc.index_in(values, value_set=vocabulary).fill_null(-1).to_numpy()
+    known = found >= 0
+    return np.unique(row[known] * len(vocabulary) + found[known], return_counts=True)
+
+
+def list_lengths(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.value_lengths().fill_null(0))
 
 
 def bm25_scorer(block: pa.Table):
@@ -73,14 +94,10 @@ def bm25_scorer(block: pa.Table):
     n_q, everyone = block.num_rows, np.arange(block.num_rows)
 
     def score(batch: pa.RecordBatch) -> Iterator[Scored]:
-        column = batch.column("tokens")
-        lengths = np.asarray(column.value_lengths().fill_null(0))
-        values, row = list_rows(column)
-        found = pc.index_in(values, value_set=vocabulary).fill_null(-1).to_numpy()
-        code = row[found >= 0] * len(vocabulary) + found[found >= 0]
-        code, tf = np.unique(code, return_counts=True)
+        lengths = list_lengths(batch.column("tokens"))
+        code, tf = asked_counts(batch.column("tokens"), vocabulary)
         row, t = code // len(vocabulary), code % len(vocabulary)
-        value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / avg))
+        value = saturation(tf, lengths[row], avg)
         work = np.zeros(len(lengths), np.int64)
         np.add.at(work, row, n_askers[t])
         for lo, hi in row_ranges(work, n_q):
@@ -90,9 +107,9 @@ def bm25_scorer(block: pa.Table):
             source = np.repeat(np.arange(a, z), n)
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(first[part], n) + inside
-            place = (row[source] - lo) * n_q + asked_by[at]
+            place = asked_by[at] * (hi - lo) + (row[source] - lo)
             total = np.bincount(place, value[source] * weight[at], minlength=(hi - lo) * n_q)
-            scores = np.where(total > 0, round_scores(total), np.nan).reshape(hi - lo, n_q)
+            scores = np.where(total > 0, round_scores(total), -np.inf).reshape(n_q, hi - lo)
             yield np.arange(lo, hi), everyone, scores
 
     return score
@@ -114,53 +131,57 @@ def bm25_top_k(
 ) -> DataFrame:
     """BM25 over all chunks. A token's (chunk, question) pairs are never formed as rows."""
     keys = ["doc_id", "chunk_no"]
-    asked = terms_of_questions.groupBy("query_id").agg(
-        F.collect_list("token").alias("terms"),
-        F.collect_list("idf").alias("idfs"),
-        F.first("avg_len").alias("avg_len"),
-    )
     return top_k(
-        chunks.select(*keys, "tokens"), asked, k, bm25_scorer, keys, F.size("terms"), limits
+        chunks.select(*keys, "tokens"),
+        terms_of_questions,
+        k,
+        bm25_scorer,
+        keys,
+        F.size("terms"),
+        limits,
     )
 
 
-def bm25_rerank(
-    candidates: DataFrame, chunks: DataFrame, terms_of_questions: DataFrame, top_n: int = 3
-) -> DataFrame:
-    """Score given (query_id, doc_id, chunk_no) rows; statistics are those of all chunks.
-
-    Each question has a bounded number of candidates, so the rows grow with the
-    questions, not with the corpus. Join sides are left to the runtime sizes.
+@F.arrow_udf(DoubleType())
+def bm25_score(tokens: pa.Array, terms: pa.Array, idfs: pa.Array, avg_len: pa.Array) -> pa.Array:
+    """BM25 of one question and one chunk per row; NULL if they share no token."""
+    asked, row = list_rows(terms)
+    weight, _ = list_rows(idfs)
+    vocabulary = pc.unique(asked)
+    seen, tf = asked_counts(tokens, vocabulary)
+    wanted = row * len(vocabulary) + pc.index_in(asked, value_set=vocabulary).to_numpy()
+    at = np.searchsorted(seen, wanted)
+    hit = at < len(seen)
+    hit[hit] = seen[at[hit]] == wanted[hit]
+    row, length, avg = row[hit], list_lengths(tokens), np.asarray(avg_len)
+    part = np.asarray(weight)[hit] * saturation(tf[at[hit]], length[row], avg[row])
+    total = np.bincount(row, part, minlength=len(tokens))
+    return pa.array(round_scores(total), mask=total == 0)
+
+
+def bm25_rerank(pairs: DataFrame, terms_of_questions: DataFrame, top_n: int = 3) -> DataFrame:
+    """Score candidates that carry their ``tokens``; statistics are those of all chunks.
+
+    One row per candidate, scored inside the row; only the best rows of each
+    question leave their task.
     """
-    pair = ["query_id", "doc_id", "chunk_no"]
-    held = candidates.select(*pair).join(
-        chunks.select("doc_id", "chunk_no", "tokens"), ["doc_id", "chunk_no"]
-    )
-    counted = (
-        held.select(*pair, F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
-        .join(terms_of_questions, ["query_id", "token"])
-        .groupBy(*pair, "token", "len", "idf", "avg_len")
-        .agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    )
-    part = F.col("idf") * saturation(F.col("tf"), F.col("len"), F.col("avg_len"))
-    scored = counted.groupBy(*pair).agg(F.round(F.sum(part), 4).alias("score"))
-    return keep_best(scored, top_n)
+    asked = pairs.join(terms_of_questions, "query_id")
+    scored = asked.withColumn("score", bm25_score("tokens", "terms", "idfs", "avg_len"))
+    return keep_best(scored.drop("tokens", *terms_of_questions.columns[1:]), top_n)
 
 
-def rerank_with(
-    candidates: DataFrame, chunks: DataFrame, questions: DataFrame, scorer, top_n: int = 3
-) -> DataFrame:
+def rerank_with(pairs: DataFrame, questions: DataFrame, scorer, top_n: int = 3) -> DataFrame:
     """Reranker slot: ``scorer`` is a pandas UDF of (question text, chunk text) -> double."""
-    pair = ["query_id", "doc_id", "chunk_no"]
-    texts = (
-        candidates.select(*pair)
-        .join(chunks.select("doc_id", "chunk_no", "chunk_text"), ["doc_id", "chunk_no"])
-        .join(questions.select("query_id", "query_text"), "query_id")
-    )
-    score = F.round(scorer("query_text", "chunk_text"), 4)
-    return keep_best(texts.select(*pair, score.alias("score")).dropna(subset=["score"]), top_n)
+    texts = pairs.join(questions.select("query_id", "query_text"), "query_id")
+    scored = texts.withColumn("score", F.round(scorer("query_text", "chunk_text"), 4))
+    return keep_best(scored.drop("tokens", "query_text"), top_n)
 
 
 def keep_best(scored: DataFrame, top_n: int) -> DataFrame:
+    """The ``top_n`` best scored rows per question; a NULL score ranks last and is no hit.
+
+    It is left out after ranking: a filter before would make the scorer run twice.
+    """
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_no")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n)
+    ranked = scored.withColumn("rank", F.row_number().over(best))
+    return ranked.filter((F.col("rank") <= top_n) & F.col("score").isNotNull())

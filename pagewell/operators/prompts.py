@@ -36,11 +36,8 @@ def render(context: Column | str, question: Column) -> Column:
     )
 
 
-def with_texts(hits: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Look up the chunk and question texts of hits; the hits are the small side."""
-    return hits.join(
-        chunks.select("doc_id", "chunk_no", "chunk_text", "n_tokens"), ["doc_id", "chunk_no"]
-    ).join(questions.select("query_id", "query_text"), "query_id")
+def with_questions(hits: DataFrame, questions: DataFrame) -> DataFrame:
+    return hits.join(questions.select("query_id", "query_text"), "query_id")
 
 
 def within_budget(

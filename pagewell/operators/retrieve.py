@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagewell.functions import text as tx
 from pagewell.operators import lexical
 from pagewell.operators.blockscan import Limits
 from pagewell.operators.similarity import approx_top_k, cosine_top_k
-from pyspark.sql import functions as F
+from pagewell.session import stored
 
 PAIR = ["query_id", "doc_id", "chunk_no"]
 CANDIDATE_K = 100
@@ -16,17 +17,34 @@ CANDIDATE_K = 100
 # Fixed value: how many chunks the reranker keeps.
 TOP_N = 3
 
+# At most this many (query, chunk) keys are broadcast, below 100 bytes each.
+LOOKUP_ROWS = 1_000_000
+
 
 def embed_questions(questions: DataFrame, index) -> DataFrame:
     """Questions in the vector space of the index."""
     return index.embed(questions.withColumn("tokens", tx.tokens(F.col("query_text"))), "query_text")
 
 
+def look_up(hits: DataFrame, chunks: DataFrame, at_most: int) -> DataFrame:
+    """Add the stored columns of the hits' chunks.
+
+    ``at_most`` is the proven number of hits (questions times hits per question).
+    Within the bound the hits travel to the collection, which is scanned in place
+    and not shuffled; beyond it both sides are joined by key, which a bucketed
+    collection does without being shuffled either.
+    """
+    columns = ["doc_id", "chunk_no", "chunk_text", "n_tokens", "tokens"]
+    side = F.broadcast(hits) if at_most <= LOOKUP_ROWS else hits
+    return chunks.select(*columns).join(side, ["doc_id", "chunk_no"])
+
+
 def candidates(
     questions: DataFrame,
     index,
     k: int = CANDIDATE_K,
     mode: str = "vector",
+    terms: DataFrame | None = None,
     limits: Limits = Limits(),
     search: str = "exact",
     **search_options,
@@ -40,7 +58,8 @@ def candidates(
         asked = embed_questions(questions, index)
         found.append(by_vector(index.chunks, asked, k, index.dim, limits=limits, **search_options))
     if mode != "vector":
-        found.append(lexical.bm25_top_k(index.chunks, index.terms_of(questions), k, limits))
+        terms = index.terms_of(questions) if terms is None else terms
+        found.append(lexical.bm25_top_k(index.chunks, terms, k, limits))
     if len(found) == 1:
         return found[0].select(*PAIR)
     return found[0].select(*PAIR).unionByName(found[1].select(*PAIR)).distinct()
@@ -56,11 +75,25 @@ def retrieve(
     limits: Limits = Limits(),
     **search_options,
 ) -> DataFrame:
-    """(query_id, doc_id, chunk_no, score, rank): the reranked best chunks, no answer text.
+    """The reranked best chunks of each question, with their text but without an answer.
 
-    ``reranker`` is a pandas UDF of (question, chunk) -> double; the default is BM25.
+    Columns: query_id, doc_id, chunk_no, score, rank, chunk_text, n_tokens.
+    ``reranker`` is a pandas UDF of (question, chunk) -> double; the default is
+    BM25. With that default, candidates that include BM25's own best
+    ``candidate_k`` can only give BM25's best ``top_n``, so these are searched
+    directly and the vectors are not read.
     """
-    found = candidates(questions, index, candidate_k, mode, limits, **search_options)
+    columns = [*PAIR, "score", "rank", "chunk_text", "n_tokens"]
+    n_questions = questions.count()
+    terms = None
+    if reranker is None or mode != "vector":
+        terms = stored(index.terms_of(questions), "question-terms")
+    if reranker is None and mode != "vector" and top_n <= candidate_k:
+        hits = lexical.bm25_top_k(index.chunks, terms, top_n, limits)
+        return look_up(hits, index.chunks, n_questions * top_n).select(*columns)
+    found = candidates(questions, index, candidate_k, mode, terms, limits, **search_options)
+    lists = 2 if mode == "union" else 1
+    pairs = look_up(found, index.chunks, n_questions * candidate_k * lists)
     if reranker is not None:
-        return lexical.rerank_with(found, index.chunks, questions, reranker, top_n)
-    return lexical.bm25_rerank(found, index.chunks, index.terms_of(questions), top_n)
+        return lexical.rerank_with(pairs, questions, reranker, top_n).select(*columns)
+    return lexical.bm25_rerank(pairs, terms, top_n).select(*columns)

@@ -45,7 +45,7 @@ def cosine_scorer(dim: int):
         def score(batch: pa.RecordBatch) -> Iterator[Scored]:
             rows, x = matrix(batch.column("embedding"), dim)
             for part in blocks(len(rows), len(questions)):
-                yield rows[part], questions, round_scores(x[part] @ q.T)
+                yield rows[part], questions, round_scores(q @ x[part].T)
 
         return score
 
@@ -155,7 +155,7 @@ def celled_scorer(dim: int):
                 inside = np.flatnonzero(cells == cell)
                 for part in blocks(len(inside), len(who)):
                     pick = inside[part]
-                    yield rows[pick], questions[who], round_scores(x[pick] @ q[who].T)
+                    yield rows[pick], questions[who], round_scores(q[who] @ x[pick].T)
 
         return score
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagewell.operators import answers as an
 from pagewell.operators import chunking, embedding, lexical, prompts, retrieve, similarity
 from pagewell.operators.blockscan import Limits
-from pagewell.session import work_dir
+from pagewell.session import stored
 from pagewell.sources.collections import Collections
 
 Chunker = Callable[[DataFrame], DataFrame]
@@ -59,21 +59,22 @@ class Index:
     def embed(self, df: DataFrame, text: str) -> DataFrame:
         """Vectors for rows that have ``tokens`` and a text column."""
         if self.settings.load_encoder is not None:
-            out = embedding.embed_with(df, self.settings.load_encoder, text)
-        else:
-            out = embedding.hashed_embedding(df, self.weights, self.dim)
-        return out
+            return embedding.embed_with(df, self.settings.load_encoder, text)
+        return embedding.hashed_embedding(df, self.weights, self.dim)
 
     def rows_for(self, docs: DataFrame) -> DataFrame:
-        """Collection rows of new documents. Works on a stream as well."""
-        rows = self.embed(self.settings.chunk(docs), "chunk_text")
+        """Collection rows of documents. Works on a stream as well."""
+        return self.with_vectors(self.settings.chunk(docs))
+
+    def with_vectors(self, chunks: DataFrame) -> DataFrame:
+        rows = self.embed(chunks, "chunk_text")
         if self.settings.cell_bits:
             rows = similarity.with_cell(rows, self.settings.cell_bits, self.dim)
         return rows
 
     def terms_of(self, questions: DataFrame) -> DataFrame:
         return lexical.question_terms(
-            questions, self.store.terms(self.name), self.store.totals(self.name)
+            questions, self.store.companion(self.name, "terms"), self.store.totals(self.name)
         )
 
     def add_documents(self, docs: DataFrame, strict: bool = False) -> None:
@@ -83,11 +84,9 @@ class Index:
         chunks and the statistics are taken from the same rows and nothing is
         embedded twice.
         """
-        spark = self.store.spark
         self.repair_statistics()
-        staged = work_dir(spark, "staged")
-        self.store.new_rows(self.name, self.rows_for(docs), strict).write.parquet(staged)
-        rows = spark.read.parquet(staged)
+        new = self.store.new_rows(self.name, self.rows_for(docs), strict)
+        rows = stored(new, "new-rows", self.store.spark)
         self.store.append(self.name, rows)
         self.write_statistics(rows)
 
@@ -111,21 +110,20 @@ def build_index(
 ) -> Index:
     """Chunk, embed and store documents as a new collection, replacing one of that name.
 
-    Two passes over the documents: one for the frequencies the hashed vectors
-    are weighted with (not needed with an encoder), one to embed and store. The
-    BM25 statistics are counted from the stored chunks.
+    The documents are split and tokenised once, into a table in the shared
+    folder; statistics, weights and vectors are computed from that table.
     """
     store.recreate(name, settings.dim, settings.buckets or None, bool(settings.cell_bits))
+    index = Index(store, name, settings)
+    chunks = stored(settings.chunk(docs), "chunks")
+    index.write_statistics(chunks)
     if settings.load_encoder is None:
-        chunks = settings.chunk(docs)
-        weights = embedding.slot_weights(
-            embedding.slot_frequencies(chunks), lexical.chunk_totals(chunks)
-        )
+        weights = embedding.slot_weights(store.companion(name, "terms"), store.totals(name))
         store.append_companion(name, "weights", weights)
-    index = Index(store, name, settings)
-    valid, _ = embedding.split_valid(index.rows_for(docs), settings.dim)
+    valid, _ = embedding.split_valid(index.with_vectors(chunks), settings.dim)
     store.append(name, valid)
-    index.write_statistics(index.chunks)
+    if settings.load_encoder is not None:
+        index.repair_statistics()
     return index
 
 
@@ -161,8 +159,9 @@ def ranked_context(
     hits = retrieve.retrieve(
         questions, index, s.candidate_k, s.top_n, s.mode, s.reranker, s.limits
     )
-    texts = prompts.with_texts(hits, index.chunks, questions)
-    return prompts.within_budget(texts, s.num_ctx, s.num_predict)
+    return prompts.within_budget(
+        prompts.with_questions(hits, questions), s.num_ctx, s.num_predict
+    )
 
 
 def render_prompts(

@@ -61,8 +61,8 @@ hashed AS MATERIALIZED (
   SELECT token, ('0x' || substr(md5(token), 1, 7))::BIGINT AS h
   FROM (SELECT DISTINCT token FROM occ)),
 slot_df AS (
-  SELECT h % {SLOTS} AS slot, count(DISTINCT (doc_id, chunk_no))::DOUBLE AS df
-  FROM occ JOIN hashed USING (token) GROUP BY ALL),
+  SELECT h % {SLOTS} AS slot, least(count(*), any_value(n))::DOUBLE AS df
+  FROM occ JOIN hashed USING (token), totals GROUP BY h % {SLOTS}),
 weights AS MATERIALIZED (
   SELECT slot, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * 10000) AS weight
   FROM slot_df, totals),
@@ -205,12 +205,14 @@ answered AS (
   FROM asked LEFT JOIN best USING (query_id))"""
 
 
-def context_ctes(asked: str = BENCHMARK, top_n: int = 3, num_ctx: int = 1024) -> list[str]:
-    return [*retrieval(asked, "union", 100, top_n), HIT_TEXTS, budget(num_ctx)]
+def context_ctes(
+    asked: str = BENCHMARK, top_n: int = 3, num_ctx: int = 1024, mode: str = "union"
+) -> list[str]:
+    return [*retrieval(asked, mode, 100, top_n), HIT_TEXTS, budget(num_ctx)]
 
 
-def answer_ctes(asked: str = BENCHMARK, min_overlap: int = 1) -> list[str]:
-    return [*context_ctes(asked), BEST_SENTENCES, answered(min_overlap)]
+def answer_ctes(asked: str = BENCHMARK, min_overlap: int = 1, mode: str = "union") -> list[str]:
+    return [*context_ctes(asked, mode=mode), BEST_SENTENCES, answered(min_overlap)]
 
 
 def packed(size: int, overlap: int) -> str:
@@ -497,6 +499,10 @@ UNION ALL SELECT query_id, CAST(1 AS INTEGER), 'user', prompt FROM prompts""",
     ),
     "P7_refusal": with_(*answer_ctes(min_overlap=12), body="SELECT query_id, answer FROM answered"),
     "P8_answer": with_(
+        *answer_ctes(mode="vector"),
+        body="SELECT query_id, answer, CAST(NULL AS VARCHAR) AS error FROM answered",
+    ),
+    "P8_answer_union": with_(
         *answer_ctes(), body="SELECT query_id, answer, CAST(NULL AS VARCHAR) AS error FROM answered"
     ),
     "P9_errors_as_values": with_(
@@ -506,7 +512,7 @@ SELECT query_id, coalesce(answer, {lit(ERROR_PREFIX + EMPTY_QUESTION)}) AS answe
        CASE WHEN query_text IS NULL THEN {lit(EMPTY_QUESTION)} END AS error
 FROM every_turn LEFT JOIN answered USING (query_id)""",
     ),
-    "P10_response": with_(*answer_ctes(), body="SELECT query_id, answer FROM answered"),
+    "P10_response": with_(*answer_ctes(mode="vector"), body="SELECT query_id, answer FROM answered"),
     "ST1_stream_ingest": INDEX_ROWS,
     "ST1_stream_append": with_(
         CHUNKS, body="SELECT count(*) AS points, count(DISTINCT doc_id) AS documents FROM chunks"

@@ -27,13 +27,14 @@ from pagewell.plans.answering import (
     ranked_context,
     render_prompts,
 )
-from pagewell.session import ship_package, spread, work_dir
+from pagewell.session import ship_package, spread, stored, work_dir
 from pagewell.sources import files, tables
 from pagewell.sources.collections import Collections, as_json, collection_info
 from pagewell.streaming.ingest import document_stream, ingest_to_collection, ingest_to_folder
 from pagewell.streaming.questions import answer_stream, turn_stream
 
 VECTOR_DIM = 64
+RANKED = [*retrieve.PAIR, "score", "rank"]
 SENTENCE_SIZE, SENTENCE_OVERLAP = 1024, 200
 
 REGISTRY: dict = {}
@@ -306,7 +307,9 @@ def components(rows: DataFrame, *keys: str) -> DataFrame:
 
 @query("T5_embed_chunks")
 def embed_chunks(spark, folder):
-    return components(shared_index(spark, folder).chunks, "doc_id", "chunk_no")
+    """The documents are embedded here; only the weights are taken from the index."""
+    rows = shared_index(spark, folder).rows_for(tables.documents(spark, folder))
+    return components(rows, "doc_id", "chunk_no")
 
 
 def length_encoder():
@@ -374,13 +377,15 @@ def question_vectors(spark, folder):
 def rerank(spark, folder):
     index = shared_index(spark, folder)
     asked = tables.benchmark_questions(spark, folder)
-    return lexical.bm25_top_k(index.chunks, index.terms_of(asked), retrieve.TOP_N)
+    terms = stored(index.terms_of(asked), "question-terms")
+    return lexical.bm25_top_k(index.chunks, terms, retrieve.TOP_N)
 
 
 @query("R5_two_stage")
 def two_stage(spark, folder):
     asked = tables.benchmark_questions(spark, folder)
-    return retrieve.retrieve(asked, shared_index(spark, folder), mode="vector")
+    hits = retrieve.retrieve(asked, shared_index(spark, folder), mode="vector")
+    return hits.select(*RANKED)
 
 
 @query("R6_retrieval_only")
@@ -396,7 +401,7 @@ def other_k(spark, folder):
     asked = tables.benchmark_questions(spark, folder)
     return retrieve.retrieve(
         asked, shared_index(spark, folder), candidate_k=20, top_n=5, mode="vector"
-    )
+    ).select(*RANKED)
 
 
 # Prompts and answers
@@ -410,9 +415,7 @@ def two_stage_context(spark, folder, settings=AnswerSettings()):
 @query("P1_context")
 def context(spark, folder):
     asked = tables.benchmark_questions(spark, folder)
-    index = shared_index(spark, folder)
-    hits = retrieve.retrieve(asked, index, mode="union")
-    return prompts.contexts(prompts.with_texts(hits, index.chunks, asked))
+    return prompts.contexts(retrieve.retrieve(asked, shared_index(spark, folder), mode="union"))
 
 
 @query("P2_prompt")
@@ -454,6 +457,13 @@ def refusal(spark, folder):
 
 @query("P8_answer")
 def answers(spark, folder):
+    """The whole way: vector candidates, BM25 rerank, prompt budget, answer."""
+    asked = tables.benchmark_questions(spark, folder)
+    return answer(asked, shared_index(spark, folder), AnswerSettings(mode="vector"))
+
+
+@query("P8_answer_union")
+def answers_union(spark, folder):
     return answer(tables.benchmark_questions(spark, folder), shared_index(spark, folder))
 
 
@@ -522,9 +532,10 @@ def stage_metrics(spark, folder):
 def result_quality(spark, folder):
     index = shared_index(spark, folder)
     asked = tables.benchmark_questions(spark, folder)
-    truth = spark_written(evaluation.quotes(tables.documents(spark, folder), asked), "truth")
+    truth = stored(evaluation.quotes(tables.documents(spark, folder), asked), "truth")
     vector = cosine_top_k(index.chunks, retrieve.embed_questions(asked, index), 100, index.dim)
-    bm25 = lexical.bm25_top_k(index.chunks, index.terms_of(asked), 100)
+    terms = stored(index.terms_of(asked), "question-terms")
+    bm25 = lexical.bm25_top_k(index.chunks, terms, 100)
     both = retrieve.retrieve(asked, index, mode="union")
     out = None
     for mode, hits in (("vector", vector), ("bm25", bm25), ("two_stage", both)):
@@ -533,13 +544,6 @@ def result_quality(spark, folder):
     return out
 
 
-def spark_written(df: DataFrame, label: str) -> DataFrame:
-    """Written once to the shared folder, for a result that is used several times."""
-    place = work_dir(df.sparkSession, label)
-    df.write.parquet(place)
-    return df.sparkSession.read.parquet(place)
-
-
 @query("M3_answer_cache")
 def answer_cache(spark, folder):
     said = turns(spark, folder)

@@ -14,6 +14,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
+    # One numpy thread per Spark task, as a cluster manager sets it.
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("pagewell")
@@ -42,6 +44,18 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, label: str, spark: SparkSession | None = None) -> DataFrame:
+    """A result that is used several times, written once to the shared folder.
+
+    ``spark`` reads it back; a micro-batch has a session of its own, whose writes
+    to a table another session would not notice.
+    """
+    spark = spark or df.sparkSession
+    place = work_dir(spark, label)
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 _shipped: set[str] = set()
 
 

@@ -97,11 +97,6 @@ class Collections:
     def companion(self, name: str, companion: str) -> DataFrame:
         return self.spark.table(self.table(name, companion))
 
-    def terms(self, name: str) -> DataFrame:
-        return self.companion(name, "terms").groupBy("token").agg(
-            F.sum("n_chunks").alias("n_chunks")
-        )
-
     def totals(self, name: str) -> DataFrame:
         return self.companion(name, "totals").agg(
             F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"),
