@@ -201,7 +201,9 @@ def grid(chunks: DataFrame, questions: DataFrame, limits: Limits, cells, keys: l
     q = q.join(plan, "cell").withColumn("qg", pick("n_qg", "query_id"))
     q = q.withColumn("cg", every("n_cg"))
     by = ["cell", "cg", "qg"]
-    c, q = c.drop("n_cg", "n_qg"), q.drop("n_cg", "n_qg")
+    c = c.drop("n_cg", "n_qg")
+    # New columns, since chunks may be asked about each other.
+    q = q.select(*[F.col(name).alias(name) for name in q.columns if name not in ("n_cg", "n_qg")])
     return c.groupBy(*by).cogroup(q.groupBy(*by))
 
 

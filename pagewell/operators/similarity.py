@@ -167,16 +167,16 @@ def approx_top_k(
     questions: DataFrame,
     k: int,
     dim: int = DIM,
-    bits: int = 6,
-    probes: int = 24,
+    bits: int = 8,
+    probes: int = 32,
     keys: list[str] | None = None,
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Cosine top-k among the chunks in the ``probes`` likeliest of ``2 ** bits`` cells.
 
     Cells are the sides of ``bits`` fixed planes; nothing is replicated on the
-    chunk side. With ``probes = 2 ** bits`` the result is the exact one. If the
-    chunks already carry ``cell`` (a collection partitioned by it), only the
+    chunk side. With ``probes = 2 ** bits`` the result is the exact one; how many
+    are enough depends on how near the nearest chunks are. If the chunks already carry ``cell`` (a collection partitioned by it), only the
     visited cells are read.
     """
     if not 1 <= probes <= 2**bits or bits > 12:

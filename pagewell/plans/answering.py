@@ -80,13 +80,13 @@ class Index:
     def add_documents(self, docs: DataFrame, strict: bool = False) -> None:
         """Append documents; chunks the collection already holds are left as they are.
 
-        The new rows are written once to the shared folder first, so that the
-        chunks and the statistics are taken from the same rows and nothing is
-        embedded twice.
+        Only new chunks are embedded. They are written once to the shared folder
+        first, so that chunks and statistics are taken from the same rows.
         """
         self.repair_statistics()
-        new = self.store.new_rows(self.name, self.rows_for(docs), strict)
-        rows = stored(new, "new-rows", self.store.spark)
+        new = self.store.new_rows(self.name, self.settings.chunk(docs))
+        valid = self.store.valid_rows(self.name, self.with_vectors(new), strict)
+        rows = stored(valid, "new-rows", self.store.spark)
         self.store.append(self.name, rows)
         self.write_statistics(rows)
 
@@ -120,8 +120,7 @@ def build_index(
     if settings.load_encoder is None:
         weights = embedding.slot_weights(store.companion(name, "terms"), store.totals(name))
         store.append_companion(name, "weights", weights)
-    valid, _ = embedding.split_valid(index.with_vectors(chunks), settings.dim)
-    store.append(name, valid)
+    store.append(name, store.valid_rows(name, index.with_vectors(chunks)))
     if settings.load_encoder is not None:
         index.repair_statistics()
     return index

@@ -449,7 +449,7 @@ SELECT vec_id, round(norm, 4) AS norm, CAST(unnest(range(len(e))) AS INTEGER) AS
 SELECT doc_id, token, count(*) AS n
 FROM (SELECT doc_id, unnest({tokens('text')}) AS token FROM documents) GROUP BY ALL""",
     "R1_cosine_top_k": with_(UNIT, PAIRS.format(where=""), body=BEST_PAIRS.format(k=5)),
-    "R2_approximate_top_k": approximate(6, 24, 64, 5),
+    "R2_approximate_top_k": approximate(8, 192, 64, 5),
     "R3_embed_questions": with_(
         CHUNKS,
         VECTORS,

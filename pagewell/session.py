@@ -29,6 +29,9 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
     )
 
 
+_local_base: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared folder the cluster names.
 
@@ -39,8 +42,9 @@ def work_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="pagewell-")
-        spark.conf.set(CHECKPOINT_CONF, base)
+        base = _local_base.setdefault(
+            spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="pagewell-")
+        )
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 

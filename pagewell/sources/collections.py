@@ -103,12 +103,20 @@ class Collections:
             F.coalesce(F.sum("n_terms"), F.lit(0)).alias("n_terms"),
         )
 
-    def new_rows(self, name: str, rows: DataFrame, strict: bool = False) -> DataFrame:
-        """Valid rows whose key the collection lacks, each key once."""
-        dim = int(self.properties(name)["dim"])
-        valid, _ = split_valid(rows, dim, strict)
-        have = self.open(name).select(*schemas.CHUNK_KEYS)
-        return valid.dropDuplicates(schemas.CHUNK_KEYS).join(have, schemas.CHUNK_KEYS, "left_anti")
+    def new_rows(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows whose key the collection lacks, each key once.
+
+        Both steps need the rows by key, so the new rows are shuffled once; of the
+        collection only the keys are read, and a bucketed one stays in place.
+        """
+        keys, buckets = schemas.CHUNK_KEYS, self.buckets(name)
+        if buckets:
+            rows = rows.repartition(buckets, *keys)
+        return rows.dropDuplicates(keys).join(self.open(name).select(*keys), keys, "left_anti")
+
+    def valid_rows(self, name: str, rows: DataFrame, strict: bool = False) -> DataFrame:
+        """Rows that fit the collection's dimension; `split_valid` also shows the others."""
+        return split_valid(rows, int(self.properties(name)["dim"]), strict)[0]
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Append rows as they are; `new_rows` makes an append repeatable."""

@@ -1,0 +1,46 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from pagewell.functions import text as tx
+from pagewell.sources import files
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    (tmp_path / "c.md").write_text("été")
+    (tmp_path / "sub" / "a.txt").write_text("deep")
+    return str(tmp_path)
+
+
+def test_flat_recursive_and_by_suffix(spark, folder):
+    assert files.scan_folder(spark, folder, recursive=False).count() == 2
+    assert files.scan_folder(spark, folder).count() == 3
+    assert files.scan_folder(spark, folder, suffix="*.pdf").count() == 1
+
+
+def test_missing_and_empty_folders(spark, tmp_path):
+    with pytest.raises(files.MissingFolder, match="Directory not found"):
+        files.scan_folder(spark, str(tmp_path / "absent"))
+    os.mkdir(tmp_path / "empty")
+    assert files.scan_folder(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_each_file_goes_to_the_extractor_of_its_suffix(spark, folder):
+    shout = lambda f: files.decode_text(f).withColumn("text", F.upper("text"))
+    got = files.extract(files.scan_folder(spark, folder), {".md": files.decode_text, ".txt": shout})
+    docs = files.as_documents(got).orderBy("file_name").collect()
+    assert [(d["file_name"], d["text"]) for d in docs] == [("a.txt", "DEEP"), ("c.md", "été")]
+    assert len({d["doc_id"] for d in docs}) == 2
+    again = files.as_documents(got).orderBy("file_name").collect()
+    assert [d["doc_id"] for d in again] == [d["doc_id"] for d in docs]
+
+
+def test_page_extractor(spark, tmp_path):
+    (tmp_path / "p.html").write_text("<html><body><p>Hi &amp; bye</p></body></html>")
+    page = lambda f: files.decode_text(f).withColumn("text", tx.page_text(F.col("text")))
+    got = files.extract(files.scan_folder(spark, str(tmp_path)), {".html": page})
+    assert [r["text"] for r in got.collect()] == ["Hi & bye"]
