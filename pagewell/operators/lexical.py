@@ -20,6 +20,9 @@ from pagewell.operators.embedding import idf, list_rows
 K1 = 1.2
 B = 0.75
 
+# A term asked by more than this share of a question block is applied as a dense row.
+DENSE_SHARE = 0.02
+
 
 def chunk_totals(chunks: DataFrame) -> DataFrame:
     """One row: number of chunks and number of tokens in them."""
@@ -81,36 +84,56 @@ def list_lengths(column: pa.Array) -> np.ndarray:
 
 
 def bm25_scorer(block: pa.Table):
-    """Scores through a term-to-questions index of the block; hits share at least one token."""
+    """Scores through a term-to-questions index of the block; hits share at least one token.
+
+    Terms asked by many questions are kept as dense rows and applied as one
+    matrix product, so a token that everybody asks for and that is everywhere
+    costs no list of pairs. The other terms add up through short lists.
+    """
     terms, owner = list_rows(block.column("terms").combine_chunks())
-    idfs, _ = list_rows(block.column("idfs").combine_chunks())
+    idfs = np.asarray(list_rows(block.column("idfs").combine_chunks())[0])
     avg = block.column("avg_len")[0].as_py()
     vocabulary = pc.unique(terms)
     term = pc.index_in(terms, value_set=vocabulary).to_numpy()
-    order = np.argsort(term, kind="stable")
-    asked_by, weight = owner[order], np.asarray(idfs)[order]
+    n_q, everyone = block.num_rows, np.arange(block.num_rows)
+
     n_askers = np.bincount(term, minlength=len(vocabulary))
+    by_askers = np.argsort(-n_askers, kind="stable")[: max(1, MATRIX_CELLS // n_q)]
+    hot = by_askers[n_askers[by_askers] > n_q * DENSE_SHARE]
+    hot_number = np.full(len(vocabulary), -1)
+    hot_number[hot] = np.arange(len(hot))
+    dense = np.zeros((n_q, len(hot)))
+    is_hot = hot_number[term] >= 0
+    dense[owner[is_hot], hot_number[term[is_hot]]] = idfs[is_hot]
+
+    n_askers[hot] = 0
+    order = np.argsort(term, kind="stable")
+    order = order[~is_hot[order]]
+    asked_by, weight = owner[order], idfs[order]
     first = np.concatenate(([0], np.cumsum(n_askers)))
-    n_q, everyone = block.num_rows, np.arange(block.num_rows)
 
     def score(batch: pa.RecordBatch) -> Iterator[Scored]:
         lengths = list_lengths(batch.column("tokens"))
         code, tf = asked_counts(batch.column("tokens"), vocabulary)
         row, t = code // len(vocabulary), code % len(vocabulary)
         value = saturation(tf, lengths[row], avg)
-        work = np.zeros(len(lengths), np.int64)
-        np.add.at(work, row, n_askers[t])
-        for lo, hi in row_ranges(work, n_q):
+        work = np.bincount(row, n_askers[t], minlength=len(lengths)).astype(np.int64)
+        for lo, hi in row_ranges(work, n_q + len(hot)):
             a, z = np.searchsorted(row, [lo, hi])
-            part = t[a:z]
-            n = n_askers[part]
+            n = n_askers[t[a:z]]
             source = np.repeat(np.arange(a, z), n)
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(first[part], n) + inside
+            at = first[t[source]] + inside
             place = asked_by[at] * (hi - lo) + (row[source] - lo)
             total = np.bincount(place, value[source] * weight[at], minlength=(hi - lo) * n_q)
-            scores = np.where(total > 0, round_scores(total), -np.inf).reshape(n_q, hi - lo)
-            yield np.arange(lo, hi), everyone, scores
+            total = total.reshape(n_q, hi - lo)
+            if len(hot):
+                number = hot_number[t[a:z]]
+                mine = number >= 0
+                found = np.zeros((len(hot), hi - lo))
+                found[number[mine], row[a:z][mine] - lo] = value[a:z][mine]
+                total = total + dense @ found
+            yield np.arange(lo, hi), everyone, np.where(total > 0, round_scores(total), -np.inf)
 
     return score
 

@@ -85,9 +85,9 @@ def retrieve(
     """
     columns = [*PAIR, "score", "rank", "chunk_text", "n_tokens"]
     n_questions = questions.count()
-    terms = None
-    if reranker is None or mode != "vector":
-        terms = stored(index.terms_of(questions), "question-terms")
+    terms = index.terms_of(questions)
+    if mode != "vector":
+        terms = stored(terms, "question-terms")
     if reranker is None and mode != "vector" and top_n <= candidate_k:
         hits = lexical.bm25_top_k(index.chunks, terms, top_n, limits)
         return look_up(hits, index.chunks, n_questions * top_n).select(*columns)
