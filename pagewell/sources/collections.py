@@ -48,28 +48,47 @@ class Collections:
         return self.spark.catalog.tableExists(self.table(name))
 
     def create_if_missing(
-        self, name: str, dim: int, buckets: int | None = None, celled: bool = False
+        self,
+        name: str,
+        dim: int,
+        buckets: int | None = None,
+        celled: bool = False,
+        folder: str | None = None,
     ) -> None:
         """Create an empty collection; an existing one keeps its content.
 
         ``buckets`` stores chunks by key, so that appends and text lookups need
         not shuffle the collection. ``celled`` stores chunks by search cell, so
-        that a search reads only the cells it visits.
+        that a search reads only the cells it visits. ``folder`` is for `attach`.
         """
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.COLLECTION)
         layout = " PARTITIONED BY (cell)" if celled else ""
         if buckets:
             layout += f" CLUSTERED BY ({', '.join(schemas.CHUNK_KEYS)}) INTO {buckets} BUCKETS"
+        place = lambda table: f" LOCATION '{folder}/{table}'" if folder else ""
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table(name)} "
-            f"({columns}{', cell int' if celled else ''}) USING parquet{layout} "
+            f"({columns}{', cell int' if celled else ''}) USING parquet{layout}{place(name)} "
             f"TBLPROPERTIES ('dim' = '{dim}', 'distance' = '{DISTANCE}')"
         )
         for companion, ddl in COMPANIONS.items():
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.table(name, companion)} ({ddl}) USING parquet"
+                f"CREATE TABLE IF NOT EXISTS {self.table(name, companion)} ({ddl}) "
+                f"USING parquet{place(f'{name}__{companion}')}"
             )
 
+    def attach(
+        self, name: str, folder: str, dim: int, buckets: int | None = None, celled: bool = False
+    ) -> None:
+        """Register a collection an earlier session left in ``folder``, as it was created.
+
+        For sessions whose catalog does not outlive them. The files belong to the
+        folder: dropping an attached collection only forgets it.
+        """
+        self.create_if_missing(name, dim, buckets, celled, folder)
+        if celled:
+            self.spark.catalog.recoverPartitions(self.table(name))
+
     def drop(self, name: str) -> None:
         """Remove one named collection with its content."""
         for companion in [None, *COMPANIONS]:

@@ -114,6 +114,21 @@ def test_opened_again_from_the_catalog(store, spark):
     assert retrieve.retrieve(asked, again, top_n=1).first()["doc_id"] == 1
 
 
+@pytest.mark.parametrize("cell_bits,buckets", [(0, 0), (2, 0), (0, 3)])
+def test_attached_from_the_folder_of_an_earlier_session(spark, store, cell_bits, buckets):
+    settings = IndexSettings(cell_bits=cell_bits, buckets=buckets)
+    index = build_index(docs(spark), store, "c", settings)
+    folder = spark.catalog.getDatabase(store.database).locationUri
+    later = Collections(spark, f"{store.database}_later")
+    later.attach("c", folder, settings.dim, buckets or None, bool(cell_bits))
+    again = Index(later, "c", settings)
+    key = ["doc_id", "chunk_no", "chunk_text"]
+    assert again.chunks.select(*key).exceptAll(index.chunks.select(*key)).count() == 0
+    assert again.chunks.count() == 4 and (again.weights == index.weights).all()
+    later.drop("c")
+    assert index.chunks.count() == 4
+
+
 def test_encoder_slot_and_cells(store, spark):
     def load_counter():
         return lambda texts: np.array([[t.count(c) + 0.5 for c in "aefhoswx"] for t in texts])
