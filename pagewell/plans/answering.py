@@ -36,17 +36,33 @@ class IndexSettings:
     cell_bits: int = 0
     buckets: int = 0
 
+    def kept(self) -> dict[str, int]:
+        """What a collection remembers of its settings: the whole numbers."""
+        names = ("chunk_size", "overlap", "sentences", "cell_bits", "buckets")
+        return {name: int(getattr(self, name)) for name in names}
+
+    @classmethod
+    def of(cls, properties: dict[str, str]) -> IndexSettings:
+        kept = {name: int(properties[name]) for name in cls().kept() if name in properties}
+        return cls(dim=int(properties["dim"]), **kept)
+
     def chunk(self, docs: DataFrame) -> DataFrame:
         form = chunking.sentence_chunks if self.sentences else chunking.fixed_chunks
         return chunking.add_tokens(form(docs, self.chunk_size, self.overlap))
 
 
 class Index:
-    """A stored collection together with what questions need to be compared with it."""
+    """A stored collection together with what questions need to be compared with it.
+
+    Opened by name, it has the settings it was built with. An encoder cannot be
+    kept in a table: pass ``settings`` again for a collection built with one.
+    """
 
-    def __init__(self, store: Collections, name: str, settings: IndexSettings = IndexSettings()):
-        self.store, self.name, self.settings = store, name, settings
-        self.dim = int(store.properties(name)["dim"])
+    def __init__(self, store: Collections, name: str, settings: IndexSettings | None = None):
+        properties = store.properties(name)
+        self.store, self.name = store, name
+        self.settings = settings or IndexSettings.of(properties)
+        self.dim = int(properties["dim"])
 
     @property
     def chunks(self) -> DataFrame:
@@ -114,6 +130,7 @@ def build_index(
     folder; statistics, weights and vectors are computed from that table.
     """
     store.recreate(name, settings.dim, settings.buckets or None, bool(settings.cell_bits))
+    store.remember(name, **settings.kept())
     index = Index(store, name, settings)
     chunks = stored(settings.chunk(docs), "chunks")
     index.write_statistics(chunks)

@@ -105,6 +105,11 @@ class Collections:
         rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.table(name)}").collect()
         return {r["key"]: r["value"] for r in rows}
 
+    def remember(self, name: str, **values) -> None:
+        """Keep settings with the collection."""
+        pairs = ", ".join(f"'{key}' = '{value}'" for key, value in values.items())
+        self.spark.sql(f"ALTER TABLE {self.table(name)} SET TBLPROPERTIES ({pairs})")
+
     def buckets(self, name: str) -> int:
         described = self.spark.sql(f"DESCRIBE EXTENDED {self.table(name)}")
         row = described.filter(F.col("col_name") == "Num Buckets").first()

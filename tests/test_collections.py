@@ -108,8 +108,10 @@ def test_statistics_are_repaired_after_a_cut_off_append(store, spark):
 
 
 def test_opened_again_from_the_catalog(store, spark):
-    build_index(docs(spark), store, "c")
+    settings = IndexSettings(chunk_size=20, overlap=5, sentences=True, dim=64)
+    build_index(docs(spark), store, "c", settings)
     again = Index(Collections(spark, store.database), "c")
+    assert again.settings == settings and again.dim == 64
     asked = spark.createDataFrame([(0, "Who sings in the sea?")], "query_id long, query_text string")
     assert retrieve.retrieve(asked, again, top_n=1).first()["doc_id"] == 1
 
