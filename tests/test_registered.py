@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__ as contract
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+from pagewell.plans.oracles import ORACLES  # noqa: E402
+from pagewell.plans.queries import REGISTRY as QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="module")
