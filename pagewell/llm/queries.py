@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewell.llm import quality, sharding
+from pagewell.llm import packing, quality, sharding
 from pagewell.llm.common import read
 
 
@@ -25,6 +25,13 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.packed(read(spark, folder, "documents"), ids=False)
+    return packed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op8_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     placed, _ = sharding.sharded(read(spark, folder, "documents"), 40)
     return placed.select(
@@ -40,5 +47,6 @@ def op8_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_pattern_packing": op4_pattern_packing,
     "op8_virtual_slots": op8_virtual_slots,
 }
