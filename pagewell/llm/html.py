@@ -1,0 +1,282 @@
+"""Main text of web pages by tree scoring.
+
+A page becomes a tree of elements. Every paragraph gives points for its length and its commas
+to its parent, half of them to the grandparent and less further up; a container's points
+are discounted by the share of its text that is inside links. The best container and those of
+its siblings that score well or read like prose are kept; menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and comments are left out wherever they are.
+Blocks come out in page order, one line each.
+
+Defined results: a null or empty page, and a page without text, give an empty string; markup
+that is never closed is closed at the end of the page; character references are decoded,
+white space inside a block becomes one space; pages of any length and depth are read whole,
+without recursion; repeated rows each give their row; extra columns of any name are carried.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Never part of the text, with all they hold.
+SKIPPED = frozenset(
+    "script style noscript template head title svg math canvas iframe object embed audio video form button select "
+    "textarea input label fieldset nav footer aside menu dialog map applet frameset noframes datalist".split()
+)
+BLOCKS = frozenset(
+    "html body address article blockquote center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr li main ol p pre section summary table tbody td tfoot th thead tr ul caption search".split()
+)
+PARAGRAPHS = frozenset("p pre td th li blockquote dd dt h1 h2 h3 h4 h5 h6 div section article main body".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Opening one of these ends an open element of the listed kinds, up to the listed borders.
+_P_ENDERS = BLOCKS - {"html", "body", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}
+CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "tbody": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}),
+    "tfoot": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}),
+    "option": ({"option"}, {"select"}),
+}
+# Words of a class or id that mark what is no part of the article.
+UNLIKELY = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion|ted|s)?|banner|cookies?|consent|"
+    r"gdpr|notices?|newsletter|subscri(?:be|ption)|signup|login|paywall|popup|modal|overlay|menu|nav(?:bar|igation)?|"
+    r"breadcrumbs?|sidebar|side|widgets?|related|recommended|recommendations|more-stories|share|sharing|social|footer|foot|"
+    r"header|masthead|topbar|comments?|commentlist|comment-?list|disqus|respond|replies|reply|pagination|pager|toc|"
+    r"tags|toolbar|search|skip|legal|copyright|disclaimer|alert|toast|rating|reactions?)(?:$|[\s_-])",
+    re.I,
+)
+UNLIKELY_ROLES = frozenset(
+    "navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split()
+)
+LIKELY = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
+COMMENT_PARTS = re.compile(r"(?:^|[\s_-])(?:user-?)?comment", re.I)
+
+
+class Node:
+    __slots__ = ("tag", "parent", "children", "skipped", "likely", "points", "length", "linked", "commas")
+
+    def __init__(self, tag: str, parent: "Node | None"):
+        self.tag, self.parent = tag, parent
+        self.children: list[Node | str] = []
+        self.skipped = self.likely = False
+        self.points = 0.0
+        self.length = self.linked = self.commas = 0
+
+
+class _Tree(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Node("", None)
+        self.open: dict[str, int] = {}
+        self.articles = 0
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in _P_ENDERS and self.open.get("p"):
+            self._close({"p"}, {"button", "table", "td", "th"})
+        if tag in CLOSES:
+            self._close(*CLOSES[tag])
+        if tag in VOID:
+            if tag in ("br", "hr"):
+                self.at.children.append(" " if tag == "br" else Node("hr", self.at))
+            return
+        node = Node(tag, self.at)
+        node.skipped = self._unwanted(node, dict(attrs))
+        self.at.children.append(node)
+        self.at = node
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def _unwanted(self, node: Node, attrs: dict[str, str | None]) -> bool:
+        tag = node.tag
+        if tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+            return True
+        if (attrs.get("role") or "").lower() in UNLIKELY_ROLES:
+            return True
+        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
+            return True
+        if tag == "header":
+            return not (self.open.get("article") or self.open.get("main"))
+        if tag in ("html", "body", "main"):
+            return False
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".strip()
+        node.likely = bool(names and LIKELY.search(names))
+        if not names:
+            return False
+        if tag == "article":
+            return bool(COMMENT_PARTS.search(names))
+        return tag not in HEADINGS and bool(UNLIKELY.search(names))
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "br":
+            self.at.children.append(" ")
+        elif self.open.get(tag):
+            while True:
+                done = self.at
+                self.open[done.tag] -= 1
+                self.at = done.parent
+                if done.tag == tag:
+                    break
+
+    def _close(self, kinds: set[str], borders: set[str]) -> None:
+        """Close up to the nearest open element of these kinds, unless a border comes first."""
+        if not any(self.open.get(k) for k in kinds):
+            return
+        node, last = self.at, None
+        while node.parent is not None and node.tag not in borders:
+            if node.tag in kinds:
+                last = node
+                if kinds == {"p"}:
+                    break
+            node = node.parent
+        if last is not None:
+            while self.at is not last.parent:
+                self.open[self.at.tag] -= 1
+                self.at = self.at.parent
+
+    def handle_data(self, data: str) -> None:
+        self.at.children.append(data)
+
+
+def tree_of(html: str) -> Node:
+    parser = _Tree()
+    parser.feed(html)
+    parser.close()
+    return parser.root
+
+
+def _in_order(root: Node) -> list[Node]:
+    """Every wanted node, parents before children."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        found.append(node)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.skipped)
+    return found
+
+
+def score(root: Node) -> list[Node]:
+    """Text lengths, linked lengths and points of all wanted nodes."""
+    nodes = _in_order(root)
+    for node in reversed(nodes):
+        own = "".join(c for c in node.children if isinstance(c, str))
+        own_length = len(" ".join(own.split()))
+        node.length, node.commas = own_length, own.count(",") + own.count("，") + own.count("、")
+        inline_length, inline_commas = own_length, node.commas
+        for c in node.children:
+            if isinstance(c, Node) and not c.skipped:
+                node.length += c.length
+                node.linked += c.linked
+                node.commas += c.commas
+                if c.tag not in BLOCKS:
+                    inline_length += c.length
+                    inline_commas += c.commas
+        if node.tag == "a":
+            node.linked = node.length
+        if node.tag in PARAGRAPHS and inline_length >= 25:
+            points = 1 + inline_commas + min(inline_length / 100, 3.0)
+            share, up = 1.0, node.parent
+            if node.tag not in ("p", "pre", "li", "td", "blockquote", "dd", *HEADINGS):
+                node.points += points
+                share = 0.5
+            for level in range(4):
+                if up is None or not up.tag:
+                    break
+                up.points += points * share
+                share = 0.5 if level == 0 else share / 1.5
+                up = up.parent
+    for node in nodes:
+        node.points *= 1 - density(node)
+        if node.tag in ("article", "main") or node.likely:
+            node.points *= 1.25
+    return nodes
+
+
+def density(node: Node) -> float:
+    return node.linked / node.length if node.length else 0.0
+
+
+def chosen(root: Node) -> list[Node]:
+    """The best container and the siblings that belong to it, in page order."""
+    nodes = score(root)
+    articles = [n for n in nodes if n.tag in ("article", "main") and n.length]
+    best = max(articles or nodes, key=lambda n: (n.points, n.length))
+    if not best.points:
+        best = max(articles, key=lambda n: n.length) if articles else root
+    up = best.parent
+    if up is None or best is root:
+        return [best]
+    limit = max(10.0, best.points * 0.2)
+    kept = []
+    for c in up.children:
+        if not isinstance(c, Node) or c.skipped:
+            continue
+        prose = c.tag in ("p", "pre", "blockquote") and density(c) < 0.25 and c.length > 80
+        heading = c.tag in HEADINGS and density(c) < 0.5
+        if c is best or c.points >= limit and density(c) < 0.33 or (not articles and (prose or heading)):
+            kept.append(c)
+    return kept
+
+
+def blocks_of(top: Node) -> Iterator[str]:
+    """Lines of text of the wanted nodes below ``top``, cut at block elements."""
+    parts: list[str] = []
+    stack: list[Node | str | None] = [top]
+    while stack:
+        item = stack.pop()
+        if item is None:
+            line = " ".join("".join(parts).split())
+            parts.clear()
+            if line:
+                yield line
+        elif isinstance(item, str):
+            parts.append(item)
+        else:
+            if item.tag in BLOCKS:
+                stack.append(None)
+            children = item.children
+            if item.tag == "header":
+                children = [c for c in children if isinstance(c, Node) and c.tag in HEADINGS | {"hgroup"}]
+            if density(item) > 0.6 and item.tag in ("ul", "ol", "table") and item.linked > 0:
+                children = []  # a list of links is a menu
+            stack.extend(c for c in reversed(children) if isinstance(c, str) or not c.skipped)
+            if item.tag in BLOCKS:
+                stack.append(None)
+    line = " ".join("".join(parts).split())
+    if line:
+        yield line
+
+
+def main_text(html: str | None) -> str:
+    if not html:
+        return ""
+    return "\n".join(line for top in chosen(tree_of(html)) for line in blocks_of(top))
+
+
+def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
+    """The pages without their markup column, with the main text and its length ``n_chars``."""
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [main_text(page.as_py()) for page in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                    names=["row", "text", "n_chars"],
+                )
+
+    rest = [F.col(f"`{c}`") for c in pages.columns if c not in (html, text, "n_chars")]
+    rows = pages.select(F.struct(*rest).alias("row"), F.col(html).cast("string").alias("html"))
+    schema = rows.select("row").schema.add("text", "string").add("n_chars", "long")
+    return rows.mapInArrow(extract, schema).select("row.*", F.col("text").alias(text), "n_chars")

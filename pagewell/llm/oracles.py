@@ -1,3 +1,47 @@
 """SQL for the queries that SQL can express; written out apart from the operators."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op5_tree_scoring"] = r"""
+WITH article AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages
+), lines AS (
+  SELECT page_id, url, list_filter(list_transform(
+    string_split(regexp_replace(body, '</?(h1|p)>', chr(1), 'g'), chr(1)),
+    lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(
+        regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+        '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')))
+  , lambda x: x <> '') AS blocks
+  FROM article
+), texts AS (
+  SELECT page_id, url,
+    array_to_string(list_transform(blocks, lambda x: regexp_replace(x, '\s+', ' ', 'g')), chr(10)) AS text
+  FROM lines
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""
+
+ORACLES["op9_poisson_mixing"] = r"""
+WITH docs AS (
+  SELECT *, coalesce(source, '') AS src, strlen(coalesce(text, '')) + 1 AS size,
+    coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS key
+  FROM documents
+), sources AS (
+  SELECT src, sum(size)::DOUBLE AS bytes, sqrt(sum(size)::DOUBLE) AS weight FROM docs GROUP BY src
+), rates AS (
+  SELECT src, sum(bytes) OVER () * weight / sum(weight) OVER () / bytes AS rate FROM sources
+), terms AS (
+  SELECT src, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
+  FROM rates, (SELECT unnest(range(0, 200)) AS k)
+), steps AS (
+  SELECT src, k, sum(p) OVER (PARTITION BY src ORDER BY k) AS total FROM terms
+), tables AS (
+  SELECT src, list(total ORDER BY k) AS cdf FROM steps GROUP BY src
+), drawn AS (
+  SELECT d.*, len(list_filter(t.cdf,
+    lambda c: c <= CAST(CAST('0x' || substr(md5('mix-1|' || d.key), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0
+  ))::INTEGER AS copies
+  FROM docs d JOIN tables t USING (src)
+)
+SELECT doc_id, text, lang, source, n_chars, copies, unnest(range(1, copies + 1))::INTEGER AS copy FROM drawn
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewell.llm import packing, quality, sharding
+from pagewell.llm import html, mixing, packing, quality, sharding
 from pagewell.llm.common import read
 
 
@@ -32,6 +32,11 @@ def op4_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages").select("page_id", "url", "html")
+    return html.extracted(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op8_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     placed, _ = sharding.sharded(read(spark, folder, "documents"), 40)
     return placed.select(
@@ -45,8 +50,15 @@ def op8_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_poisson_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return mixing.mixed(docs).select("doc.*", "copies", "copy")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_pattern_packing": op4_pattern_packing,
+    "op5_tree_scoring": op5_tree_scoring,
     "op8_virtual_slots": op8_virtual_slots,
+    "op9_poisson_mixing": op9_poisson_mixing,
 }
