@@ -121,7 +121,12 @@ class Words:
         codes = BYTE_CODE[LOWER[data]] if lower else BYTE_CODE[data]
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(codes * powers[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverses[self.start])
+        self._total, self._inverses = total, inverses
+        self.hash = self.range_hash(self.start, self.end)
+
+    def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges; those of whole words are ``hash``."""
+        return mix((self._total[end] - self._total[start]) * self._inverses[start])
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions where ``size`` words of one text follow each other, and the hash of each."""
@@ -151,6 +156,12 @@ def rolling_hash(h: np.ndarray, size: int) -> np.ndarray:
     return mix((total[size:] - total[:-size]) * inverses[: n - size + 1])
 
 
+def word_hash(word: str) -> int:
+    """The hash that ``Words`` gives a lower-cased word."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(Words(data, np.array([0, len(data)])).hash[0])
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Consecutive texts of a batch, at most ``limit`` bytes together or one longer text.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewell.llm import html, mixing, packing, quality, sharding
+from pagewell.llm import html, mixing, packing, quality, sharding, toxicity
 from pagewell.llm.common import read
 
 
@@ -37,6 +37,14 @@ def op5_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return html.extracted(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op7_boosted_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    held_out = F.pmod(toxicity.id_crc(), F.lit(4)) == 2
+    sample = toxicity.sample_of(docs, read(spark, folder, "labels"), ~held_out)
+    scores = toxicity.scored(docs, toxicity.fitted(sample), "doc_id")
+    return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     placed, _ = sharding.sharded(read(spark, folder, "documents"), 40)
     return placed.select(
@@ -59,6 +67,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_tree_scoring": op5_tree_scoring,
+    "op7_boosted_toxicity": op7_boosted_toxicity,
     "op8_virtual_slots": op8_virtual_slots,
     "op9_poisson_mixing": op9_poisson_mixing,
 }
