@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewell.llm import html, mixing, packing, quality, sharding, toxicity
+from pagewell.llm import html, mixing, neighbours, packing, quality, sharding, toxicity
 from pagewell.llm.common import read
 
 
@@ -63,6 +63,11 @@ def op9_poisson_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(docs).select("doc.*", "copies", "copy")
 
 
+def op10_shifted_curves(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, F.col("vec_id") % 100 == 0)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_pattern_packing": op4_pattern_packing,
@@ -70,4 +75,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_boosted_toxicity": op7_boosted_toxicity,
     "op8_virtual_slots": op8_virtual_slots,
     "op9_poisson_mixing": op9_poisson_mixing,
+    "op10_shifted_curves": op10_shifted_curves,
 }
