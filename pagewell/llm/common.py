@@ -19,29 +19,36 @@ from pagewell.session import ship_package, work_dir
 # The word separators, as a Java class and as characters.
 SPACE_CLASS = r"[ \t-\r]"
 SPACES = " \t\n\x0b\f\r"
+# Shuffle files of a query that ends in a table are not needed after it.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
-def _shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a query that ends in a table are not needed after it."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _set(spark: SparkSession, **values: str) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
-def written(df: DataFrame, label: str, *partitions: str) -> DataFrame:
-    """The rows, written once to the shared folder and read back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, label: str, *partitions: str, batch_rows: int | None = None) -> DataFrame:
+    """The rows, written once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    ``batch_rows`` bounds the rows of an Arrow batch, for tables of large rows.
+    """
     spark = df.sparkSession
     ship_package(spark)
     place = work_dir(spark, label)
-    with _shuffle_files_removed(spark):
+    settings = {CLEANUP: "true"} | ({ARROW_ROWS: str(batch_rows)} if batch_rows else {})
+    with _set(spark, **settings):
         df.write.option("compression", "zstd").partitionBy(*partitions).parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 

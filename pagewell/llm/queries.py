@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewell.llm import html, mixing, neighbours, packing, quality, sharding, toxicity
+from pagewell.llm import html, mixing, neighbours, packing, quality, sharding, substrings, toxicity
 from pagewell.llm.common import read
 
 
@@ -37,6 +37,11 @@ def op5_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return html.extracted(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op6_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
+    done = substrings.deduplicated(read(spark, folder, "documents"), "doc_id", texts=False)
+    return done.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_boosted_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     held_out = F.pmod(toxicity.id_crc(), F.lit(4)) == 2
@@ -72,6 +77,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_tree_scoring": op5_tree_scoring,
+    "op6_seed_extend": op6_seed_extend,
     "op7_boosted_toxicity": op7_boosted_toxicity,
     "op8_virtual_slots": op8_virtual_slots,
     "op9_poisson_mixing": op9_poisson_mixing,
