@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewell.llm import html, mixing, neighbours, packing, quality, sharding, substrings, toxicity
+from pagewell.llm import html, minhash, mixing, neighbours, packing, quality, sharding, substrings, toxicity
 from pagewell.llm.common import read
 
 
+def op1_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = minhash.grouped(read(spark, folder, "documents"), "doc_id")
+    kept = F.coalesce(F.col("doc.doc_id") == F.col("component_id"), F.lit(False))
+    return groups.select("doc.doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return quality.judged(docs, quality.QualityRules(), "doc_id").select(
@@ -74,6 +80,7 @@ def op10_shifted_curves(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_circulant_minhash": op1_circulant_minhash,
     "op3_quality_rules": op3_quality_rules,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_tree_scoring": op5_tree_scoring,
