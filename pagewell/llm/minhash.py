@@ -227,12 +227,13 @@ def _rest_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
             "deal": F.xxhash64("class"),
         }
     )
+    # The keys of both sides need equal types to meet.
     queries = rows.where("label <> main").select(
         F.col("key").alias("q_key"),
         F.col("class").alias("q_class"),
         F.col("label").alias("q_label"),
         F.col("sig").alias("q_sig"),
-        F.pmod("deal", "query_blocks").alias("q_block"),
+        F.pmod("deal", "query_blocks").cast("int").alias("q_block"),
         F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("q_member"),
     )
     members = rows.select(
@@ -240,7 +241,7 @@ def _rest_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
         "class",
         "label",
         "sig",
-        F.pmod("deal", "member_blocks").alias("member"),
+        F.pmod("deal", "member_blocks").cast("int").alias("member"),
         F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("block"),
     )
 
