@@ -10,8 +10,8 @@ No group is compared pair by pair as a whole. Equal sets are one class. Then, in
 every class of a bucket against one hub, the links found are contracted to components, and buckets
 whose members are all in one component are done; a second round takes another hub for each
 remaining bucket; the last one compares what is left of a bucket, members outside its largest
-component against all others, in blocks of bounded size, by signatures first. So no link between
-classes of different components stays untested.
+component against all others, in blocks of bounded size, by signatures first and at once by the sets,
+so that only links leave a block. So no link between classes of different components stays untested.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing;
 repeated rows are equal sets; a null id never is a component's smallest id unless there is no
@@ -39,7 +39,7 @@ COORDINATES = BANDS * ROWS
 # Pairs whose signatures agree in fewer coordinates are not verified. At a similarity of 0.75 the
 # mean is 96 with a deviation of 4.9, so a pair is lost with a chance of about one in ten million.
 MIN_EQUAL = 70
-QUERIES, MEMBERS = 512, 4096  # block sizes of the last round
+QUERY_SIZE, MEMBER_SIZE = 1 << 19, 1 << 21  # shingles in a block of the last round
 
 _SHIFTS = np.arange(COORDINATES, dtype=np.uint32)
 
@@ -213,26 +213,47 @@ def _hub_pairs(rows: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _rest_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs with similar signatures and different labels, of all open buckets, block by block."""
-    sizes = rows.groupBy("key", "label").count()
+def _rest_links(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links between different labels in all open buckets, found block by block.
+
+    Members bring their sets along, so pairs are confirmed where they meet and only links leave.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, data, offsets in text_slices(batch.column("text")):
+                found = [x.tobytes() for x in shingle_sets(data, offsets)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("class").slice(at, end - at), pa.array(found, pa.binary())], names=["class", "set"]
+                )
+
+    open_texts = texts.join(rows.select("class").distinct(), "class").select("class", "text")
+    bags = written(open_texts.mapInArrow(sets, "class bigint, set binary"), "open-sets")
+    rows = rows.join(classes.select("class", "sig", "n_shingles"), "class")
+    sizes = rows.groupBy("key", "label").agg(F.sum("n_shingles").alias("size"))
     largest = sizes.groupBy("key").agg(
-        F.max(F.struct("count", "label"))["label"].alias("main"), F.sum("count").alias("n"), F.max("count").alias("m")
+        F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("all_size")
     )
-    rows = rows.join(largest, "key").join(classes.select("class", "sig"), "class")
-    rows = rows.withColumns(
-        {
-            "query_blocks": F.ceil((F.col("n") - F.col("m")) / QUERIES).cast("int"),
-            "member_blocks": F.ceil(F.col("n") / MEMBERS).cast("int"),
-            "deal": F.xxhash64("class"),
-        }
+    rows = rows.join(largest, "key").join(bags, "class")
+    queries_size = F.col("all_size") - F.col("most.size")
+    rows = rows.select(
+        "key",
+        "class",
+        "label",
+        "sig",
+        "set",
+        (F.col("label") != F.col("most.label")).alias("asks"),
+        F.ceil(queries_size / QUERY_SIZE).cast("int").alias("query_blocks"),
+        F.ceil(F.col("all_size") / MEMBER_SIZE).cast("int").alias("member_blocks"),
+        F.xxhash64("class").alias("deal"),
     )
     # The keys of both sides need equal types to meet.
-    queries = rows.where("label <> main").select(
+    queries = rows.where("asks").select(
         F.col("key").alias("q_key"),
         F.col("class").alias("q_class"),
         F.col("label").alias("q_label"),
         F.col("sig").alias("q_sig"),
+        F.col("set").alias("q_set"),
         F.pmod("deal", "query_blocks").cast("int").alias("q_block"),
         F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("q_member"),
     )
@@ -241,27 +262,49 @@ def _rest_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
         "class",
         "label",
         "sig",
+        "set",
         F.pmod("deal", "member_blocks").cast("int").alias("member"),
         F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("block"),
     )
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        found_a, found_b = [], []
+        found: list[tuple[int, int]] = []
         if left.num_rows and right.num_rows:
-            q, m = (
+            q_sig, sig = (
                 np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, COORDINATES)
                 for t, c in ((left, "q_sig"), (right, "sig"))
             )
-            ids, labels = right["class"].to_numpy(), right["label"].to_numpy()
-            for sig, own, label in zip(q, left["q_class"].to_numpy(), left["q_label"].to_numpy()):
-                near = ids[((m == sig).sum(1) >= MIN_EQUAL) & (labels != label)]
-                found_a.append(np.minimum(near, own))
-                found_b.append(np.maximum(near, own))
-        both = [np.concatenate(x or [np.zeros(0, np.int64)]) for x in (found_a, found_b)]
-        return pa.table({"a": both[0], "b": both[1]})
+            own = [np.frombuffer(x, np.uint64) for x in left["q_set"].to_pylist()]
+            theirs = [np.frombuffer(x, np.uint64) for x in right["set"].to_pylist()]
+            size = np.array([len(x) for x in theirs])
+            known, ids = np.unique(np.concatenate(theirs), return_inverse=True)
+            bags = np.split(ids, np.cumsum(size)[:-1])
+            classes, labels = right["class"].to_numpy(), right["label"].to_numpy()
+            q_class, q_label = left["q_class"].to_numpy(), left["q_label"].to_numpy()
+            for i, bag in enumerate(own):
+                n = len(bag)
+                near = np.flatnonzero(
+                    ((sig == q_sig[i]).sum(1) >= MIN_EQUAL)
+                    & (labels != q_label[i])
+                    & (100 * np.minimum(size, n) >= THRESHOLD * np.maximum(size, n))
+                )
+                if len(near):
+                    at = np.minimum(np.searchsorted(known, bag), len(known) - 1)
+                    mark = np.zeros(len(known), bool)
+                    mark[at[known[at] == bag]] = True
+                    hits = mark[np.concatenate([bags[j] for j in near])]
+                    both = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
+                    linked = near[100 * both >= THRESHOLD * (size[near] + n - both)]
+                    found += [(int(q_class[i]), int(classes[j])) for j in linked]
+        return pa.table(
+            {
+                "a": pa.array([min(x) for x in found], pa.int64()),
+                "b": pa.array([max(x) for x in found], pa.int64()),
+            }
+        )
 
-    pairs = queries.groupBy("q_key", "q_block", "q_member").cogroup(members.groupBy("key", "block", "member"))
-    return pairs.applyInArrow(compare, "a bigint, b bigint").distinct()
+    met = queries.groupBy("q_key", "q_block", "q_member").cogroup(members.groupBy("key", "block", "member"))
+    return written(met.applyInArrow(compare, "a bigint, b bigint").distinct(), "links")
 
 
 def class_labels(shingled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -281,8 +324,7 @@ def class_labels(shingled: DataFrame) -> tuple[DataFrame, DataFrame]:
     second = written(_hub_pairs(rows).join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.union(_verified(second, measures, texts))
     rows = _labelled(rows.select("key", "class"), links)
-    third = _rest_pairs(rows, measures).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    links = links.union(_verified(written(third, "pairs"), measures, texts))
+    links = links.union(_rest_links(rows, measures, texts))
     return classes, components(links).withColumnRenamed("node", "class")
 
 
