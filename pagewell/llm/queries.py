@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewell.llm import html, minhash, mixing, neighbours, packing, quality, sharding, substrings, toxicity
+from pagewell.llm import html, katz, minhash, mixing, neighbours, packing, quality, sharding, substrings, toxicity
 from pagewell.llm.common import read
 
 
@@ -17,6 +17,22 @@ def op1_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc.doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def op2_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select(
+        "doc_id", "text", (F.pmod(toxicity.id_crc(), F.lit(5)) == 1).alias("is_held_out")
+    )
+    model = katz.Model(docs, "is_held_out", "doc_id")
+    return model.scored().select(
+        "row.doc_id",
+        "row.held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(model.totals.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return quality.judged(docs, quality.QualityRules(), "doc_id").select(
@@ -81,6 +97,7 @@ def op10_shifted_curves(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_circulant_minhash": op1_circulant_minhash,
+    "op2_katz_backoff": op2_katz_backoff,
     "op3_quality_rules": op3_quality_rules,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_tree_scoring": op5_tree_scoring,
