@@ -1,10 +1,15 @@
-"""The documents, cleaned and packed: quality rules first, packed sequences last."""
+"""The documents, cleaned, mixed and packed.
+
+Quality rules drop documents that read like none of their language; of near-duplicates one
+stays; passages that occur elsewhere are cut out; sources are repeated to their target weights;
+and what remains is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewell.llm import quality
+from pagewell.llm import minhash, mixing, packing, quality, substrings
 from pagewell.llm.common import read, written
 
 
@@ -12,7 +17,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substrings.cleaned(docs)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs).select("doc.*")
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, ids=False)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("source mixture", source_mixture),
+    ("packed sequences", packed_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,4 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: Tokens, signatures and the packing plan are beyond SQL; the tests check every stage against brute force.
 ORACLE_SQL = None

@@ -328,22 +328,36 @@ def class_labels(shingled: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, components(links).withColumnRenamed("node", "class")
 
 
-def grouped(docs: DataFrame, *keep: str, doc_id: str = "doc_id") -> DataFrame:
-    """Struct ``doc`` of the ``keep`` columns (``doc_id`` among them), n_shingles, component_id and
-    ``keeper``: true for one row of each component, one with the smallest id."""
-    shingled = prepared(docs, *keep)
+def _members(shingled: DataFrame, doc_id: str) -> DataFrame:
+    """row, doc, n_shingles, component_id and ``keeper`` of every row."""
     classes, labels = class_labels(shingled)
     classes = classes.join(labels, "class", "left")
     classes = classes.select("set1", "set2", "n_shingles", F.coalesce("label", "class").alias("label"))
     rows = shingled.drop("text", "sig", "bands").join(classes, ["set1", "set2", "n_shingles"], "left")
     # Rows without words are components of their own.
     rows = written(rows.withColumn("label", F.coalesce("label", "row")), "labelled")
+    own_id = F.col("doc").getField(doc_id)
     smallest = rows.groupBy("label").agg(
-        F.min(F.struct(F.col(f"doc.{doc_id}").isNull().alias("none"), F.col(f"doc.{doc_id}").alias("id"), "row")).alias("least")
+        F.min(F.struct(own_id.isNull().alias("none"), own_id.alias("id"), "row")).alias("least")
     )
     return rows.join(smallest, "label").select(
+        "row",
         "doc",
         "n_shingles",
         F.col("least.id").alias("component_id"),
         (F.col("row") == F.col("least.row")).alias("keeper"),
     )
+
+
+def grouped(docs: DataFrame, *keep: str, doc_id: str = "doc_id") -> DataFrame:
+    """Struct ``doc`` of the ``keep`` columns (``doc_id`` among them), n_shingles, component_id and
+    ``keeper``: true for one row of each component, one with the smallest id."""
+    return _members(prepared(docs, *keep), doc_id).drop("row")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The documents, one of each component, with all their columns."""
+    shingled = prepared(docs, *[c for c in docs.columns if c != "text"])
+    keepers = _members(shingled, doc_id).where("keeper").select("row")
+    kept = shingled.select("row", "doc", "text").join(keepers, "row", "left_semi")
+    return kept.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])

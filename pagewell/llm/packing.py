@@ -253,4 +253,4 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None,
             columns = [batch.column(n) for n in names] + [pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(placed, schema)
+    return ranked.mapInArrow(placed, schema).select(*cut.drop("part").columns, "sequence_id", "offset")

@@ -22,6 +22,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagewell.llm.blocks import (
     BATCH_ROWS,
@@ -181,3 +182,10 @@ def deduplicated(
 
     final = with_answers(blocks, anchors, windows).mapInArrow(remove, schema)
     return written(final, "without-repeats", batch_rows=BATCH_ROWS)
+
+
+def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with their own columns, their texts (and ``n_chars``) without repeats."""
+    done = deduplicated(docs, *[c for c in docs.columns if c != "text"], length=length)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
