@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewell.llm import html, katz, minhash, mixing, neighbours, packing, quality, sharding, substrings, toxicity
+from pagewell.llm import extraction, katz, minhash, mixing, neighbours, packing, quality, sharding, substrings, toxicity
 from pagewell.llm.common import read
 
 
@@ -56,7 +56,7 @@ def op4_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
     pages = read(spark, folder, "pages").select("page_id", "url", "html")
-    return html.extracted(pages).select("page_id", "url", "text", "n_chars")
+    return extraction.extracted(pages).select("page_id", "url", "text", "n_chars")
 
 
 def op6_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
