@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewell.llm.common import Words, lists, mix, sequence_hash, signed, text_slices, written
@@ -39,7 +39,9 @@ COORDINATES = BANDS * ROWS
 # Pairs whose signatures agree in fewer coordinates are not verified. At a similarity of 0.75 the
 # mean is 96 with a deviation of 4.9, so a pair is lost with a chance of about one in ten million.
 MIN_EQUAL = 70
-QUERY_SIZE, MEMBER_SIZE = 1 << 19, 1 << 21  # shingles in a block of the last round
+# Blocks of the last round: rows while signatures are compared, shingles while sets are.
+QUERIES, MEMBERS = 2048, 8192
+QUERY_SIZE, MEMBER_SIZE = 1 << 19, 1 << 21
 
 _SHIFTS = np.arange(COORDINATES, dtype=np.uint32)
 
@@ -213,89 +215,96 @@ def _hub_pairs(rows: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _rest_links(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links between different labels in all open buckets, found block by block.
+def _block_by_block(rows: DataFrame, size: Column, query_size: int, member_size: int, compare, schema: str) -> DataFrame:
+    """``compare`` on every block of queries and block of members of each bucket.
 
-    Members bring their sets along, so pairs are confirmed where they meet and only links leave.
+    Queries are the members outside a bucket's largest label. ``rows`` has key, class, label and
+    what ``compare`` needs of each; the columns of queries begin with ``q_``.
     """
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, end, data, offsets in text_slices(batch.column("text")):
-                found = [x.tobytes() for x in shingle_sets(data, offsets)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("class").slice(at, end - at), pa.array(found, pa.binary())], names=["class", "set"]
-                )
-
-    open_texts = texts.join(rows.select("class").distinct(), "class").select("class", "text")
-    bags = written(open_texts.mapInArrow(sets, "class bigint, set binary"), "open-sets")
-    rows = rows.join(classes.select("class", "sig", "n_shingles"), "class")
-    sizes = rows.groupBy("key", "label").agg(F.sum("n_shingles").alias("size"))
+    sizes = rows.withColumn("size", size).groupBy("key", "label").agg(F.sum("size").alias("size"))
     largest = sizes.groupBy("key").agg(
         F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("all_size")
     )
-    rows = rows.join(largest, "key").join(bags, "class")
-    queries_size = F.col("all_size") - F.col("most.size")
-    rows = rows.select(
-        "key",
-        "class",
-        "label",
-        "sig",
-        "set",
+    dealt = rows.join(largest, "key").select(
+        *rows.columns,
         (F.col("label") != F.col("most.label")).alias("asks"),
-        F.ceil(queries_size / QUERY_SIZE).cast("int").alias("query_blocks"),
-        F.ceil(F.col("all_size") / MEMBER_SIZE).cast("int").alias("member_blocks"),
+        F.ceil((F.col("all_size") - F.col("most.size")) / query_size).cast("int").alias("query_blocks"),
+        F.ceil(F.col("all_size") / member_size).cast("int").alias("member_blocks"),
         F.xxhash64("class").alias("deal"),
     )
     # The keys of both sides need equal types to meet.
-    queries = rows.where("asks").select(
-        F.col("key").alias("q_key"),
-        F.col("class").alias("q_class"),
-        F.col("label").alias("q_label"),
-        F.col("sig").alias("q_sig"),
-        F.col("set").alias("q_set"),
+    queries = dealt.where("asks").select(
+        *[F.col(c).alias(f"q_{c}") for c in rows.columns],
         F.pmod("deal", "query_blocks").cast("int").alias("q_block"),
         F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("q_member"),
     )
-    members = rows.select(
-        "key",
-        "class",
-        "label",
-        "sig",
-        "set",
+    members = dealt.select(
+        *rows.columns,
         F.pmod("deal", "member_blocks").cast("int").alias("member"),
         F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("block"),
     )
+    met = queries.groupBy("q_key", "q_block", "q_member").cogroup(members.groupBy("key", "block", "member"))
+    return met.applyInArrow(compare, schema)
+
+
+def _near(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query its number and those of the members that may be linked with it."""
+    q_sig, sig = (
+        np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        for t, c in ((left, "q_sig"), (right, "sig"))
+    )
+    label, size = right["label"].to_numpy(), right["n_shingles"].to_numpy()
+    for i, (q_label, n) in enumerate(zip(left["q_label"].to_numpy(), left["q_n_shingles"].to_numpy())):
+        fits = (label != q_label) & (100 * np.minimum(size, n) >= THRESHOLD * np.maximum(size, n))
+        at = np.flatnonzero(fits)
+        yield i, at[(sig[at] == q_sig[i]).sum(1) >= MIN_EQUAL]
+
+
+def _rest_links(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links between different labels in all open buckets, found block by block.
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    By signatures first, which leaves the members that have a similar one. Only these bring their sets
+    along, so pairs are confirmed where they meet and only links leave a block.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, data, offsets in text_slices(batch.column("text")):
+                found = [x.tobytes() for x in shingle_sets(data, offsets)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("class").slice(at, end - at), pa.array(found, pa.binary())], names=["class", "set"]
+                )
+
+    def similar(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = []
+        if left.num_rows and right.num_rows:
+            asked, members = left["q_class"].to_numpy(), right["class"].to_numpy()
+            for i, near in _near(left, right):
+                if len(near):
+                    found += [asked[i : i + 1], members[near]]
+        classes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        key = left["q_key"][0].as_py() if left.num_rows else None
+        return pa.table({"key": pa.array([key] * len(classes), pa.int64()), "class": pa.array(classes)})
+
+    def linked(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         if left.num_rows and right.num_rows:
-            q_sig, sig = (
-                np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, COORDINATES)
-                for t, c in ((left, "q_sig"), (right, "sig"))
-            )
             own = [np.frombuffer(x, np.uint64) for x in left["q_set"].to_pylist()]
             theirs = [np.frombuffer(x, np.uint64) for x in right["set"].to_pylist()]
             size = np.array([len(x) for x in theirs])
             known, ids = np.unique(np.concatenate(theirs), return_inverse=True)
             bags = np.split(ids, np.cumsum(size)[:-1])
-            classes, labels = right["class"].to_numpy(), right["label"].to_numpy()
-            q_class, q_label = left["q_class"].to_numpy(), left["q_label"].to_numpy()
-            for i, bag in enumerate(own):
-                n = len(bag)
-                near = np.flatnonzero(
-                    ((sig == q_sig[i]).sum(1) >= MIN_EQUAL)
-                    & (labels != q_label[i])
-                    & (100 * np.minimum(size, n) >= THRESHOLD * np.maximum(size, n))
-                )
+            asked, members = left["q_class"].to_numpy(), right["class"].to_numpy()
+            for i, near in _near(left, right):
                 if len(near):
+                    bag = own[i]
                     at = np.minimum(np.searchsorted(known, bag), len(known) - 1)
                     mark = np.zeros(len(known), bool)
                     mark[at[known[at] == bag]] = True
                     hits = mark[np.concatenate([bags[j] for j in near])]
                     both = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
-                    linked = near[100 * both >= THRESHOLD * (size[near] + n - both)]
-                    found += [(int(q_class[i]), int(classes[j])) for j in linked]
+                    good = near[100 * both >= THRESHOLD * (size[near] + len(bag) - both)]
+                    found += [(int(asked[i]), int(members[j])) for j in good]
         return pa.table(
             {
                 "a": pa.array([min(x) for x in found], pa.int64()),
@@ -303,8 +312,15 @@ def _rest_links(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
             }
         )
 
-    met = queries.groupBy("q_key", "q_block", "q_member").cogroup(members.groupBy("key", "block", "member"))
-    return written(met.applyInArrow(compare, "a bigint, b bigint").distinct(), "links")
+    rows = written(rows.join(classes.select("class", "sig", "n_shingles"), "class"), "open-signatures")
+    close = _block_by_block(rows, F.lit(1), QUERIES, MEMBERS, similar, "key bigint, class bigint")
+    rows = written(rows.join(close.distinct(), ["key", "class"]), "close-members")
+    open_texts = texts.join(rows.select("class").distinct(), "class").select("class", "text")
+    bags = written(open_texts.mapInArrow(sets, "class bigint, set binary"), "open-sets")
+    links = _block_by_block(
+        rows.join(bags, "class"), F.col("n_shingles"), QUERY_SIZE, MEMBER_SIZE, linked, "a bigint, b bigint"
+    )
+    return written(links.distinct(), "links")
 
 
 def class_labels(shingled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -314,10 +330,17 @@ def class_labels(shingled: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = shingled.join(classes.select(F.col("class").alias("row")), "row")
     measures = written(own.select(F.col("row").alias("class"), "n_shingles", "sig", "bands"), "signatures")
     texts = shingled.select(F.col("row").alias("class"), "text")
-    keys = measures.select("class", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = written(keys.join(shared.drop("n"), "key"), "buckets")
-    first = members.where(F.col("class") != F.col("hub"))
+    keys = measures.select("class", "n_shingles", F.explode("bands").alias("key"))
+    hub = F.min(F.struct("class", "n_shingles")).alias("hub")
+    shared = keys.groupBy("key").agg(hub, F.count("*").alias("n")).where("n > 1")
+    members = written(
+        keys.join(shared, "key").select(
+            "key", "class", "n_shingles", F.col("hub.class").alias("hub"), F.col("hub.n_shingles").alias("hub_size")
+        ),
+        "buckets",
+    )
+    fits = 100 * F.least("n_shingles", "hub_size") >= THRESHOLD * F.greatest("n_shingles", "hub_size")
+    first = members.where((F.col("class") != F.col("hub")) & fits)
     first = written(first.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
     links = _verified(first, measures, texts)
     rows = _labelled(members.select("key", "class"), links)
