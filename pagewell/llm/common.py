@@ -50,7 +50,18 @@ def written(df: DataFrame, label: str, *partitions: str, batch_rows: int | None
     settings = {CLEANUP: "true"} | ({ARROW_ROWS: str(batch_rows)} if batch_rows else {})
     with _set(spark, **settings):
         df.write.option("compression", "zstd").partitionBy(*partitions).parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    table = spark.read.schema(df.schema).parquet(place)
+    table.place = place
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing unfinished reads any more."""
+    for table in tables:
+        if place := getattr(table, "place", None):
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

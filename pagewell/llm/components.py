@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewell.llm.common import written
+from pagewell.llm.common import discard, written
 
 
 def _ordered(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -20,6 +20,7 @@ def _ordered(edges: DataFrame, a: str, b: str) -> DataFrame:
 def _shortened(parents: DataFrame) -> DataFrame:
     """Every node's root: parents are replaced by their parents until none has one."""
     while True:
+        before = parents
         up = parents.select(F.col("node").alias("root"), F.col("root").alias("higher"))
         parents = written(
             parents.join(up, "root", "left").select(
@@ -27,9 +28,11 @@ def _shortened(parents: DataFrame) -> DataFrame:
             ),
             "roots",
         )
+        discard(before)
         if parents.where("moved").isEmpty():
-            return parents.select("node", "root")
-        parents = parents.select("node", "root")
+            return parents
+        parents, place = parents.select("node", "root"), parents.place
+        parents.place = place
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(_ordered(edges, "a", "b"), "links")
     labels = None
     while not edges.isEmpty():
-        roots = _shortened(edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"))
+        last, table = edges, _shortened(edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"))
+        roots = table.select("node", "root")
         if labels is None:
             ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
             labels = written(
@@ -45,10 +49,11 @@ def components(edges: DataFrame) -> DataFrame:
             )
         else:
             higher = roots.select(F.col("node").alias("label"), "root")
-            labels = written(
+            old, labels = labels, written(
                 labels.join(higher, "label", "left").select("node", F.coalesce("root", "label").alias("label")),
                 "labels",
             )
+            discard(old)
         to = roots.select(F.col("node").alias("b"), F.col("root").alias("b_root"))
         moved = edges.join(roots.withColumnRenamed("node", "a"), "a", "left").join(to, "b", "left")
         edges = written(
@@ -57,6 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
             ),
             "links",
         )
+        discard(last, table)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels

@@ -44,7 +44,7 @@ from pagewell.llm.blocks import (
     with_answers,
     opened,
 )
-from pagewell.llm.common import Words, mix, sequence_hash, text_slices, written
+from pagewell.llm.common import Words, discard, mix, sequence_hash, text_slices, written
 
 ORDER = 2
 K = 5  # counts beyond K are not discounted
@@ -223,10 +223,10 @@ class Model:
         return written(rows, label, "bucket", batch_rows=BATCH_ROWS)
 
     def _count(self, n: int) -> None:
-        messages = written(
-            asked(self.blocks, _grams_asked(self.order, n), self.buckets), f"grams-{n}", batch_rows=BATCH_ROWS
-        )
-        self.answers.append(written(answered(messages, "l", _counts, f"counts{n}"), f"counts-{n}"))
+        # Asked twice, for the answers and for the table, rather than kept: the questions are large.
+        messages = asked(self.blocks, _grams_asked(self.order, n), self.buckets)
+        answers = answered(messages, "l", _counts, f"counts{n}")
+        self.answers.append(written(answers, f"counts-{n}", batch_rows=BATCH_ROWS))
         grams = self._store(messages, "l", ["counts"], _counts, f"model-grams-{n}")
         self.tables[f"grams{n}"] = grams
         counts = grams.select(F.explode("counts").alias("c"))
@@ -245,6 +245,7 @@ class Model:
         self.tables[f"contexts{n}"] = self._store(
             messages, "ddd", ["totals", "alphas"], _weights, f"model-contexts-{n}"
         )
+        discard(messages)
 
     def scored(self) -> DataFrame:
         """Struct ``row`` (held_out and the kept columns) with the scores of every text."""

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewell.llm.common import Words, lists, mix, sequence_hash, signed, text_slices, written
+from pagewell.llm.common import Words, discard, lists, mix, sequence_hash, signed, text_slices, written
 from pagewell.llm.components import components
 
 SHINGLE = 5
@@ -189,12 +189,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     ends = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
     needed = written(texts.join(ends, "class"), "candidate-texts")
     full = near.join(side("b", needed, "text"), "b").join(side("a", needed, "text"), "a")
-    return written(full.select("a", "b", "text_a", "text_b").mapInArrow(linked, "a bigint, b bigint"), "links")
+    links = written(full.select("a", "b", "text_a", "text_b").mapInArrow(linked, "a bigint, b bigint"), "links")
+    discard(near, needed)
+    return links
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """key, class and label of the members of buckets that span several components."""
-    labels = components(links).withColumnRenamed("node", "class")
+    found = components(links)
+    labels = found.withColumnRenamed("node", "class")
     rows = members.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     open_keys = (
         rows.groupBy("key")
@@ -202,7 +205,9 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
         .where("low <> high")
         .select("key")
     )
-    return written(rows.join(open_keys, "key").select("key", "class", "label"), "open-buckets")
+    rows = written(rows.join(open_keys, "key").select("key", "class", "label"), "open-buckets")
+    discard(found)
+    return rows
 
 
 def _hub_pairs(rows: DataFrame) -> DataFrame:
@@ -314,13 +319,16 @@ def _rest_links(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
 
     rows = written(rows.join(classes.select("class", "sig", "n_shingles"), "class"), "open-signatures")
     close = _block_by_block(rows, F.lit(1), QUERIES, MEMBERS, similar, "key bigint, class bigint")
-    rows = written(rows.join(close.distinct(), ["key", "class"]), "close-members")
+    signed_rows, rows = rows, written(rows.join(close.distinct(), ["key", "class"]), "close-members")
+    discard(signed_rows)
     open_texts = texts.join(rows.select("class").distinct(), "class").select("class", "text")
     bags = written(open_texts.mapInArrow(sets, "class bigint, set binary"), "open-sets")
     links = _block_by_block(
         rows.join(bags, "class"), F.col("n_shingles"), QUERY_SIZE, MEMBER_SIZE, linked, "a bigint, b bigint"
     )
-    return written(links.distinct(), "links")
+    links = written(links.distinct(), "links")
+    discard(rows, bags)
+    return links
 
 
 def class_labels(shingled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -342,13 +350,18 @@ def class_labels(shingled: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = 100 * F.least("n_shingles", "hub_size") >= THRESHOLD * F.greatest("n_shingles", "hub_size")
     first = members.where((F.col("class") != F.col("hub")) & fits)
     first = written(first.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
-    links = _verified(first, measures, texts)
+    links = one = _verified(first, measures, texts)
     rows = _labelled(members.select("key", "class"), links)
+    discard(members)
     second = written(_hub_pairs(rows).join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(_verified(second, measures, texts))
-    rows = _labelled(rows.select("key", "class"), links)
-    links = links.union(_rest_links(rows, measures, texts))
-    return classes, components(links).withColumnRenamed("node", "class")
+    two = _verified(second, measures, texts)
+    discard(first, second)
+    wider, rows = rows, _labelled(rows.select("key", "class"), one.union(two))
+    discard(wider)
+    three = _rest_links(rows, measures, texts)
+    labels = components(one.union(two).union(three))
+    discard(rows, measures, one, two, three)
+    return classes, labels.withColumnRenamed("node", "class")
 
 
 def _members(shingled: DataFrame, doc_id: str) -> DataFrame:

@@ -210,11 +210,15 @@ def distance(p: Column, q: Column) -> Column:
 def judged(docs: DataFrame, rules: QualityRules, *keep: str) -> DataFrame:
     """Columns ``keep`` of every row, its base counts, both distances and the verdict.
 
-    The row of counts is written once; a column of ``keep`` named like a result is refused.
+    The rows of counts are written once, with the kept columns, which should be small.
     """
     counts = written(counted(docs, rules, F.struct(*[F.col(f"`{c}`") for c in keep])), "quality-counts")
+    return _compared(counts, references(counts, rules), rules)
+
+
+def _compared(counts: DataFrame, refs: DataFrame, rules: QualityRules) -> DataFrame:
     # A row per language; small by its files' size, so the planner may broadcast it.
-    df = counts.join(written(references(counts, rules), "quality-references"), "lang", "left")
+    df = counts.join(written(refs, "quality-references"), "lang", "left")
     df = df.withColumn("class_distance", distance(F.col("classes"), F.col("class_sums"))).withColumn(
         "word_distance",
         F.when(F.size("common_counts") > 1, distance(F.col("common_counts"), F.col("common_sums"))).otherwise(0.0),
@@ -239,5 +243,7 @@ def judged(docs: DataFrame, rules: QualityRules, *keep: str) -> DataFrame:
 
 def clean(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that pass, with their own columns."""
-    passed = judged(docs.select(F.struct("*").alias("doc"), "text", "lang"), rules, "doc")
-    return passed.where("kept").select("doc.*")
+    own = F.struct(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    # Texts are read again for the verdict rather than copied beside the counts.
+    refs = references(counted(docs, rules, F.struct(F.lit(0))), rules)
+    return _compared(counted(docs, rules, own), refs, rules).where("kept").select("doc.*")

@@ -34,7 +34,7 @@ from pagewell.llm.blocks import (
     opened,
     with_answers,
 )
-from pagewell.llm.common import Words, rolling_hash, text_slices, written
+from pagewell.llm.common import Words, discard, rolling_hash, text_slices, written
 
 LENGTH = 35
 SEED = 16
@@ -146,6 +146,7 @@ def deduplicated(
     messages = asked(with_answers(blocks, anchors), repeats.windows, buckets)
     messages = written(messages, "window-questions", batch_rows=BATCH_ROWS)
     windows = written(answered(messages, "?", _elsewhere, "windows"), "window-answers")
+    discard(messages)
     row = blocks.schema["rows"].dataType.elementType
     schema = blocks.select().schema.add("row", row).add("n_words", "long").add("n_removed", "long")
     schema = schema.add("kept_sha256", "string")
@@ -181,7 +182,9 @@ def deduplicated(
                     )
 
     final = with_answers(blocks, anchors, windows).mapInArrow(remove, schema)
-    return written(final, "without-repeats", batch_rows=BATCH_ROWS)
+    done = written(final, "without-repeats", batch_rows=BATCH_ROWS)
+    discard(blocks, anchors, windows)
+    return done
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
