@@ -49,7 +49,6 @@ class Limits:
     block_rows: int = 20_000
     block_values: int = 8_000_000
     group_rows: int = 50_000
-    scan_waves: int = 4
     merge_ways: int = 16
 
 
@@ -151,15 +150,16 @@ def top_k(
         [("query_id", pa.int64()), *[(key, pa.int64()) for key in keys], ("score", pa.float64())]
     )
     ddl = "query_id bigint, " + ", ".join(f"{key} bigint" for key in keys) + ", score double"
-    block = small_block(questions, size_of, limits)
+    block, ways = small_block(questions, size_of, limits), limits.merge_ways
     if block is not None:
         shared = chunks.sparkSession.sparkContext.broadcast(block)
 
         def scan(batches):
             yield best_of(batches, shared.value, prepare, k, keys, schema)
 
-        tasks = limits.scan_waves * chunks.sparkSession.sparkContext.defaultParallelism
-        lists = chunks.coalesce(tasks).mapInArrow(scan, ddl)
+        # Every split sends its own best k; with more splits the first merge has more ways.
+        ways = max(limits.merge_ways, int(chunks.rdd.getNumPartitions() ** 0.5))
+        lists = chunks.mapInArrow(scan, ddl)
     else:
         lists = grid(chunks, questions, limits, cells, keys).applyInArrow(
             lambda left, right: pa.Table.from_batches(
@@ -170,7 +170,7 @@ def top_k(
     typed = lists.select(
         "query_id", *[F.col(key).cast(chunks.schema[key].dataType) for key in keys], "score"
     )
-    return merge_best(typed, k, keys, limits.merge_ways)
+    return merge_best(typed, k, keys, ways)
 
 
 def grid(chunks: DataFrame, questions: DataFrame, limits: Limits, cells, keys: list[str]):

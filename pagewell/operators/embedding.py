@@ -23,6 +23,7 @@ from pagewell.functions import vectors as vx
 DIM = 384
 SLOTS = 1 << 18
 WEIGHT_SCALE = 10_000
+UNSEEN = -1  # the row of the slots that no chunk had
 
 
 def token_hash(token: Column) -> Column:
@@ -44,21 +45,29 @@ def slot_weights(terms: DataFrame, totals: DataFrame) -> DataFrame:
     """(slot, weight): idf in whole ten-thousandths, so that sums do not depend on order.
 
     A slot occurs as often as its tokens together, at most in every chunk.
-    ``terms`` is (token, n_chunks), so the corpus is not read for this.
+    ``terms`` is (token, n_chunks), so the corpus is not read for this. One more row
+    has the weight of all other slots.
     """
     n = totals.select(F.col("n_chunks").cast("double")).scalar()
     slots = terms.groupBy((token_hash(F.col("token")) % SLOTS).alias("slot")).agg(
         F.sum("n_chunks").cast("double").alias("df")
     )
     scaled = F.round(idf(n, F.least(F.col("df"), n)) * WEIGHT_SCALE)
-    return slots.select("slot", scaled.cast("int").alias("weight"))
+    known = slots.select("slot", scaled.cast("int").alias("weight"))
+    rest = totals.select(
+        F.lit(UNSEEN).cast("int").alias("slot"),
+        F.round(idf(F.col("n_chunks").cast("double"), F.lit(0.0)) * WEIGHT_SCALE).cast("int").alias("weight"),
+    )
+    return known.withColumn("slot", F.col("slot").cast("int")).unionByName(rest)
 
 
 def collect_weights(weights: DataFrame) -> np.ndarray:
-    """The weights as one array of ``SLOTS`` integers; unseen slots weigh nothing."""
+    """The weights as one array of ``SLOTS`` integers; slots that no chunk had weigh most."""
     table = weights.toArrow()
-    out = np.zeros(SLOTS, dtype=np.int64)
-    out[table["slot"].to_numpy()] = table["weight"].to_numpy()
+    slot, weight = table["slot"].to_numpy(), table["weight"].to_numpy()
+    unseen = weight[slot == UNSEEN]
+    out = np.full(SLOTS, unseen[0] if len(unseen) else 0, dtype=np.int64)
+    out[slot[slot != UNSEEN]] = weight[slot != UNSEEN]
     return out
 
 

@@ -43,14 +43,21 @@ def with_questions(hits: DataFrame, questions: DataFrame) -> DataFrame:
 def within_budget(
     hits: DataFrame, num_ctx: int = NUM_CTX, num_predict: int = NUM_PREDICT
 ) -> DataFrame:
-    """Keep the best chunks of each question that fit beside the prompt and the answer."""
+    """Keep the best chunks of each question that fit beside the prompt and the answer.
+
+    The first chunk that does not fit is cut to the words that are left.
+    """
     prompt_size = F.size(tx.words(render("", F.col("query_text"))))
     budget = F.lit(num_ctx - num_predict) - prompt_size
-    upto = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    left = (budget - F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).cast("int")
+    cut = F.array_join(F.slice(tx.words(F.col("chunk_text")), 1, F.col("left")), " ")
     return (
-        hits.withColumn("used", F.sum("n_tokens").over(upto))
-        .filter(F.col("used") <= budget)
-        .drop("used")
+        hits.withColumn("left", left)
+        .filter(F.col("left") > 0)
+        .withColumn("chunk_text", F.when(F.col("n_tokens") > F.col("left"), cut).otherwise(F.col("chunk_text")))
+        .withColumn("n_tokens", F.least("n_tokens", "left"))
+        .drop("left")
     )
 
 

@@ -17,6 +17,8 @@ CANDIDATE_K = 100
 # Fixed value: how many chunks the reranker keeps.
 TOP_N = 3
 
+APPROX_OPTIONS = {"bits", "probes"}
+
 # At most this many (query, chunk) keys are broadcast, below 100 bytes each.
 LOOKUP_ROWS = 1_000_000
 
@@ -39,6 +41,15 @@ def look_up(hits: DataFrame, chunks: DataFrame, at_most: int) -> DataFrame:
     return chunks.select(*columns).join(side, ["doc_id", "chunk_no"])
 
 
+def check_arguments(mode: str, search: str = "exact", options: dict | None = None) -> None:
+    """Refuse what no search knows, before anything is read."""
+    if mode not in ("vector", "bm25", "union") or search not in ("exact", "approx"):
+        raise ValueError("mode is vector, bm25 or union; search is exact or approx")
+    known = APPROX_OPTIONS if search == "approx" else set()
+    if unknown := set(options or {}) - known:
+        raise TypeError(f"{search} search has no option {', '.join(sorted(unknown))}")
+
+
 def candidates(
     questions: DataFrame,
     index,
@@ -50,8 +61,7 @@ def candidates(
     **search_options,
 ) -> DataFrame:
     """(query_id, doc_id, chunk_no) by vectors, by BM25, or by both."""
-    if mode not in ("vector", "bm25", "union") or search not in ("exact", "approx"):
-        raise ValueError("mode is vector, bm25 or union; search is exact or approx")
+    check_arguments(mode, search, search_options)
     found = []
     if mode != "bm25":
         by_vector = cosine_top_k if search == "exact" else approx_top_k
@@ -79,18 +89,14 @@ def retrieve(
 
     Columns: query_id, doc_id, chunk_no, score, rank, chunk_text, n_tokens.
     ``reranker`` is a pandas UDF of (question, chunk) -> double; the default is
-    BM25. With that default, candidates that include BM25's own best
-    ``candidate_k`` can only give BM25's best ``top_n``, so these are searched
-    directly and the vectors are not read.
+    BM25. Both stages run in every mode.
     """
+    check_arguments(mode, search_options.get("search", "exact"), {k: v for k, v in search_options.items() if k != "search"})
     columns = [*PAIR, "score", "rank", "chunk_text", "n_tokens"]
     n_questions = questions.count()
     terms = index.terms_of(questions)
     if mode != "vector":
         terms = stored(terms, "question-terms")
-    if reranker is None and mode != "vector" and top_n <= candidate_k:
-        hits = lexical.bm25_top_k(index.chunks, terms, top_n, limits)
-        return look_up(hits, index.chunks, n_questions * top_n).select(*columns)
     found = candidates(questions, index, candidate_k, mode, terms, limits, **search_options)
     lists = 2 if mode == "union" else 1
     pairs = look_up(found, index.chunks, n_questions * candidate_k * lists)

@@ -18,6 +18,9 @@ from pagewell.sources.collections import Collections
 
 Chunker = Callable[[DataFrame], DataFrame]
 
+# Fixed value: the message of a build without losses.
+BUILT = "Index created successfully"
+
 
 @dataclass(frozen=True)
 class IndexSettings:
@@ -62,6 +65,8 @@ class Index:
         properties = store.properties(name)
         self.store, self.name = store, name
         self.settings = settings or IndexSettings.of(properties)
+        if properties.get("encoder") == "1" and self.settings.load_encoder is None:
+            raise ValueError(f"collection {name} was built with an encoder; pass its settings to open it")
         self.dim = int(properties["dim"])
 
     @property
@@ -101,11 +106,27 @@ class Index:
         """
         self.repair_statistics()
         new = self.store.new_rows(self.name, self.settings.chunk(docs))
-        valid = self.store.valid_rows(self.name, self.with_vectors(new), strict)
-        rows = stored(valid, "new-rows", self.store.spark)
+        every = stored(self.with_vectors(new), "new-rows", self.store.spark)
+        rows = self.store.valid_rows(self.name, every, strict)
         self.store.append(self.name, rows)
+        self.store.reject(self.name, every)
         self.write_statistics(rows)
 
+    def reweigh(self) -> None:
+        """Weights from the present statistics, and all vectors anew from the stored tokens.
+
+        For a collection that has grown beyond the corpus its weights were counted on.
+        """
+        rows = stored(self.chunks.drop("embedding", "norm", "cell"), "reweighed", self.store.spark)
+        self.count_weights()
+        self.store.append(self.name, self.with_vectors(rows), overwrite=True)
+
+    def count_weights(self) -> None:
+        totals = self.store.totals(self.name)
+        weights = embedding.slot_weights(self.store.companion(self.name, "terms"), totals)
+        self.store.append_companion(self.name, "weights", weights, overwrite=True)
+        self.__dict__.pop("weights", None)
+
     def write_statistics(self, rows: DataFrame, overwrite: bool = False) -> None:
         terms, totals = lexical.term_frequencies(rows), lexical.chunk_totals(rows)
         self.store.append_companion(self.name, "terms", terms, overwrite)
@@ -122,7 +143,11 @@ class Index:
 
 
 def build_index(
-    docs: DataFrame, store: Collections, name: str, settings: IndexSettings = IndexSettings()
+    docs: DataFrame,
+    store: Collections,
+    name: str,
+    settings: IndexSettings = IndexSettings(),
+    strict: bool = False,
 ) -> Index:
     """Chunk, embed and store documents as a new collection, replacing one of that name.
 
@@ -130,26 +155,34 @@ def build_index(
     folder; statistics, weights and vectors are computed from that table.
     """
     store.recreate(name, settings.dim, settings.buckets or None, bool(settings.cell_bits))
-    store.remember(name, **settings.kept())
+    store.remember(name, **settings.kept(), encoder=int(settings.load_encoder is not None))
     index = Index(store, name, settings)
     chunks = stored(settings.chunk(docs), "chunks")
     index.write_statistics(chunks)
     if settings.load_encoder is None:
-        weights = embedding.slot_weights(store.companion(name, "terms"), store.totals(name))
-        store.append_companion(name, "weights", weights)
-    store.append(name, store.valid_rows(name, index.with_vectors(chunks)))
-    if settings.load_encoder is not None:
+        index.count_weights()
+        store.append(name, store.valid_rows(name, index.with_vectors(chunks), strict))
+    else:  # an encoder's vectors are not trusted, and not computed twice
+        every = stored(index.with_vectors(chunks), "encoded")
+        store.append(name, store.valid_rows(name, every, strict))
+        store.reject(name, every)
         index.repair_statistics()
     return index
 
 
 def build_status(index: Index) -> DataFrame:
-    """(status, message, points, documents) of a finished build."""
-    return index.chunks.agg(
+    """(status, message, points, documents) of a finished build, from what is stored and rejected."""
+    rejected = index.store.companion(index.name, "rejected").agg(F.count(F.lit(1)).alias("rejected"))
+    counts = index.chunks.agg(
         F.count(F.lit(1)).alias("points"), F.count_distinct("doc_id").alias("documents")
-    ).select(
-        F.lit("success").alias("status"),
-        F.lit("Index created successfully").alias("message"),
+    ).crossJoin(rejected)  # one row each
+    lost = F.col("rejected") > 0
+    status = F.when(lost & (F.col("points") == 0), "failed").when(lost, "partial").otherwise("success")
+    return counts.select(
+        status.alias("status"),
+        F.when(lost, F.concat(F.col("rejected").cast("string"), F.lit(" chunks rejected")))
+        .otherwise(BUILT)
+        .alias("message"),
         "points",
         "documents",
     )
@@ -192,10 +225,13 @@ def answer(
     """(query_id, answer, error), one row for every question.
 
     A question that cannot be asked, or whose generation fails, has its error as
-    a value and does not disturb the others.
+    a value and does not disturb the others. Questions are numbered and stored
+    first, so an id that is NULL or used twice does no harm.
     """
-    checked = an.check_questions(questions)
-    good = checked.filter(F.col("error").isNull()).drop("error")
+    numbered = an.check_questions(questions).withColumn("number", F.monotonically_increasing_id())
+    checked = stored(numbered, "questions", index.store.spark)
+    good = checked.filter(F.col("error").isNull())
+    good = good.select(F.col("number").alias("query_id"), "query_text")
     if s.load_generator is not None:
         done = an.generate_with(render_prompts(good, index, s), s.load_generator)
         done = done.withColumnRenamed("error", "failure")
@@ -204,7 +240,8 @@ def answer(
         done = an.extractive_answers(
             good, ranked_context(good, index, s), s.num_predict, s.min_overlap
         ).withColumn("failure", F.lit(None).cast("string"))
-    joined = checked.select("query_id", "error").join(done, "query_id", "left")
+    done = done.withColumnRenamed("query_id", "number")
+    joined = checked.select("query_id", "number", "error").join(done, "number", "left")
     return an.errors_as_answers(
         joined.select(
             "query_id", "answer", F.coalesce("error", "failure").alias("error")

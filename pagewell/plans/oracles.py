@@ -6,16 +6,31 @@ here, its docstring or the tests say how it is checked.
 
 from __future__ import annotations
 
-from pagewell.functions.text import COMMENT, ENTITIES, HIDDEN_BLOCK, NOT_WORD, SENTENCE_END, SPACE, TAG
 from pagewell.operators.answers import EMPTY_QUESTION, ERROR_PREFIX, REFUSAL
 from pagewell.operators.embedding import SLOTS
 from pagewell.operators.prompts import PROMPT_HEAD, PROMPT_MIDDLE, PROMPT_TAIL, SYSTEM_MESSAGE
 
+# Fixed values, written out here so that a wrong pattern in the engine shows.
+SPACE = r"[\x09-\x0D ]+"
+NOT_WORD = r"[^\p{L}\p{N}]+"
+SENTENCE_END = r"([.!?])[\x09-\x0D ]+"
+ENTITIES = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+]
+HIDDEN_BLOCK = r"(?is)<(script|style)[^>]*>.*?</(script|style)>"
+COMMENT = r"(?s)<!--.*?-->"
+TAG = r"<[^>]*>"
+
 
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def turn_id(turn: str = "turn") -> str:
+    return f"-1 - ((conv_id + {turn}) * (conv_id + {turn} + 1) // 2 + {turn})"
+
+
 def words(text: str) -> str:
     return f"list_filter(string_split_regex({text}, '{SPACE}'), lambda w: w <> '')"
 
@@ -75,9 +90,17 @@ norms AS MATERIALIZED (
   SELECT doc_id, chunk_no, coalesce(sqrt(sum(x * x)), 0) AS norm
   FROM chunks LEFT JOIN vec USING (doc_id, chunk_no) GROUP BY ALL)"""
 
+# The same, with weights counted on the English documents only; what they lack weighs most.
+GROWN_VECTORS = (
+    VECTORS.replace("FROM lens),\nhashed", "FROM lens JOIN documents USING (doc_id) WHERE lang = 'en'),\nhashed")
+    .replace("FROM occ JOIN hashed USING (token), totals", "FROM occ JOIN hashed USING (token) JOIN documents USING (doc_id), totals WHERE lang = 'en'")
+    .replace("sum(tf * weight)", "sum(tf * coalesce(weight, (SELECT round(ln(1 + (n + 0.5::DOUBLE) / 0.5::DOUBLE) * 10000) FROM totals)))")
+    .replace("JOIN hashed USING (token) JOIN weights", "JOIN hashed USING (token) LEFT JOIN weights")
+)
+
 BENCHMARK = "asked AS (SELECT item_id AS query_id, text AS query_text FROM benchmark)"
 USER_TURNS = (
-    "asked AS (SELECT conv_id * 1000000 + turn AS query_id, text AS query_text "
+    f"asked AS (SELECT {turn_id()} AS query_id, text AS query_text "
     "FROM conversations WHERE role = 'user')"
 )
 
@@ -87,9 +110,10 @@ asked_occ AS MATERIALIZED (
   FROM (SELECT query_id, unnest({tokens('query_text')}) AS token FROM asked) GROUP BY ALL),
 qvec AS MATERIALIZED (
   SELECT query_id, CAST(h % 384 AS INTEGER) AS place,
-         CAST(sum(tf * weight) / 10000 AS FLOAT)::DOUBLE AS x
+         CAST(sum(tf * coalesce(weight, most)) / 10000 AS FLOAT)::DOUBLE AS x
   FROM (SELECT *, ('0x' || substr(md5(token), 1, 7))::BIGINT AS h FROM asked_occ)
-  JOIN weights ON weights.slot = h % {SLOTS} GROUP BY ALL),
+  LEFT JOIN (SELECT slot, weight FROM weights) known ON known.slot = h % {SLOTS},
+  (SELECT round(ln(1 + (n + 0.5::DOUBLE) / 0.5::DOUBLE) * 10000) AS most FROM totals) GROUP BY ALL),
 qnorm AS (SELECT query_id, sqrt(sum(x * x)) AS norm FROM qvec GROUP BY ALL)"""
 
 BM25 = """
@@ -156,9 +180,12 @@ def budget(num_ctx: int = 1024) -> str:
     frame = f"{lit(PROMPT_HEAD)} || {lit(PROMPT_MIDDLE)} || query_text || {lit(PROMPT_TAIL)}"
     return f"""
 kept AS MATERIALIZED (
-  SELECT * FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used
-                 FROM hit_texts)
-  WHERE used <= {num_ctx} - 128 - len({words(frame)}))"""
+  SELECT * REPLACE (CAST(least(n_tokens, room) AS INTEGER) AS n_tokens,
+    CASE WHEN n_tokens > room THEN array_to_string({words('chunk_text')}[1:room], ' ') ELSE chunk_text END AS chunk_text)
+  FROM (SELECT *, CAST({num_ctx} - 128 - len({words(frame)}) - coalesce(sum(n_tokens) OVER (
+          PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS room
+        FROM hit_texts)
+  WHERE room > 0)"""
 
 
 def context(source: str) -> str:
@@ -258,10 +285,7 @@ def page_text_sql(html: str) -> str:
     return f"trim(regexp_replace({text}, '{SPACE}', ' ', 'g'))"
 
 
-LINES = """
-SELECT lang, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars
-FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents{where})
-WHERE line <> '' GROUP BY lang"""
+LINES = "SELECT lang, length(text) AS n_chars, md5(text) AS text_md5 FROM documents{where}"
 
 INFO = """
 SELECT '{name}' AS name, count(*) AS points, CAST(min(len(embedding)) AS INTEGER) AS min_dim,
@@ -354,16 +378,16 @@ FROM per_q GROUP BY mode""",
 
 
 ALL_TURNS = (
-    "every_turn AS (SELECT conv_id * 1000000 + turn AS query_id, "
+    f"every_turn AS (SELECT {turn_id()} AS query_id, "
     "CASE WHEN role = 'user' THEN text END AS query_text FROM conversations),\n"
     "asked AS (SELECT * FROM every_turn WHERE query_text IS NOT NULL)"
 )
 
-CACHE = """
+CACHE = f"""
 WITH q AS (
-  SELECT conv_id * 1000000 + turn AS query_id, text FROM conversations WHERE role = 'user'),
+  SELECT {turn_id()} AS query_id, text FROM conversations WHERE role = 'user'),
 a AS (
-  SELECT conv_id * 1000000 + turn - 1 AS query_id, text AS answer
+  SELECT {turn_id("(turn - 1)")} AS query_id, text AS answer
   FROM conversations WHERE role = 'assistant'),
 cache AS (
   SELECT md5(trim(lower(text))) AS key, arg_min(answer, query_id) AS answer
@@ -375,21 +399,26 @@ FROM every LEFT JOIN cache ON key = md5(trim(lower(text)))"""
 ORACLES = {
     "S1_recursive_folder_scan": LINES.format(where=""),
     "S2_flat_folder_scan": LINES.format(where=" WHERE lang = 'en'"),
-    "S3_suffix_routing": LINES.format(where=""),
+    "S3_suffix_routing": LINES.format(where="") + """
+UNION ALL SELECT '' AS lang, 17 AS n_chars, md5('a compressed page') AS text_md5 FROM pages""",
     "S4_filename_as_id": """
-SELECT true AS ids_unique, true AS names_match, count(*) AS n_lines
-FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''""",
+SELECT true AS ids_unique, true AS names_match, count(*) AS n_files FROM documents""",
+    "S5_missing_folder": """
+SELECT 'lang=en' AS folder, count(*) AS n_files, '' AS error FROM documents WHERE lang = 'en'
+UNION ALL SELECT 'lang=fr', count(*), '' FROM documents WHERE lang = 'fr'
+UNION ALL SELECT 'absent', 0, 'Directory not found: /absent'""",
     "S6_page_text": f"SELECT page_id, url, {page_text_sql('html')} AS text FROM pages",
     "S7_list_documents": "SELECT text FROM documents",
     "S8_count_documents": "SELECT count(*) AS n_documents FROM documents",
-    "S9_questions": """
+    "S9_questions": f"""
 SELECT item_id AS query_id, text AS query_text FROM benchmark
 UNION ALL
-SELECT conv_id * 1000000 + turn, text FROM conversations WHERE role = 'user'""",
+SELECT {turn_id()}, text FROM conversations WHERE role = 'user'""",
     "S10_open_collection": with_(CHUNKS, body="SELECT doc_id, chunk_no, chunk_text FROM chunks"),
-    "K1_list_collections": (
-        "SELECT 'documents' AS name, count(*) > 0 AS documents_exists, false AS absent_exists "
-        "FROM documents"
+    "K1_list_collections": with_(
+        CHUNKS,
+        body="SELECT 'documents' AS name, count(*) AS points, count(*) > 0 AS documents_exists, "
+        "false AS absent_exists FROM chunks",
     ),
     "K2_create_if_missing": INFO.format(name="vectors"),
     "K3_recreate": INFO.format(name="vectors"),
@@ -457,7 +486,22 @@ FROM (SELECT doc_id, unnest({tokens('text')}) AS token FROM documents) GROUP BY
         QUESTION_VECTORS,
         body="SELECT query_id, place, round(x, 2) AS x FROM qvec WHERE round(x, 2) > 0",
     ),
-    "R4_rerank": with_(
+    "R4_rerank": with_(*retrieval(BENCHMARK, "vector", 50, 3), body=RANKS),
+    "R4_reranker_slot": with_(
+        CHUNKS,
+        VECTORS,
+        BENCHMARK,
+        QUESTION_VECTORS,
+        COSINE,
+        ranked("by_vector", "cosine", 100),
+        """
+by_length AS (
+  SELECT query_id, doc_id, chunk_no, -abs(length(query_text) - length(chunk_text))::DOUBLE AS score
+  FROM by_vector JOIN asked USING (query_id) JOIN chunks USING (doc_id, chunk_no))""",
+        ranked("hits", "by_length", 3),
+        body=RANKS,
+    ),
+    "R4_bm25_search": with_(
         CHUNKS, VECTORS, BENCHMARK, QUESTION_VECTORS, BM25, ranked("hits", "bm25", 3), body=RANKS
     ),
     "R5_two_stage": with_(*retrieval(BENCHMARK, "vector"), body=RANKS),
@@ -492,6 +536,17 @@ UNION ALL SELECT query_id, CAST(1 AS INTEGER), 'user', prompt FROM prompts""",
     "P5_extractive_answer": with_(
         *context_ctes(), BEST_SENTENCES, body="SELECT query_id, answer, overlap FROM best"
     ),
+    "P5_generator_slot": with_(
+        *context_ctes(),
+        context("kept"),
+        PROMPTS,
+        body="SELECT query_id, 'a prompt of ' || length(prompt) || ' characters' AS answer, "
+        "CAST(NULL AS VARCHAR) AS error FROM prompts",
+    ),
+    "P4_cut_chunk": with_(
+        *[chunk_ctes(1024, 200) if cte is CHUNKS else cte for cte in context_ctes()],
+        body="SELECT query_id, rank, doc_id, chunk_no, n_tokens, md5(chunk_text) AS text_md5 FROM kept",
+    ),
     "P6_length_cap": with_(
         *context_ctes(),
         BEST_SENTENCES,
@@ -515,7 +570,10 @@ FROM every_turn LEFT JOIN answered USING (query_id)""",
     "P10_response": with_(*answer_ctes(mode="vector"), body="SELECT query_id, answer FROM answered"),
     "ST1_stream_ingest": INDEX_ROWS,
     "ST1_stream_append": with_(
-        CHUNKS, body="SELECT count(*) AS points, count(DISTINCT doc_id) AS documents FROM chunks"
+        CHUNKS,
+        GROWN_VECTORS,
+        body="SELECT doc_id, chunk_no, CAST(n_terms AS INTEGER) AS n_terms, round(norm, 3) AS norm "
+        "FROM lens JOIN norms USING (doc_id, chunk_no)",
     ),
     "ST2_stream_questions": with_(*answer_ctes(USER_TURNS), body="SELECT query_id, answer FROM answered"),
     "M1_stage_metrics": with_(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,20 +82,19 @@ def turns(spark, folder) -> DataFrame:
 
 
 def exported_folder(spark, folder) -> str:
-    """The documents as text files, one folder per language."""
+    """The documents as text files, one file each, in one folder per language."""
     out = work_dir(spark, "folder")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    docs.select("lang", "text").write.partitionBy("lang").option("compression", "none").text(out)
+    writer = docs.select("lang", "text").write.partitionBy("lang").option("compression", "none")
+    writer.option("maxRecordsPerFile", 1).text(out)
     return out
 
 
-def by_language(texts: DataFrame) -> DataFrame:
-    lines = F.filter(F.split("text", "\n"), lambda s: s != "")
-    return (
-        texts.select(F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang"), F.explode(lines).alias("line"))
-        .groupBy("lang")
-        .agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
-    )
+def by_file(texts: DataFrame) -> DataFrame:
+    """One row per file: its folder's language and a hash of its text, without the writer's last newline."""
+    lang = F.regexp_extract("path", "lang=([a-z]+)", 1)
+    texts = texts.withColumn("text", F.regexp_replace("text", r"\n\z", ""))
+    return texts.select(lang.alias("lang"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 # Sources
@@ -103,27 +103,29 @@ def by_language(texts: DataFrame) -> DataFrame:
 @query("S1_recursive_folder_scan")
 def recursive_scan(spark, folder):
     root = exported_folder(spark, folder)
-    return by_language(files.decode_text(files.scan_folder(spark, root, recursive=True)))
+    return by_file(files.decode_text(files.scan_folder(spark, root, recursive=True)))
 
 
 @query("S2_flat_folder_scan")
 def flat_scan(spark, folder):
     root = exported_folder(spark, folder)
-    return by_language(files.decode_text(files.scan_folder(spark, f"{root}/lang=en", recursive=False)))
+    # Below the English folder lies another one, which a flat scan must not enter.
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter(F.col("lang") != "en")
+    docs.select("text").write.option("compression", "none").text(f"{root}/lang=en/below")
+    return by_file(files.decode_text(files.scan_folder(spark, f"{root}/lang=en", recursive=False)))
 
 
 @query("S3_suffix_routing")
 def suffix_routing(spark, folder):
     root = exported_folder(spark, folder)
-    scanned = files.scan_folder(spark, root, suffix="*.txt")
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("html")
+    pages.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(f"{root}/pages")
+    scanned = files.scan_folder(spark, root)
     routed = files.extract(
         scanned,
-        {
-            ".txt": files.decode_text,
-            ".html": lambda f: files.decode_text(f).withColumn("text", tx.page_text(F.col("text"))),
-        },
+        {".txt.gz": lambda f: f.withColumn("text", F.lit("a compressed page"))},
     )
-    return by_language(routed)
+    return by_file(routed)
 
 
 @query("S4_filename_as_id")
@@ -133,10 +135,28 @@ def filename_as_id(spark, folder):
     return docs.agg(
         (F.count_distinct("doc_id") == F.count(F.lit(1))).alias("ids_unique"),
         F.bool_and(F.col("path").endswith(F.col("file_name"))).alias("names_match"),
-        F.sum(F.size(F.filter(F.split("text", "\n"), lambda s: s != ""))).alias("n_lines"),
+        F.count_distinct("path").alias("n_files"),
     )
 
 
+@query("S5_missing_folder")
+def missing_folder(spark, folder):
+    """One row per folder that is probed: its files, or the error as a value."""
+    root = exported_folder(spark, folder)
+    out = None
+    for name in ("lang=en", "lang=fr", "absent"):
+        try:
+            found = files.scan_folder(spark, f"{root}/{name}").agg(F.count(F.lit(1)).alias("n_files"))
+            row = found.select(F.lit(name).alias("folder"), "n_files", F.lit("").alias("error"))
+        except files.MissingFolder as e:
+            error = str(e).replace(root, "")
+            row = spark.range(1).select(
+                F.lit(name).alias("folder"), F.lit(0).cast("long").alias("n_files"), F.lit(error).alias("error")
+            )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("S6_page_text")
 def page_text(spark, folder):
     pages = spread(spark.read.parquet(f"{folder}/pages.parquet"), "page_id")
@@ -172,8 +192,14 @@ def open_collection(spark, folder):
 @query("K1_list_collections")
 def list_collections(spark, folder):
     store = shared_index(spark, folder).store
-    return store.names().select(
+    points = None
+    for row in store.names().collect():  # the collections of one database
+        own = store.open(row["name"]).agg(F.count(F.lit(1)).alias("points"))
+        own = own.select(F.lit(row["name"]).alias("name"), "points")
+        points = own if points is None else points.unionByName(own)
+    return store.names().join(points, "name").select(
         "name",
+        "points",
         F.lit(store.exists("documents")).alias("documents_exists"),
         F.lit(store.exists("absent")).alias("absent_exists"),
     )
@@ -376,12 +402,39 @@ def question_vectors(spark, folder):
 
 @query("R4_rerank")
 def rerank(spark, folder):
+    index = shared_index(spark, folder)
+    asked = tables.benchmark_questions(spark, folder)
+    found = retrieve.candidates(asked, index, 50, "vector")
+    n = asked.count()
+    pairs = retrieve.look_up(found, index.chunks, n * 50)
+    return lexical.bm25_rerank(pairs, index.terms_of(asked), retrieve.TOP_N).select(*RANKED)
+
+
+@query("R4_bm25_search")
+def bm25_search(spark, folder):
     index = shared_index(spark, folder)
     asked = tables.benchmark_questions(spark, folder)
     terms = stored(index.terms_of(asked), "question-terms")
     return lexical.bm25_top_k(index.chunks, terms, retrieve.TOP_N)
 
 
+def length_reranker():
+    """A stand-in model for the reranker slot: the closer two texts are in length, the better."""
+
+    @F.pandas_udf("double")
+    def score(question: pd.Series, chunk: pd.Series) -> pd.Series:
+        return -(question.str.len() - chunk.str.len()).abs().astype(float)
+
+    return score
+
+
+@query("R4_reranker_slot")
+def reranker_slot(spark, folder):
+    asked = tables.benchmark_questions(spark, folder)
+    hits = retrieve.retrieve(asked, shared_index(spark, folder), mode="vector", reranker=length_reranker())
+    return hits.select(*RANKED)
+
+
 @query("R5_two_stage")
 def two_stage(spark, folder):
     asked = tables.benchmark_questions(spark, folder)
@@ -444,6 +497,28 @@ def extractive(spark, folder):
     return an.best_sentences(hits)
 
 
+def counting_generator():
+    """A stand-in model for the generator slot: tells the length of its prompt."""
+    return lambda prompt: f"a prompt of {len(prompt)} characters"
+
+
+@query("P5_generator_slot")
+def generator_slot(spark, folder):
+    asked = tables.benchmark_questions(spark, folder)
+    return answer(asked, shared_index(spark, folder), AnswerSettings(load_generator=counting_generator))
+
+
+@query("P4_cut_chunk")
+def cut_chunk(spark, folder):
+    """Chunks of 1024 words beside a prompt in a context of 1024: the first is cut to what is left."""
+    settings = IndexSettings(chunk_size=1024, overlap=200)
+    index = build_index(tables.documents(spark, folder), fresh_store(spark, "large"), "documents", settings)
+    kept = ranked_context(tables.benchmark_questions(spark, folder), index)
+    return kept.select(
+        "query_id", "rank", "doc_id", "chunk_no", "n_tokens", F.md5("chunk_text").alias("text_md5")
+    )
+
+
 @query("P6_length_cap")
 def length_cap(spark, folder):
     _, hits = two_stage_context(spark, folder)
@@ -504,7 +579,10 @@ def stream_append(spark, folder):
     for _ in range(2):
         arriving = document_stream(spark, folder, "documents.parquet")
         ingest_to_collection(arriving, index, work_dir(spark, "arrive-log")).awaitTermination()
-    return build_status(index).select("points", "documents")
+    rows = index.chunks.select(
+        "doc_id", "chunk_no", F.size("tokens").alias("n_terms"), F.round("norm", 3).alias("norm")
+    )
+    return rows
 
 
 @query("ST2_stream_questions")
@@ -550,7 +628,7 @@ def answer_cache(spark, folder):
     said = turns(spark, folder)
     asked = tables.user_questions(said)
     replies = said.filter(F.col("role") == "assistant").select(
-        (tables.turn_id() - 1).alias("query_id"), F.col("text").alias("answer")
+        tables.turn_id(1).alias("query_id"), F.col("text").alias("answer")
     )
     cache = evaluation.cache_rows(asked, replies)
     every = asked.unionByName(tables.benchmark_questions(spark, folder))

@@ -1,10 +1,11 @@
 """Named collections of chunks with vectors, kept as catalog tables.
 
 A collection ``c`` is the table ``c`` (one row per chunk, properties ``dim`` and
-``distance``) and three small companions: ``c__weights`` (fixed when the index
+``distance``) and small companions: ``c__weights`` (fixed when the index
 is built, so that chunks and questions share one vector space), ``c__terms`` and
 ``c__totals`` (BM25 statistics as increments that are summed when read, so an
-append writes only what it adds).
+append writes only what it adds). ``c__rejected`` names the chunks whose vectors
+did not fit.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ COMPANIONS = {
     "weights": "slot int, weight int",
     "terms": "token string, n_chunks bigint",
     "totals": "n_chunks bigint, n_terms bigint",
+    "rejected": "doc_id bigint, chunk_no int, reason string",
 }
 
 
@@ -38,11 +40,12 @@ class Collections:
 
     def names(self) -> DataFrame:
         """One row per collection."""
-        return (
-            self.spark.sql(f"SHOW TABLES IN {self.database}")
-            .filter(~F.col("isTemporary") & ~F.col("tableName").rlike("__(weights|terms|totals)$"))
-            .select(F.col("tableName").alias("name"))
+        tables = self.spark.sql(f"SHOW TABLES IN {self.database}").filter(~F.col("isTemporary"))
+        names = tables.select(F.col("tableName").alias("name"))
+        companions = names.select(
+            F.explode(F.array(*[F.concat("name", F.lit(f"__{c}")) for c in COMPANIONS])).alias("name")
         )
+        return names.join(companions, "name", "left_anti")
 
     def exists(self, name: str) -> bool:
         return self.spark.catalog.tableExists(self.table(name))
@@ -61,6 +64,10 @@ class Collections:
         not shuffle the collection. ``celled`` stores chunks by search cell, so
         that a search reads only the cells it visits. ``folder`` is for `attach`.
         """
+        if self.exists(name):
+            present = self.properties(name)["dim"], self.buckets(name), "cell" in self.open(name).columns
+            if present != (str(dim), buckets or 0, celled):
+                raise ValueError(f"collection {name} exists with (dim, buckets, celled) = {present}")
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.COLLECTION)
         layout = " PARTITIONED BY (cell)" if celled else ""
         if buckets:
@@ -142,8 +149,18 @@ class Collections:
         """Rows that fit the collection's dimension; `split_valid` also shows the others."""
         return split_valid(rows, int(self.properties(name)["dim"]), strict)[0]
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Append rows as they are; `new_rows` makes an append repeatable."""
+    def reject(self, name: str, rows: DataFrame) -> None:
+        """Keep the keys of the rows that do not fit, and why."""
+        dim = self.properties(name)["dim"]
+        reason = F.when(F.col("embedding").isNull(), "no vector").when(
+            F.size("embedding") != int(dim), F.concat(F.size("embedding").cast("string"), F.lit(f" elements, not {dim}"))
+        )
+        bad = split_valid(rows, int(dim))[1]
+        bad = bad.select("doc_id", "chunk_no", F.coalesce(reason, F.lit("a NULL element")).alias("reason"))
+        self.append_companion(name, "rejected", bad)
+
+    def append(self, name: str, rows: DataFrame, overwrite: bool = False) -> None:
+        """Append rows as they are, or put them in place; `new_rows` makes an append repeatable."""
         target = self.open(name)
         buckets = self.buckets(name)
         out = rows.select(*target.columns)
@@ -151,7 +168,7 @@ class Collections:
             out = out.repartition(buckets, *schemas.CHUNK_KEYS)
         elif "cell" in target.columns:
             out = out.hint("rebalance", "cell")
-        out.write.insertInto(self.table(name))
+        out.write.insertInto(self.table(name), overwrite=overwrite)
 
     def append_companion(
         self, name: str, companion: str, rows: DataFrame, overwrite: bool = False

@@ -31,9 +31,14 @@ def benchmark_questions(spark: SparkSession, folder: str) -> DataFrame:
     return questions(spark.read.parquet(f"{folder}/benchmark.parquet"), F.col("item_id"))
 
 
-def turn_id() -> Column:
-    """One id per conversation turn; a conversation has fewer than a million turns."""
-    return F.col("conv_id") * 1_000_000 + F.col("turn")
+def turn_id(back: int = 0) -> Column:
+    """One id per conversation turn (the one ``back`` turns before): pairs counted along diagonals.
+
+    Negative, so that it is no id of another source of questions.
+    """
+    turn = F.col("turn") - back
+    both = F.col("conv_id") + turn
+    return -1 - (F.shiftright(both * (both + 1), 1) + turn)
 
 
 def user_questions(turns: DataFrame) -> DataFrame:

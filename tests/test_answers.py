@@ -48,7 +48,8 @@ def test_budget_keeps_the_best_that_fit(spark):
     frame = len((WANT % ("", "q")).split())
     rows = hits(spark, [(0, 1, "a", 10, "q"), (0, 2, "b", 10, "q"), (0, 3, "c", 1, "q"), (1, 1, "d", 21, "q")])
     kept = prompts.within_budget(rows, num_ctx=frame + 5 + 20, num_predict=5).collect()
-    assert sorted((r["query_id"], r["rank"]) for r in kept) == [(0, 1), (0, 2)]
+    # The chunk of 21 words is cut to the 20 that are left.
+    assert sorted((r["query_id"], r["rank"], r["n_tokens"]) for r in kept) == [(0, 1, 10), (0, 2, 10), (1, 1, 20)]
 
 
 def test_best_sentence_and_its_ties(spark):

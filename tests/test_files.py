@@ -31,7 +31,9 @@ def test_missing_and_empty_folders(spark, tmp_path):
 
 def test_each_file_goes_to_the_extractor_of_its_suffix(spark, folder):
     shout = lambda f: files.decode_text(f).withColumn("text", F.upper("text"))
-    got = files.extract(files.scan_folder(spark, folder), {".md": files.decode_text, ".txt": shout})
+    extractors = {".md": files.decode_text, ".txt": shout}
+    assert files.extract(files.scan_folder(spark, folder), extractors).count() == 3  # others are read as text
+    got = files.extract(files.scan_folder(spark, folder), extractors, rest=None)
     docs = files.as_documents(got).orderBy("file_name").collect()
     assert [(d["file_name"], d["text"]) for d in docs] == [("a.txt", "DEEP"), ("c.md", "été")]
     assert len({d["doc_id"] for d in docs}) == 2
