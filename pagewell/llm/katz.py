@@ -126,6 +126,21 @@ def _counts(keys: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
     return [sums[at], owner]
 
 
+def _tallied(part: pa.Table) -> pa.Table:
+    """Of a bucket's n-grams: how many have each count 1 .. K + 1, at 0 how many there are, at -1 their sum."""
+    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in part["keys"].to_pylist()])
+    values = np.concatenate([np.frombuffer(row[0], np.int64) for row in part["values"].to_pylist()])
+    counts, owner = _counts(keys, [values])
+    counts = counts[owner]
+    few = np.bincount(counts[counts <= K + 1], minlength=K + 2)
+    return pa.table(
+        {
+            "r": pa.array([-1, 0, *range(1, K + 2)], pa.int64()),
+            "n": pa.array([int(counts.sum()), len(counts), *few[1:].tolist()], pa.int64()),
+        }
+    )
+
+
 class Scorer:
     """Probabilities of a block's tokens from the answers it got, order by order."""
 
@@ -187,7 +202,7 @@ def discounts(counts_of_counts: dict[int, int]) -> np.ndarray:
 
 
 class Model:
-    """Blocks of documents with everything that is known of their n-grams."""
+    """Blocks of documents with everything that is known of their n-grams; scores once."""
 
     def __init__(self, docs: DataFrame, held_out: str, *keep: str, order: int = ORDER):
         self.order, self.totals = order, Totals(discounts=[np.zeros(0)] * 2)
@@ -223,19 +238,23 @@ class Model:
         return written(rows, label, "bucket", batch_rows=BATCH_ROWS)
 
     def _count(self, n: int) -> None:
-        # Asked twice, for the answers and for the table, rather than kept: the questions are large.
+        # Asked anew for answers, tallies and table rather than kept: the questions are large.
         messages = asked(self.blocks, _grams_asked(self.order, n), self.buckets)
         answers = answered(messages, "l", _counts, f"counts{n}")
         self.answers.append(written(answers, f"counts-{n}", batch_rows=BATCH_ROWS))
-        grams = self._store(messages, "l", ["counts"], _counts, f"model-grams-{n}")
-        self.tables[f"grams{n}"] = grams
-        counts = grams.select(F.explode("counts").alias("c"))
+        tallies = messages.groupBy("bucket").applyInArrow(_tallied, "r bigint, n bigint")
+        # K + 3 rows.
+        found = {row["r"]: row["n"] for row in tallies.groupBy("r").agg(F.sum("n").alias("n")).collect()}
         if n == 1:
-            row = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
-            self.totals.distinct, self.totals.tokens = row["v"], row["n"] or 0
+            self.totals.distinct, self.totals.tokens = found.get(0, 0), found.get(-1, 0)
         else:
-            few = counts.where(F.col("c") <= K + 1).groupBy("c").count().collect()  # at most K + 1 rows
-            self.totals.discounts.append(discounts({r["c"]: r["count"] for r in few}))
+            self.totals.discounts.append(discounts(found))
+
+    def store_counts(self) -> None:
+        """The tables of n-grams; written last, as nothing here reads them."""
+        for n in range(1, self.order + 1):
+            messages = asked(self.blocks, _grams_asked(self.order, n), self.buckets)
+            self.tables[f"grams{n}"] = self._store(messages, "l", ["counts"], _counts, f"model-grams-{n}")
 
     def _weigh(self, n: int) -> None:
         order, totals = self.order, self.totals
@@ -271,4 +290,8 @@ class Model:
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        return written(self._known().mapInArrow(score, schema), "scores", batch_rows=BATCH_ROWS)
+        done = written(self._known().mapInArrow(score, schema), "scores", batch_rows=BATCH_ROWS)
+        discard(*self.answers)
+        self.store_counts()
+        discard(self.blocks)
+        return done
