@@ -5,7 +5,10 @@ character classes, and the distribution of the language's common words (a parame
 their shares are counted over all documents of the language). The distance is
 Jensen-Shannon's (square root of the divergence in bits, 0 to 1). A document shorter than
 a minimum gets no verdict from a comparison, as its histogram says little; the base rules
-still hold. The text is read once: every document becomes a row of counts, from which
+still hold. The limit of the word distance comes from the reference itself: a text without any
+common word is as far from it as a lack of them can be, and three quarters of that distance is
+the most a document may have (0.23 to 0.24 where common words are 18 to 19 % of all words).
+``max_word_distance`` bounds it for languages rich in common words. The text is read once: every document becomes a row of counts, from which
 references and verdicts are computed.
 
 Defined results: a null text is an empty one (no words, so it fails the base rule); a
@@ -47,6 +50,8 @@ class QualityRules:
     max_class_distance: float = 0.29
     min_class_chars: int = 200
     max_word_distance: float = 0.34
+    # Share of the distance of a text without common words; None: ``max_word_distance`` alone.
+    max_word_share: float | None = 0.75
     min_word_words: int = 120
 
 
@@ -207,6 +212,20 @@ def distance(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(bits, F.lit(0.0)))).otherwise(F.lit(0.0))
 
 
+def word_limit(sums: Column, rules: QualityRules) -> Column:
+    """The word distance beyond which a document of a language with these sums is rejected.
+
+    Where no document has a common word, a lack of them says nothing.
+    """
+    most = F.lit(rules.max_word_distance)
+    if rules.max_word_share is None:
+        return most
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    none = F.concat(F.array_repeat(zero, F.size(sums) - 1), F.array(one))
+    seen = F.exists(F.slice(sums, 1, F.size(sums) - 1), lambda n: n > 0)
+    return F.when(seen, F.least(most, rules.max_word_share * distance(none, sums))).otherwise(most)
+
+
 def judged(docs: DataFrame, rules: QualityRules, *keep: str) -> DataFrame:
     """Columns ``keep`` of every row, its base counts, both distances and the verdict.
 
@@ -218,6 +237,7 @@ def judged(docs: DataFrame, rules: QualityRules, *keep: str) -> DataFrame:
 
 def _compared(counts: DataFrame, refs: DataFrame, rules: QualityRules) -> DataFrame:
     # A row per language; small by its files' size, so the planner may broadcast it.
+    refs = refs.withColumn("word_limit", word_limit(F.col("common_sums"), rules))
     df = counts.join(written(refs, "quality-references"), "lang", "left")
     df = df.withColumn("class_distance", distance(F.col("classes"), F.col("class_sums"))).withColumn(
         "word_distance",
@@ -225,7 +245,7 @@ def _compared(counts: DataFrame, refs: DataFrame, rules: QualityRules) -> DataFr
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
     odd = ((F.col("chars") >= rules.min_class_chars) & (F.col("class_distance") > rules.max_class_distance)) | (
-        (F.col("n_words") >= rules.min_word_words) & (F.col("word_distance") > rules.max_word_distance)
+        (F.col("n_words") >= rules.min_word_words) & (F.col("word_distance") > F.col("word_limit"))
     )
     return df.select(
         "row.*",
