@@ -5,6 +5,9 @@ to its parent, half of them to the grandparent and less further up; a container'
 are discounted by the share of its text that is inside links. The best container and those of
 its siblings that score well or read like prose are kept; menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments are left out wherever they are.
+A name of a class, or a form, does so only if the element holds a small share of the page's
+unlinked text and no article; a wrapper of the whole page is kept, whatever it is called.
+Lists of links are part of the article that holds them.
 Blocks come out in page order, one line each.
 
 Defined results: a null or empty page, and a page without text, give an empty string; markup
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Never part of the text, with all they hold.
 SKIPPED = frozenset(
-    "script style noscript template head title svg math canvas iframe object embed audio video form button select "
+    "script style noscript template head title svg math canvas iframe object embed audio video button select "
     "textarea input label fieldset nav footer aside menu dialog map applet frameset noframes datalist".split()
 )
 BLOCKS = frozenset(
@@ -61,16 +64,22 @@ UNLIKELY_ROLES = frozenset(
     "navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split()
 )
 LIKELY = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
+# Of the page's unlinked text, the most that an element can hold to be left out for its name, a
+# thread of comments, and all such elements together beside threads.
+SMALL, THREAD, TOGETHER = 1 / 3, 0.9, 0.75
+THREADS = re.compile(r"(?:^|\s)(?:comments?|comment-?list|comments?-(?:area|section|thread|list)|disqus(?:_thread)?|replies)(?:$|\s)", re.I)
 COMMENT_PARTS = re.compile(r"(?:^|[\s_-])(?:user-?)?comment", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skipped", "likely", "points", "length", "linked", "commas")
+    __slots__ = (
+        "tag", "parent", "children", "skipped", "doubtful", "thread", "likely", "points", "length", "linked", "commas"
+    )
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
-        self.skipped = self.likely = False
+        self.skipped = self.doubtful = self.thread = self.likely = False
         self.points = 0.0
         self.length = self.linked = self.commas = 0
 
@@ -101,7 +110,8 @@ class _Tree(HTMLParser):
         tag = node.tag
         if tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true":
             return True
-        if (attrs.get("role") or "").lower() in UNLIKELY_ROLES:
+        role = (attrs.get("role") or "").lower()
+        if role in UNLIKELY_ROLES - {"form"}:
             return True
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
             return True
@@ -111,11 +121,10 @@ class _Tree(HTMLParser):
             return False
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".strip()
         node.likely = bool(names and LIKELY.search(names))
-        if not names:
-            return False
-        if tag == "article":
-            return bool(COMMENT_PARTS.search(names))
-        return tag not in HEADINGS and bool(UNLIKELY.search(names))
+        node.thread = bool(THREADS.search(names))
+        unlikely = COMMENT_PARTS if tag == "article" else UNLIKELY
+        node.doubtful = tag == "form" or role == "form" or tag not in HEADINGS and bool(unlikely.search(names))
+        return False
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -152,9 +161,56 @@ def tree_of(html: str) -> Node:
     parser = _Tree()
     parser.feed(html)
     parser.close()
+    _settle(parser.root)
     return parser.root
 
 
+def _settle(root: Node) -> None:
+    """Decide on the elements whose names speak against them, by the text they hold."""
+    nodes = _in_order(root)
+    if not any(n.doubtful for n in nodes):
+        return
+    held: dict[Node, tuple[int, int, bool]] = {}  # unlinked text, outermost articles, whether main is among them
+    for node in reversed(nodes):
+        text = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        articles, main = 0, False
+        for c in node.children:
+            if isinstance(c, Node) and not c.skipped:
+                more, inner, has_main = held[c]
+                own = bool(more) and c.tag in ("article", "main") and not c.doubtful
+                text, articles, main = text + more, articles + (1 if own else inner), main or has_main or own and c.tag == "main"
+        held[node] = (0 if node.tag == "a" else text), articles, main
+    whole = held[root][0]
+    threads, small = [], []
+    for node in nodes:
+        if not node.doubtful:
+            continue
+        text, articles, main = held[node]
+        if main or articles == 1:
+            continue
+        if text <= SMALL * whole:
+            (threads if node.thread else small).append(node)
+        elif node.thread and text <= THREAD * whole:
+            threads.append(node)
+    for node in threads:
+        node.skipped = True
+    # Only the outermost count, and none inside what is left out already.
+    outer = {n for n in _in_order(root)} & set(small)
+    rest = whole - sum(held[n][0] for n in threads if not _inside(n))
+    for node in small:
+        node.skipped = True
+    if sum(held[n][0] for n in outer if not _inside(n)) > TOGETHER * rest:
+        for node in small:
+            node.skipped = node.tag == "form"  # blocks of a page that are all called alike
+
+
+def _inside(node: Node) -> bool:
+    up = node.parent
+    while up is not None and not up.skipped:
+        up = up.parent
+    return up is not None
+
+
 def _in_order(root: Node) -> list[Node]:
     """Every wanted node, parents before children."""
     found, stack = [], [root]
@@ -219,7 +275,7 @@ def chosen(root: Node) -> list[Node]:
     limit = max(10.0, best.points * 0.2)
     kept = []
     for c in up.children:
-        if not isinstance(c, Node) or c.skipped:
+        if not isinstance(c, Node) or c.skipped or c.doubtful and c is not best:
             continue
         prose = c.tag in ("p", "pre", "blockquote") and density(c) < 0.25 and c.length > 80
         heading = c.tag in HEADINGS and density(c) < 0.5
@@ -231,6 +287,7 @@ def chosen(root: Node) -> list[Node]:
 def blocks_of(top: Node) -> Iterator[str]:
     """Lines of text of the wanted nodes below ``top``, cut at block elements."""
     parts: list[str] = []
+    begun = top.tag not in ("", "html", "body")
     stack: list[Node | str | None] = [top]
     while stack:
         item = stack.pop()
@@ -238,6 +295,7 @@ def blocks_of(top: Node) -> Iterator[str]:
             line = " ".join("".join(parts).split())
             parts.clear()
             if line:
+                begun = begun or len(line) >= 25
                 yield line
         elif isinstance(item, str):
             parts.append(item)
@@ -247,8 +305,8 @@ def blocks_of(top: Node) -> Iterator[str]:
             children = item.children
             if item.tag == "header":
                 children = [c for c in children if isinstance(c, Node) and c.tag in HEADINGS | {"hgroup"}]
-            if density(item) > 0.6 and item.tag in ("ul", "ol", "table") and item.linked > 0:
-                children = []  # a list of links is a menu
+            if not begun and density(item) > 0.6 and item.tag in ("ul", "ol", "table") and item.linked > 0:
+                children = []  # a list of links ahead of all text is the page's menu
             stack.extend(c for c in reversed(children) if isinstance(c, str) or not c.skipped)
             if item.tag in BLOCKS:
                 stack.append(None)
