@@ -189,3 +189,72 @@ SELECT doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(
   NULL::INTEGER AS grown_shard
 FROM records JOIN slots USING (vslot), crc_table
 """
+
+ORACLES["op12_merkle_climb"] = r"""
+WITH RECURSIVE crc_steps(i, c, step) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM crc_steps WHERE step < 8
+), crc_table AS (
+  SELECT list(c ORDER BY i) AS crcs FROM crc_steps WHERE step = 8
+), crcs AS (
+  SELECT *, coalesce('=' || lang, '-') AS tree, xor(4294967295, list_reduce(
+    list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT),
+    lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1]), 4294967295)) AS crc
+  FROM documents, crc_table
+), written AS (
+  SELECT tree, doc_id, coalesce(crc % 7 = 0, false) AS tampered,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+      || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS chars,
+    coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS more_chars,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM crcs
+), leaves AS (
+  SELECT tree, doc_id, sha256(head || chars || tail) AS leaf,
+    sha256(head || CASE WHEN tampered THEN more_chars ELSE chars END || tail) AS changed FROM written
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves
+), grown(tree, level, nodes) AS (
+  SELECT tree, 0, list(leaf ORDER BY i) FROM numbered GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda k: sha256(nodes[k] || coalesce(nodes[k + 1], '')))
+  FROM grown WHERE len(nodes) > 1
+), subroots AS (
+  SELECT tree, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM grown WHERE len(nodes) = 1
+), top(tree, level, nodes) AS (
+  SELECT '', 0, list(subroot ORDER BY place) FROM subroots
+  UNION ALL
+  SELECT tree, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda k: sha256(nodes[k] || coalesce(nodes[k + 1], '')))
+  FROM top WHERE len(nodes) > 1
+), levels AS (
+  SELECT * FROM grown WHERE len(nodes) > 1 UNION ALL SELECT * FROM top WHERE len(nodes) > 1
+), nodes AS (
+  SELECT tree, level, unnest(range(0, len(nodes))) AS i, unnest(nodes) AS digest FROM levels
+), heights AS (
+  SELECT tree, max(level) + 1 AS height FROM levels GROUP BY tree
+), climb(tree, first, level, i, proof, folded) AS (
+  SELECT tree, i, 0, i, '', changed FROM numbered
+  UNION ALL
+  SELECT c.tree, c.first, c.level + 1, c.i // 2, c.proof || coalesce(s.digest, ''),
+    sha256(CASE WHEN s.digest IS NULL THEN c.folded WHEN s.i < c.i THEN s.digest || c.folded ELSE c.folded || s.digest END)
+  FROM climb c JOIN heights h ON h.tree = c.tree AND c.level < h.height
+    LEFT JOIN nodes s ON s.tree = c.tree AND s.level = c.level AND s.i = xor(c.i, 1)
+), at_subroot AS (
+  SELECT c.*, s.subroot, s.place FROM climb c JOIN subroots s USING (tree) LEFT JOIN heights h USING (tree)
+  WHERE c.level = coalesce(h.height, 0)
+), upper_climb(tree, first, level, i, proof, folded) AS (
+  SELECT tree, first, 0, place, proof, folded FROM at_subroot
+  UNION ALL
+  SELECT c.tree, c.first, c.level + 1, c.i // 2, c.proof || coalesce(s.digest, ''),
+    sha256(CASE WHEN s.digest IS NULL THEN c.folded WHEN s.i < c.i THEN s.digest || c.folded ELSE c.folded || s.digest END)
+  FROM upper_climb c JOIN heights h ON h.tree = '' AND c.level < h.height
+    LEFT JOIN nodes s ON s.tree = '' AND s.level = c.level AND s.i = xor(c.i, 1)
+), ends AS (
+  SELECT c.* FROM upper_climb c WHERE c.level = coalesce((SELECT height FROM heights WHERE tree = ''), 0)
+)
+SELECT n.doc_id, n.leaf, s.subroot, t.nodes[1] AS root, sha256(e.proof) AS proof_sha256, e.folded AS folded_root,
+  e.folded = t.nodes[1] AS verified
+FROM numbered n JOIN ends e ON e.tree = n.tree AND e.first = n.i JOIN subroots s ON s.tree = n.tree
+  JOIN top t ON len(t.nodes) = 1
+"""

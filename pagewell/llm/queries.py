@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewell.llm import extraction, katz, minhash, mixing, neighbours, packing, quality, sharding, substrings, toxicity
+from pagewell.llm import (
+    extraction,
+    katz,
+    merkle,
+    minhash,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    sharding,
+    substrings,
+    toxicity,
+)
 from pagewell.llm.common import read
 
 
@@ -96,6 +108,10 @@ def op10_shifted_curves(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_merkle_climb(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.Manifest(read(spark, folder, "documents")).verified()
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_circulant_minhash": op1_circulant_minhash,
     "op2_katz_backoff": op2_katz_backoff,
@@ -107,4 +123,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_virtual_slots": op8_virtual_slots,
     "op9_poisson_mixing": op9_poisson_mixing,
     "op10_shifted_curves": op10_shifted_curves,
+    "op12_merkle_climb": op12_merkle_climb,
 }
