@@ -17,6 +17,7 @@ from pagewell.llm import (
     packing,
     quality,
     sharding,
+    simhash,
     substrings,
     toxicity,
 )
@@ -112,6 +113,11 @@ def op12_merkle_climb(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.Manifest(read(spark, folder, "documents")).verified()
 
 
+def op13_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.grouped(read(spark, folder, "documents"), "doc_id")
+    return groups.select("doc.doc_id", simhash.as_hex(F.col("print")).alias("fingerprint"), "component_id")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_circulant_minhash": op1_circulant_minhash,
     "op2_katz_backoff": op2_katz_backoff,
@@ -124,4 +130,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_poisson_mixing": op9_poisson_mixing,
     "op10_shifted_curves": op10_shifted_curves,
     "op12_merkle_climb": op12_merkle_climb,
+    "op13_covering_simhash": op13_covering_simhash,
 }
