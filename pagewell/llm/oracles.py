@@ -190,6 +190,36 @@ SELECT doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(
 FROM records JOIN slots USING (vslot), crc_table
 """
 
+ORACLES["op11_ball_tree_search"] = r"""
+WITH doc_terms AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), item_terms AS (
+  SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), asked AS (
+  SELECT i, item_id, term, count(*) AS times FROM item_terms GROUP BY ALL
+), totals AS (
+  SELECT count(*) AS docs, sum(len(terms))::BIGINT AS all_terms FROM doc_terms WHERE len(terms) > 0
+), counted AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM doc_terms) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), totals
+), scored AS (
+  SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // all_terms))))::BIGINT AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term), totals GROUP BY ALL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
 ORACLES["op12_merkle_climb"] = r"""
 WITH RECURSIVE crc_steps(i, c, step) AS (
   SELECT i, i, 0 FROM range(256) t(i)

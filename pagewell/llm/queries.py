@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewell.llm import (
+    balltree,
     extraction,
     katz,
     merkle,
@@ -109,6 +110,10 @@ def op10_shifted_curves(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(rows, F.col("vec_id") % 100 == 0)
 
 
+def op11_ball_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return balltree.ranked(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op12_merkle_climb(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.Manifest(read(spark, folder, "documents")).verified()
 
@@ -129,6 +134,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_virtual_slots": op8_virtual_slots,
     "op9_poisson_mixing": op9_poisson_mixing,
     "op10_shifted_curves": op10_shifted_curves,
+    "op11_ball_tree_search": op11_ball_tree_search,
     "op12_merkle_climb": op12_merkle_climb,
     "op13_covering_simhash": op13_covering_simhash,
 }
