@@ -44,12 +44,14 @@ class Limits:
     ``block_rows`` and ``block_values`` bound a question block, ``group_rows`` the
     chunks of a grid task. A scan uses at most ``scan_waves`` tasks per core, since
     every task sends its own best k, and they are merged ``merge_ways`` at a time.
+    Up to ``plain_pairs`` (question, posting) pairs are summed without looking for floors first.
     """
 
     block_rows: int = 20_000
     block_values: int = 8_000_000
     group_rows: int = 50_000
     merge_ways: int = 16
+    plain_pairs: int = 2_000_000
 
 
 class RunningBest:

@@ -1,9 +1,7 @@
-"""BM25: statistics, search over all chunks, and reranking of given candidates."""
+"""BM25: statistics and reranking of given candidates; `postings` has the search over all chunks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,16 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pagewell.functions import text as tx
-from pagewell.operators.blockscan import MATRIX_CELLS, Limits, Scored, round_scores, top_k
+from pagewell.operators.blockscan import round_scores
 from pagewell.operators.embedding import idf, list_rows
 
 # The BM25 constants.
 K1 = 1.2
 B = 0.75
 
-# A term asked by more than this share of a question block is applied as a dense row.
-DENSE_SHARE = 0.02
-
 
 def chunk_totals(chunks: DataFrame) -> DataFrame:
     """One row: number of chunks and number of tokens in them."""
@@ -32,18 +27,21 @@ def chunk_totals(chunks: DataFrame) -> DataFrame:
     )
 
 
-def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """(token, n_chunks): in how many chunks a token occurs, counted map-side first."""
-    return (
-        chunks.select(F.explode(F.array_distinct("tokens")).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n_chunks"))
+def term_frequencies(postings: DataFrame) -> DataFrame:
+    """(token, n_chunks, max_tf, min_len) of `postings`, counted map-side first.
+
+    In how many chunks a token occurs, how often at most in one, and in how short a chunk: no
+    chunk can score more for the token than one that has it as often and is as short.
+    """
+    return postings.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.max("tf").alias("max_tf"), F.min("length").alias("min_len")
     )
 
 
 def question_terms(questions: DataFrame, terms: DataFrame, totals: DataFrame) -> DataFrame:
-    """(query_id, terms, idfs, avg_len): each question's distinct tokens the corpus knows.
+    """(query_id, terms, idfs, avg_len, bounds, counts): each question's distinct tokens the corpus knows.
 
+    ``bounds`` is what a token can add to a score at most, ``counts`` in how many chunks it is.
     ``terms`` may hold several counts per token; they are added up for the asked
     tokens only. Distinct tokens are looked up, each once, so a token asked by a
     third of all questions is still one row in the lookup.
@@ -56,18 +54,30 @@ def question_terms(questions: DataFrame, terms: DataFrame, totals: DataFrame) ->
     known = (
         terms.join(asked.select("token").distinct(), "token")
         .groupBy("token")
-        .agg(F.sum("n_chunks").cast("double").alias("n"))
-        .select("token", idf(n, F.col("n")).alias("idf"))
+        .agg(
+            F.sum("n_chunks").cast("double").alias("n"),
+            F.max("max_tf").alias("max_tf"),
+            F.min("min_len").alias("min_len"),
+        )
+        .filter("n > 0")  # withdrawn chunks are counted with a minus
+        .withColumn("idf", idf(n, F.col("n")))
+        .withColumn("bound", F.col("idf") * saturation(F.col("max_tf"), F.col("min_len"), avg))
     )
     return (
         asked.join(known, "token")
         .groupBy("query_id")
-        .agg(F.collect_list("token").alias("terms"), F.collect_list("idf").alias("idfs"))
-        .withColumn("avg_len", avg)
+        .agg(
+            F.collect_list("token").alias("terms"),
+            F.collect_list("idf").alias("idfs"),
+            F.collect_list("bound").alias("bounds"),
+            F.collect_list("n").alias("counts"),
+        )
+        .select("query_id", "terms", "idfs", avg.alias("avg_len"), "bounds", "counts")
     )
 
 
-def saturation(tf: np.ndarray, length: np.ndarray, avg) -> np.ndarray:
+def saturation(tf, length, avg):
+    """The weight of a token's count in a chunk, of arrays or of columns."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
 
 
@@ -83,88 +93,6 @@ def list_lengths(column: pa.Array) -> np.ndarray:
     return np.asarray(column.value_lengths().fill_null(0))
 
 
-def bm25_scorer(block: pa.Table):
-    """Scores through a term-to-questions index of the block; hits share at least one token.
-
-    Terms asked by many questions are kept as dense rows and applied as one
-    matrix product, so a token that everybody asks for and that is everywhere
-    costs no list of pairs. The other terms add up through short lists.
-    """
-    terms, owner = list_rows(block.column("terms").combine_chunks())
-    idfs = np.asarray(list_rows(block.column("idfs").combine_chunks())[0])
-    avg = block.column("avg_len")[0].as_py()
-    vocabulary = pc.unique(terms)
-    term = pc.index_in(terms, value_set=vocabulary).to_numpy()
-    n_q, everyone = block.num_rows, np.arange(block.num_rows)
-
-    n_askers = np.bincount(term, minlength=len(vocabulary))
-    by_askers = np.argsort(-n_askers, kind="stable")[: max(1, MATRIX_CELLS // n_q)]
-    hot = by_askers[n_askers[by_askers] > n_q * DENSE_SHARE]
-    hot_number = np.full(len(vocabulary), -1)
-    hot_number[hot] = np.arange(len(hot))
-    dense = np.zeros((n_q, len(hot)))
-    is_hot = hot_number[term] >= 0
-    dense[owner[is_hot], hot_number[term[is_hot]]] = idfs[is_hot]
-
-    n_askers[hot] = 0
-    order = np.argsort(term, kind="stable")
-    order = order[~is_hot[order]]
-    asked_by, weight = owner[order], idfs[order]
-    first = np.concatenate(([0], np.cumsum(n_askers)))
-
-    def score(batch: pa.RecordBatch) -> Iterator[Scored]:
-        lengths = list_lengths(batch.column("tokens"))
-        code, tf = asked_counts(batch.column("tokens"), vocabulary)
-        row, t = code // len(vocabulary), code % len(vocabulary)
-        value = saturation(tf, lengths[row], avg)
-        work = np.bincount(row, n_askers[t], minlength=len(lengths)).astype(np.int64)
-        for lo, hi in row_ranges(work, n_q + len(hot)):
-            a, z = np.searchsorted(row, [lo, hi])
-            n = n_askers[t[a:z]]
-            source = np.repeat(np.arange(a, z), n)
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = first[t[source]] + inside
-            place = asked_by[at] * (hi - lo) + (row[source] - lo)
-            total = np.bincount(place, value[source] * weight[at], minlength=(hi - lo) * n_q)
-            total = total.reshape(n_q, hi - lo)
-            if len(hot):
-                number = hot_number[t[a:z]]
-                mine = number >= 0
-                found = np.zeros((len(hot), hi - lo))
-                found[number[mine], row[a:z][mine] - lo] = value[a:z][mine]
-                total = total + dense @ found
-            yield np.arange(lo, hi), everyone, np.where(total > 0, round_scores(total), -np.inf)
-
-    return score
-
-
-def row_ranges(work: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
-    """Consecutive rows whose scores and additions together stay within the matrix bound."""
-    cost = np.cumsum(work + width)
-    lo = 0
-    while lo < len(work):
-        done = cost[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(cost, done + MATRIX_CELLS, side="right")))
-        yield lo, hi
-        lo = hi
-
-
-def bm25_top_k(
-    chunks: DataFrame, terms_of_questions: DataFrame, k: int, limits: Limits = Limits()
-) -> DataFrame:
-    """BM25 over all chunks. A token's (chunk, question) pairs are never formed as rows."""
-    keys = ["doc_id", "chunk_no"]
-    return top_k(
-        chunks.select(*keys, "tokens"),
-        terms_of_questions,
-        k,
-        bm25_scorer,
-        keys,
-        F.size("terms"),
-        limits,
-    )
-
-
 @F.arrow_udf(DoubleType())
 def bm25_score(tokens: pa.Array, terms: pa.Array, idfs: pa.Array, avg_len: pa.Array) -> pa.Array:
     """BM25 of one question and one chunk per row; NULL if they share no token."""

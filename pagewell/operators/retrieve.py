@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewell.functions import text as tx
-from pagewell.operators import lexical
+from pagewell.operators import lexical, postings
 from pagewell.operators.blockscan import Limits
 from pagewell.operators.similarity import approx_top_k, cosine_top_k
 from pagewell.session import stored
@@ -69,7 +69,7 @@ def candidates(
         found.append(by_vector(index.chunks, asked, k, index.dim, limits=limits, **search_options))
     if mode != "vector":
         terms = index.terms_of(questions) if terms is None else terms
-        found.append(lexical.bm25_top_k(index.chunks, terms, k, limits))
+        found.append(postings.search(index.postings, terms, k, limits))
     if len(found) == 1:
         return found[0].select(*PAIR)
     return found[0].select(*PAIR).unionByName(found[1].select(*PAIR)).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewell.operators import answers as an
-from pagewell.operators import chunking, embedding, lexical, prompts, retrieve, similarity
+from pagewell.operators import chunking, embedding, lexical, postings, prompts, retrieve, similarity
 from pagewell.operators.blockscan import Limits
 from pagewell.session import stored
 from pagewell.sources.collections import Collections
@@ -93,6 +93,10 @@ class Index:
             rows = similarity.with_cell(rows, self.settings.cell_bits, self.dim)
         return rows
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.store.companion(self.name, "postings")
+
     def terms_of(self, questions: DataFrame) -> DataFrame:
         return lexical.question_terms(
             questions, self.store.companion(self.name, "terms"), self.store.totals(self.name)
@@ -128,9 +132,12 @@ class Index:
         self.__dict__.pop("weights", None)
 
     def write_statistics(self, rows: DataFrame, overwrite: bool = False) -> None:
-        terms, totals = lexical.term_frequencies(rows), lexical.chunk_totals(rows)
+        """Postings, counts and totals of ``rows``; of all chunks with ``overwrite``. Totals come last."""
+        listed = postings.postings(rows)
+        self.store.append_companion(self.name, "postings", postings.in_slots(listed), overwrite)
+        terms = lexical.term_frequencies(self.postings if overwrite else listed)
         self.store.append_companion(self.name, "terms", terms, overwrite)
-        self.store.append_companion(self.name, "totals", totals, overwrite)
+        self.store.append_companion(self.name, "totals", lexical.chunk_totals(rows), overwrite)
 
     def repair_statistics(self) -> None:
         """Count again if an earlier append was cut off between chunks and statistics.
@@ -158,7 +165,7 @@ def build_index(
     store.remember(name, **settings.kept(), encoder=int(settings.load_encoder is not None))
     index = Index(store, name, settings)
     chunks = stored(settings.chunk(docs), "chunks")
-    index.write_statistics(chunks)
+    index.write_statistics(chunks, overwrite=True)
     if settings.load_encoder is None:
         index.count_weights()
         store.append(name, store.valid_rows(name, index.with_vectors(chunks), strict))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagewell.functions import text as tx
 from pagewell.functions import vectors as vx
 from pagewell.operators import answers as an
-from pagewell.operators import chunking, embedding, evaluation, lexical, prompts, retrieve
+from pagewell.operators import chunking, embedding, evaluation, lexical, postings, prompts, retrieve
 from pagewell.operators.similarity import approx_top_k, cosine_top_k
 from pagewell.plans.answering import (
     AnswerSettings,
@@ -415,7 +415,7 @@ def bm25_search(spark, folder):
     index = shared_index(spark, folder)
     asked = tables.benchmark_questions(spark, folder)
     terms = stored(index.terms_of(asked), "question-terms")
-    return lexical.bm25_top_k(index.chunks, terms, retrieve.TOP_N)
+    return postings.search(index.postings, terms, retrieve.TOP_N)
 
 
 def length_reranker():
@@ -614,7 +614,7 @@ def result_quality(spark, folder):
     truth = stored(evaluation.quotes(tables.documents(spark, folder), asked), "truth")
     vector = cosine_top_k(index.chunks, retrieve.embed_questions(asked, index), 100, index.dim)
     terms = stored(index.terms_of(asked), "question-terms")
-    bm25 = lexical.bm25_top_k(index.chunks, terms, 100)
+    bm25 = postings.search(index.postings, terms, 100)
     both = retrieve.retrieve(asked, index, mode="union")
     out = None
     for mode, hits in (("vector", vector), ("bm25", bm25), ("two_stage", both)):

@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,7 +50,34 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, label: str, spark: SparkSession | None = None) -> DataFrame:
+_scratch: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., DataFrame]]:
+    """Tables that `stored` makes inside are removed at the end; results must be written by then.
+
+    Gives a `stored` for results, whose tables last until the end of the block around this one.
+    """
+    depth = len(_scratch)
+    _scratch.append([])
+
+    def lasting(df: DataFrame, label: str, spark: SparkSession | None = None) -> DataFrame:
+        return stored(df, label, spark, depth)
+
+    try:
+        yield lasting
+    finally:
+        for spark, place in _scratch.pop():
+            remove_folder(spark, place)
+
+
+def remove_folder(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, label: str, spark: SparkSession | None = None, depth: int | None = None) -> DataFrame:
     """A result that is used several times, written once to the shared folder.
 
     ``spark`` reads it back; a micro-batch has a session of its own, whose writes
@@ -57,6 +86,8 @@ def stored(df: DataFrame, label: str, spark: SparkSession | None = None) -> Data
     spark = spark or df.sparkSession
     place = work_dir(spark, label)
     df.write.parquet(place)
+    if open_blocks := _scratch[:depth]:
+        open_blocks[-1].append((spark, place))
     return spark.read.schema(df.schema).parquet(place)
 
 

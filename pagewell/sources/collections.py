@@ -4,8 +4,8 @@ A collection ``c`` is the table ``c`` (one row per chunk, properties ``dim`` and
 ``distance``) and small companions: ``c__weights`` (fixed when the index
 is built, so that chunks and questions share one vector space), ``c__terms`` and
 ``c__totals`` (BM25 statistics as increments that are summed when read, so an
-append writes only what it adds). ``c__rejected`` names the chunks whose vectors
-did not fit.
+append writes only what it adds). ``c__postings`` lists the chunks of each token, for BM25 search, by
+slots of tokens. ``c__rejected`` names the chunks whose vectors did not fit.
 """
 
 from __future__ import annotations
@@ -14,16 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewell import schemas
+from pagewell.operators import postings
 from pagewell.operators.embedding import split_valid
 from pagewell.session import work_dir
 
 DISTANCE = "cosine"
 COMPANIONS = {
     "weights": "slot int, weight int",
-    "terms": "token string, n_chunks bigint",
+    "terms": "token string, n_chunks bigint, max_tf int, min_len int",
     "totals": "n_chunks bigint, n_terms bigint",
     "rejected": "doc_id bigint, chunk_no int, reason string",
+    "postings": postings.COLUMNS,
 }
+# Companions that are stored in parts.
+PARTS = {"postings": "slot"}
 
 
 class Collections:
@@ -81,7 +85,8 @@ class Collections:
         for companion, ddl in COMPANIONS.items():
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {self.table(name, companion)} ({ddl}) "
-                f"USING parquet{place(f'{name}__{companion}')}"
+                f"USING parquet{f' PARTITIONED BY ({PARTS[companion]})' if companion in PARTS else ''}"
+                f"{place(f'{name}__{companion}')}"
             )
 
     def attach(
@@ -95,6 +100,8 @@ class Collections:
         self.create_if_missing(name, dim, buckets, celled, folder)
         if celled:
             self.spark.catalog.recoverPartitions(self.table(name))
+        for companion in PARTS:
+            self.spark.catalog.recoverPartitions(self.table(name, companion))
 
     def drop(self, name: str) -> None:
         """Remove one named collection with its content."""

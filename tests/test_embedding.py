@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewell.functions import vectors as vx
-from pagewell.operators import chunking, embedding, lexical
+from pagewell.operators import chunking, embedding, lexical, postings
 
 TEXTS = ["red fox red", "the fox", "the the dog", "", "Fox! dog?"]
 
@@ -37,7 +37,7 @@ def brute_vectors(texts, dim):
 def hashed(spark, dim=32):
     c = chunks(spark)
     weights = embedding.collect_weights(
-        embedding.slot_weights(lexical.term_frequencies(c), lexical.chunk_totals(c))
+        embedding.slot_weights(lexical.term_frequencies(postings.postings(c)), lexical.chunk_totals(c))
     )
     return embedding.hashed_embedding(c, weights, dim)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewell.operators import chunking, lexical
+from pagewell.operators import chunking, lexical, postings
 from pagewell.operators.blockscan import Limits
 from pagewell.operators.similarity import approx_top_k, cosine_top_k, with_cell
 
@@ -144,12 +144,15 @@ def brute_bm25(texts, asked, k):
 ASKED = ["the w1 w2", "W3, w3 w40?", "nothing here", "the", "w5 w6 w7 w8 w9 w10 the"] * 3
 
 
-@pytest.mark.parametrize("limits", [Limits(), GRID])
+SEARCHES = [Limits(), GRID, Limits(plain_pairs=0), Limits(plain_pairs=0, block_rows=3)]
+
+
+@pytest.mark.parametrize("limits", SEARCHES)
 def test_bm25_equals_brute_force(spark, limits):
     texts, chunks = corpus(spark)
     asked = spark.createDataFrame(list(enumerate(ASKED)), "query_id long, query_text string")
-    terms = lexical.question_terms(asked, lexical.term_frequencies(chunks), lexical.chunk_totals(chunks))
-    got = found(lexical.bm25_top_k(chunks, terms, 6, limits), "doc_id", "chunk_no")
+    terms = lexical.question_terms(asked, lexical.term_frequencies(postings.postings(chunks)), lexical.chunk_totals(chunks))
+    got = found(postings.search_chunks(chunks, terms, 6, limits), "doc_id", "chunk_no")
     want = brute_bm25(texts, ASKED, 6)
     assert got.keys() == want.keys()
     assert all(got[key] == pytest.approx(want[key], abs=1e-4) for key in want)
@@ -172,3 +175,60 @@ def test_reranker_slot(spark):
     )
     got = found(lexical.rerank_with(pairs, asked, longest, 4), "doc_id")
     assert got == {(0, 2, 1): 6.0, (0, 3, 2): 5.0, (0, 1, 3): 4.0}
+
+
+def random_questions(spark, n):
+    rng = random.Random(2)
+    asked = [" ".join(["the"] + [f"w{min(int(rng.paretovariate(0.5)), 60)}" for _ in range(9)]) for _ in range(n)]
+    return asked, spark.createDataFrame(list(enumerate(asked)), "query_id long, query_text string")
+
+
+@pytest.mark.parametrize("block_rows", [20_000, 3])
+def test_floors_leave_out_common_tokens_and_lose_nothing(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(postings, "PROBE_CHUNKS", 30)  # both are read on the driver
+    monkeypatch.setattr(postings, "PROBE_KEPT", 6)
+    texts, chunks = corpus(spark, 400)
+    asked, questions_ = random_questions(spark, 25)
+    listed = postings.postings(chunks)
+    terms = lexical.question_terms(questions_, lexical.term_frequencies(listed), lexical.chunk_totals(chunks))
+    limits = Limits(plain_pairs=0, block_rows=block_rows)
+    tokens = postings.asked_tokens(terms)
+    of = postings.Asked(listed, True, limits)
+    left = postings.with_floors(of, tokens, 3).filter("not needed")
+    assert left.filter("token = 'the'").count() > 10
+    got = found(postings.search(listed, terms, 3, limits), "doc_id", "chunk_no")
+    want = brute_bm25(texts, asked, 3)
+    assert got.keys() == want.keys()
+    assert all(got[key] == pytest.approx(want[key], abs=1e-4) for key in want)
+
+
+def test_a_search_reads_the_slots_and_tokens_that_are_asked(spark, store):
+    from pagewell.plans.answering import build_index
+    from pagewell.sources import tables
+
+    index = build_index(tables.documents(spark, SMALL), store, "c")
+    asked = spark.createDataFrame([(0, "the of")], "query_id long, query_text string")
+    own = postings.reading(index.postings, postings.asked_tokens(index.terms_of(asked)))
+    plan = own._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*slot#\d+ (IN|INSET)", plan)
+    assert re.search(r"PushedFilters: \[[^]]*In\(token, \[(of,the|the,of)\]\)", plan)
+    assert len(own.inputFiles()) < len(index.postings.inputFiles())
+    assert {r[0] for r in own.select("token").distinct().collect()} <= {"the", "of"}
+
+
+def test_intermediate_tables_of_a_search_are_removed(spark, monkeypatch):
+    import os
+
+    from pagewell import session
+
+    place = session.work_dir(spark, "own-folder")
+    os.makedirs(place)
+    monkeypatch.setattr(session, "work_dir", lambda spark, label: f"{place}/{label}-{random.random()}")
+    _, chunks = corpus(spark)
+    _, questions_ = random_questions(spark, 4)
+    listed = postings.postings(chunks)
+    terms = lexical.question_terms(questions_, lexical.term_frequencies(listed), lexical.chunk_totals(chunks))
+    with session.scratch():
+        assert postings.search(listed, terms, 3, Limits(plain_pairs=0)).count() == 12
+        assert [name.split("-")[0] for name in os.listdir(place)] == ["hits"]
+    assert os.listdir(place) == []
