@@ -181,16 +181,27 @@ def approx_top_k(
     """
     if not 1 <= probes <= 2**bits or bits > 12:
         raise ValueError("need 1 <= probes <= 2 ** bits and bits <= 12")
-    keys = keys or ["doc_id", "chunk_no"]
     ask = with_probes(
         questions.filter(vx.is_valid(F.col("embedding"), dim)).select("query_id", "embedding"),
         bits, dim, probes,
     )
-    if "cell" in chunks.columns:
+    if "cell" not in chunks.columns:
+        chunks = with_cell(chunks, bits, dim)
+        return celled_top_k(chunks, ask, k, dim, keys, limits, prune=False)
+    return celled_top_k(chunks, ask, k, dim, keys, limits)
+
+
+def celled_top_k(
+    chunks: DataFrame, ask: DataFrame, k: int, dim: int, keys: list[str] | None, limits: Limits, prune: bool = True
+) -> DataFrame:
+    """Cosine top-k of questions with ``probes`` among the chunks whose ``cell`` they visit.
+
+    ``prune`` filters the chunks by the visited cells, whose number is bounded by that of all cells.
+    """
+    keys = keys or ["doc_id", "chunk_no"]
+    if prune:
         visited = [r[0] for r in ask.select(F.explode("probes")).distinct().collect()]
         chunks = chunks.filter(F.col("cell").isin(visited))
-    else:
-        chunks = with_cell(chunks, bits, dim)
     return top_k(
         chunks.select(*keys, "embedding", "cell"),
         ask,

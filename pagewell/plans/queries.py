@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagewell.functions import text as tx
 from pagewell.functions import vectors as vx
 from pagewell.operators import answers as an
-from pagewell.operators import chunking, embedding, evaluation, lexical, postings, prompts, retrieve
+from pagewell.operators import cells, chunking, embedding, evaluation, lexical, postings, prompts, retrieve
 from pagewell.operators.similarity import approx_top_k, cosine_top_k
 from pagewell.plans.answering import (
     AnswerSettings,
@@ -393,6 +393,28 @@ def approximate(spark, folder):
     return approx_top_k(rows, vector_questions(rows), 5, VECTOR_DIM, 8, 192, ["vec_id"])
 
 
+@query("R2_learned_cells")
+def learned_cells(spark, folder):
+    """Every vector asked about all, in learned cells that hold a quarter of them: recall and share read, measured."""
+    rows = embedding_rows(spark, folder)
+    centres = cells.fitted_centres(rows, ["vec_id"], VECTOR_DIM)
+    celled = stored(cells.with_learned_cell(rows, centres), "celled")
+    learned = cells.Cells.of(cells.cell_table(celled, centres))
+    asked = vector_questions(rows)
+    near = cells.learned_top_k(celled, asked, 5, learned, 0.25, ["vec_id"]).select("query_id", "vec_id")
+    exact = cosine_top_k(rows, asked, 5, VECTOR_DIM, ["vec_id"]).select("query_id", "vec_id")
+    visited = cells.with_visited_cells(asked, learned, 0.25).select("query_id", F.explode("probes").alias("cell"))
+    sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    read = visited.join(sizes, "cell").agg(F.sum("n").alias("read"))
+    both = near.withColumn("hit", F.lit(1)).join(exact, ["query_id", "vec_id"], "right")
+    recall = both.agg(F.count_distinct("query_id").alias("questions"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return recall.crossJoin(read).select(  # one row each
+        "questions",
+        (F.col("recall") >= 0.9).alias("recall_reached"),
+        (F.col("read") <= 0.25 * F.col("questions") * F.col("questions")).alias("at_most_a_quarter_read"),
+    )
+
+
 @query("R3_embed_questions")
 def question_vectors(spark, folder):
     index = shared_index(spark, folder)
