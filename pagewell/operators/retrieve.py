@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewell.functions import text as tx
 from pagewell.operators import lexical, postings
 from pagewell.operators.blockscan import Limits
+from pagewell.operators.cells import learned_top_k
 from pagewell.operators.similarity import approx_top_k, cosine_top_k
 from pagewell.session import stored
 
@@ -17,7 +18,7 @@ CANDIDATE_K = 100
 # Fixed value: how many chunks the reranker keeps.
 TOP_N = 3
 
-APPROX_OPTIONS = {"bits", "probes"}
+SEARCH_OPTIONS = {"exact": set(), "approx": {"bits", "probes"}, "learned": {"share"}}
 
 # At most this many (query, chunk) keys are broadcast, below 100 bytes each.
 LOOKUP_ROWS = 1_000_000
@@ -43,10 +44,9 @@ def look_up(hits: DataFrame, chunks: DataFrame, at_most: int) -> DataFrame:
 
 def check_arguments(mode: str, search: str = "exact", options: dict | None = None) -> None:
     """Refuse what no search knows, before anything is read."""
-    if mode not in ("vector", "bm25", "union") or search not in ("exact", "approx"):
-        raise ValueError("mode is vector, bm25 or union; search is exact or approx")
-    known = APPROX_OPTIONS if search == "approx" else set()
-    if unknown := set(options or {}) - known:
+    if mode not in ("vector", "bm25", "union") or search not in SEARCH_OPTIONS:
+        raise ValueError("mode is vector, bm25 or union; search is exact, approx or learned")
+    if unknown := set(options or {}) - SEARCH_OPTIONS[search]:
         raise TypeError(f"{search} search has no option {', '.join(sorted(unknown))}")
 
 
@@ -64,9 +64,12 @@ def candidates(
     check_arguments(mode, search, search_options)
     found = []
     if mode != "bm25":
-        by_vector = cosine_top_k if search == "exact" else approx_top_k
         asked = embed_questions(questions, index)
-        found.append(by_vector(index.chunks, asked, k, index.dim, limits=limits, **search_options))
+        if search == "learned":
+            found.append(learned_top_k(index.chunks, asked, k, index.cells, limits=limits, **search_options))
+        else:
+            by_vector = cosine_top_k if search == "exact" else approx_top_k
+            found.append(by_vector(index.chunks, asked, k, index.dim, limits=limits, **search_options))
     if mode != "vector":
         terms = index.terms_of(questions) if terms is None else terms
         found.append(postings.search(index.postings, terms, k, limits))

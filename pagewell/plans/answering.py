@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewell.operators import answers as an
-from pagewell.operators import chunking, embedding, lexical, postings, prompts, retrieve, similarity
+from pagewell import schemas
+from pagewell.operators import cells, chunking, embedding, lexical, postings, prompts, retrieve, similarity
 from pagewell.operators.blockscan import Limits
-from pagewell.session import stored
+from pagewell.session import scratch, stored
 from pagewell.sources.collections import Collections
 
 Chunker = Callable[[DataFrame], DataFrame]
@@ -28,7 +29,8 @@ class IndexSettings:
 
     Chunks are small enough that several fit into one prompt. ``load_encoder``
     fills the encoder slot; without it the hashed vectors are used.
-    ``cell_bits`` stores the collection by search cell.
+    ``cell_bits`` stores the collection by search cells cut by fixed planes, ``learned_cells``
+    by that many cells fitted to the vectors.
     """
 
     dim: int = embedding.DIM
@@ -38,10 +40,11 @@ class IndexSettings:
     load_encoder: Callable | None = None
     cell_bits: int = 0
     buckets: int = 0
+    learned_cells: int = 0
 
     def kept(self) -> dict[str, int]:
         """What a collection remembers of its settings: the whole numbers."""
-        names = ("chunk_size", "overlap", "sentences", "cell_bits", "buckets")
+        names = ("chunk_size", "overlap", "sentences", "cell_bits", "buckets", "learned_cells")
         return {name: int(getattr(self, name)) for name in names}
 
     @classmethod
@@ -62,11 +65,12 @@ class Index:
     """
 
     def __init__(self, store: Collections, name: str, settings: IndexSettings | None = None):
+        name = store.pinned(name)  # a rebuild does not change what an open index reads
         properties = store.properties(name)
         self.store, self.name = store, name
         self.settings = settings or IndexSettings.of(properties)
         if properties.get("encoder") == "1" and self.settings.load_encoder is None:
-            raise ValueError(f"collection {name} was built with an encoder; pass its settings to open it")
+            raise ValueError(f"collection {name.split('@')[0]} was built with an encoder; pass its settings to open it")
         self.dim = int(properties["dim"])
 
     @property
@@ -77,6 +81,22 @@ class Index:
     def weights(self) -> np.ndarray:
         return embedding.collect_weights(self.store.companion(self.name, "weights"))
 
+    @property
+    def cells(self) -> cells.Cells:
+        return cells.Cells.of(self.store.companion(self.name, "cells"))
+
+    def fit_cells(self, chunks: DataFrame) -> None:
+        """Learn the search cells from vectors of the given chunks; their rows are counted as they are stored."""
+        vectors = self.embed(chunks, "chunk_text")
+        centres = cells.fitted_centres(vectors, schemas.CHUNK_KEYS, self.dim, self.settings.learned_cells)
+        empty = cells.cell_table(vectors.select(F.lit(None).cast("int").alias("cell")).limit(0), centres)
+        self.store.append_companion(self.name, "cells", empty, overwrite=True)
+
+    def count_cells(self, rows: DataFrame) -> None:
+        sizes = rows.filter("cell IS NOT NULL").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        sizes = sizes.withColumn("centre", F.lit(None).cast("array<double>"))
+        self.store.append_companion(self.name, "cells", sizes)
+
     def embed(self, df: DataFrame, text: str) -> DataFrame:
         """Vectors for rows that have ``tokens`` and a text column."""
         if self.settings.load_encoder is not None:
@@ -89,6 +109,8 @@ class Index:
 
     def with_vectors(self, chunks: DataFrame) -> DataFrame:
         rows = self.embed(chunks, "chunk_text")
+        if self.settings.learned_cells:
+            return cells.with_learned_cell(rows, self.cells.centres)
         if self.settings.cell_bits:
             rows = similarity.with_cell(rows, self.settings.cell_bits, self.dim)
         return rows
@@ -114,6 +136,8 @@ class Index:
         rows = self.store.valid_rows(self.name, every, strict)
         self.store.append(self.name, rows)
         self.store.reject(self.name, every)
+        if self.settings.learned_cells:
+            self.count_cells(rows)
         self.write_statistics(rows)
 
     def reweigh(self) -> None:
@@ -158,23 +182,41 @@ def build_index(
 ) -> Index:
     """Chunk, embed and store documents as a new collection, replacing one of that name.
 
-    The documents are split and tokenised once, into a table in the shared
+    The new one is built beside the old one, which is read until the new one is complete; a build
+    that fails leaves it as it was. The documents are split and tokenised once, into a table in the shared
     folder; statistics, weights and vectors are computed from that table.
     """
-    store.recreate(name, settings.dim, settings.buckets or None, bool(settings.cell_bits))
-    store.remember(name, **settings.kept(), encoder=int(settings.load_encoder is not None))
-    index = Index(store, name, settings)
-    chunks = stored(settings.chunk(docs), "chunks")
+    celled = bool(settings.cell_bits or settings.learned_cells)
+    staged = store.begin(name, settings.dim, settings.buckets or None, celled)
+    try:
+        store.remember(staged, **settings.kept(), encoder=int(settings.load_encoder is not None))
+        index = Index(store, staged, settings)
+        with scratch():
+            fill(index, stored(settings.chunk(docs), "chunks"), strict)
+    except BaseException:
+        store.abandon(staged)
+        raise
+    store.switch(name, staged)
+    return index
+
+
+def fill(index: Index, chunks: DataFrame, strict: bool) -> None:
+    """The tables of an empty version, from tokenised chunks."""
+    store, name, settings = index.store, index.name, index.settings
     index.write_statistics(chunks, overwrite=True)
     if settings.load_encoder is None:
         index.count_weights()
+    if settings.learned_cells:
+        index.fit_cells(chunks)
+    if settings.load_encoder is None:
         store.append(name, store.valid_rows(name, index.with_vectors(chunks), strict))
     else:  # an encoder's vectors are not trusted, and not computed twice
         every = stored(index.with_vectors(chunks), "encoded")
         store.append(name, store.valid_rows(name, every, strict))
         store.reject(name, every)
         index.repair_statistics()
-    return index
+    if settings.learned_cells:
+        index.count_cells(index.chunks)
 
 
 def build_status(index: Index) -> DataFrame:

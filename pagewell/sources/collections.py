@@ -5,11 +5,14 @@ A collection ``c`` is the table ``c`` (one row per chunk, properties ``dim`` and
 is built, so that chunks and questions share one vector space), ``c__terms`` and
 ``c__totals`` (BM25 statistics as increments that are summed when read, so an
 append writes only what it adds). ``c__postings`` lists the chunks of each token, for BM25 search, by
-slots of tokens. ``c__rejected`` names the chunks whose vectors did not fit.
+slots of tokens; ``c__cells`` has learned search cells and their sizes. ``c__rejected`` names the chunks whose vectors did not fit.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +28,21 @@ COMPANIONS = {
     "totals": "n_chunks bigint, n_terms bigint",
     "rejected": "doc_id bigint, chunk_no int, reason string",
     "postings": postings.COLUMNS,
+    "cells": "cell int, centre array<double>, n bigint",
 }
 # Companions that are stored in parts.
 PARTS = {"postings": "slot"}
+POINTER = "__current"
 
 
 class Collections:
-    """All collections of one database."""
+    """All collections of one database.
+
+    The tables of a collection ``c`` carry a version: ``c__v1a2b``, ``c__v1a2b__terms``. Its pointer
+    ``c__current`` names the version that is read: a property, which one catalog call switches, and a
+    row, by which `attach` finds it in the folder. So a version is built beside the one that is read,
+    and is seen whole or not at all. ``c@v1a2b`` as a name is that version whatever the pointer says.
+    """
 
     def __init__(self, spark: SparkSession, database: str, location: str | None = None):
         self.spark, self.database = spark, database
@@ -39,55 +50,108 @@ class Collections:
             place = location or work_dir(spark, "collections")
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{place}'")
 
+    def pointer(self, name: str) -> str:
+        return f"{self.database}.`{name}{POINTER}`"
+
+    def version(self, name: str) -> str:
+        """The version that is read."""
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.pointer(name)}").collect()
+        return {r["key"]: r["value"] for r in rows}["version"]
+
+    def pinned(self, name: str) -> str:
+        """A name of the version that is read now, which later builds do not change."""
+        return name if "@" in name else f"{name}@{self.version(name)}"
+
     def table(self, name: str, companion: str | None = None) -> str:
-        return f"{self.database}.`{name}__{companion}`" if companion else f"{self.database}.`{name}`"
+        base = self.pinned(name).replace("@", "__")
+        return f"{self.database}.`{base}__{companion}`" if companion else f"{self.database}.`{base}`"
 
     def names(self) -> DataFrame:
         """One row per collection."""
         tables = self.spark.sql(f"SHOW TABLES IN {self.database}").filter(~F.col("isTemporary"))
-        names = tables.select(F.col("tableName").alias("name"))
-        companions = names.select(
-            F.explode(F.array(*[F.concat("name", F.lit(f"__{c}")) for c in COMPANIONS])).alias("name")
-        )
-        return names.join(companions, "name", "left_anti")
+        pointers = tables.filter(F.col("tableName").endswith(POINTER))
+        return pointers.select(F.expr(f"left(tableName, length(tableName) - {len(POINTER)})").alias("name"))
 
     def exists(self, name: str) -> bool:
-        return self.spark.catalog.tableExists(self.table(name))
+        return self.spark.catalog.tableExists(self.pointer(name))
 
     def create_if_missing(
+        self, name: str, dim: int, buckets: int | None = None, celled: bool = False
+    ) -> None:
+        """Create an empty collection; an existing one keeps its content.
+
+        ``buckets`` stores chunks by key, so that appends and text lookups need
+        not shuffle the collection. ``celled`` stores chunks by search cell, so
+        that a search reads only the cells it visits.
+        """
+        if not self.exists(name):
+            return self.switch(name, self.begin(name, dim, buckets, celled))
+        present = self.properties(name)["dim"], self.buckets(name), "cell" in self.open(name).columns
+        if present != (str(dim), buckets or 0, celled):
+            raise ValueError(f"collection {name} exists with (dim, buckets, celled) = {present}")
+
+    def begin(
         self,
         name: str,
         dim: int,
         buckets: int | None = None,
         celled: bool = False,
         folder: str | None = None,
-    ) -> None:
-        """Create an empty collection; an existing one keeps its content.
+        version: str | None = None,
+    ) -> str:
+        """Create the empty tables of a new version and give its name; nobody reads it before `switch`.
 
-        ``buckets`` stores chunks by key, so that appends and text lookups need
-        not shuffle the collection. ``celled`` stores chunks by search cell, so
-        that a search reads only the cells it visits. ``folder`` is for `attach`.
+        ``folder`` and ``version`` are for `attach`.
         """
-        if self.exists(name):
-            present = self.properties(name)["dim"], self.buckets(name), "cell" in self.open(name).columns
-            if present != (str(dim), buckets or 0, celled):
-                raise ValueError(f"collection {name} exists with (dim, buckets, celled) = {present}")
+        staged = f"{name}@{version or 'v' + uuid.uuid4().hex[:12]}"
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.COLLECTION)
         layout = " PARTITIONED BY (cell)" if celled else ""
         if buckets:
             layout += f" CLUSTERED BY ({', '.join(schemas.CHUNK_KEYS)}) INTO {buckets} BUCKETS"
+        base = staged.replace("@", "__")
         place = lambda table: f" LOCATION '{folder}/{table}'" if folder else ""
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table(name)} "
-            f"({columns}{', cell int' if celled else ''}) USING parquet{layout}{place(name)} "
+            f"CREATE TABLE {self.table(staged)} "
+            f"({columns}{', cell int' if celled else ''}) USING parquet{layout}{place(base)} "
             f"TBLPROPERTIES ('dim' = '{dim}', 'distance' = '{DISTANCE}')"
         )
         for companion, ddl in COMPANIONS.items():
+            parts = f" PARTITIONED BY ({PARTS[companion]})" if companion in PARTS else ""
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.table(name, companion)} ({ddl}) "
-                f"USING parquet{f' PARTITIONED BY ({PARTS[companion]})' if companion in PARTS else ''}"
-                f"{place(f'{name}__{companion}')}"
+                f"CREATE TABLE {self.table(staged, companion)} ({ddl}) "
+                f"USING parquet{parts}{place(f'{base}__{companion}')}"
             )
+        return staged
+
+    def switch(self, name: str, staged: str) -> None:
+        """Let the collection be read from a version that is built; older ones than the last are dropped.
+
+        The last one stays for those who still read it.
+        """
+        version, last = staged.split("@")[1], self.version(name) if self.exists(name) else ""
+        self._point(name, version)
+        number = F.coalesce(F.max("number"), F.lit(0)) + 1
+        row = self.spark.table(self.pointer(name)).agg(number.cast("bigint").alias("number"))
+        row.withColumn("version", F.lit(version)).select("version", "number").write.insertInto(self.pointer(name))
+        for old in self._versions(name) - {version, last}:
+            self.abandon(f"{name}@{old}")
+
+    def _point(self, name: str, version: str, place: str = "") -> None:
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.pointer(name)} (version string, number bigint) USING parquet{place} "
+            f"TBLPROPERTIES ('version' = '{version}')"
+        )
+        self.spark.sql(f"ALTER TABLE {self.pointer(name)} SET TBLPROPERTIES ('version' = '{version}')")
+
+    def _versions(self, name: str) -> set[str]:
+        tables = self.spark.sql(f"SHOW TABLES IN {self.database}").select("tableName")
+        version = F.regexp_extract("tableName", f"^{re.escape(name.lower())}__(v[0-9a-f]{{12}})$", 1)
+        return {r[0] for r in tables.select(version).distinct().collect()} - {""}
+
+    def abandon(self, staged: str) -> None:
+        """Drop one version."""
+        for companion in [None, *COMPANIONS]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table(staged, companion)}")
 
     def attach(
         self, name: str, folder: str, dim: int, buckets: int | None = None, celled: bool = False
@@ -97,23 +161,27 @@ class Collections:
         For sessions whose catalog does not outlive them. The files belong to the
         folder: dropping an attached collection only forgets it.
         """
-        self.create_if_missing(name, dim, buckets, celled, folder)
+        place = f"{folder}/{name}{POINTER}"
+        last = self.spark.read.schema("version string, number bigint").parquet(place)
+        version = last.agg(F.max_by("version", "number")).first()[0]
+        staged = self.begin(name, dim, buckets, celled, folder, version)
         if celled:
-            self.spark.catalog.recoverPartitions(self.table(name))
+            self.spark.catalog.recoverPartitions(self.table(staged))
         for companion in PARTS:
-            self.spark.catalog.recoverPartitions(self.table(name, companion))
+            self.spark.catalog.recoverPartitions(self.table(staged, companion))
+        self._point(name, version, f" LOCATION '{place}'")
 
     def drop(self, name: str) -> None:
         """Remove one named collection with its content."""
-        for companion in [None, *COMPANIONS]:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.table(name, companion)}")
+        for version in self._versions(name):
+            self.abandon(f"{name}@{version}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.pointer(name)}")
 
     def recreate(
         self, name: str, dim: int, buckets: int | None = None, celled: bool = False
     ) -> None:
-        """Create an empty collection; an existing one loses its content."""
-        self.drop(name)
-        self.create_if_missing(name, dim, buckets, celled)
+        """Create an empty collection; an existing one loses its content, but not before the new one is there."""
+        self.switch(name, self.begin(name, dim, buckets, celled))
 
     def properties(self, name: str) -> dict[str, str]:
         rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.table(name)}").collect()
@@ -186,7 +254,7 @@ class Collections:
     def info(self, name: str) -> DataFrame:
         """(name, points, dim, distance), the dimension as found in the rows."""
         found = self.open(name).select("embedding")
-        return collection_info(found, name, self.properties(name)["distance"])
+        return collection_info(found, name.split("@")[0], self.properties(name)["distance"])
 
 
 def collection_info(vectors: DataFrame, name: str, distance: str = DISTANCE) -> DataFrame:
