@@ -74,9 +74,9 @@ def postings(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("slot", slot_of(F.col("token")))
 
 
-def in_slots(rows: DataFrame) -> DataFrame:
+def in_slots(rows: DataFrame, by: str = "slot") -> DataFrame:
     """Postings as they are stored: few files per slot, each sorted by token, so that a scan skips the rest."""
-    return rows.hint("rebalance", "slot").sortWithinPartitions("slot", "token")
+    return rows.hint("rebalance", by).sortWithinPartitions(by, "token")
 
 
 def asked_tokens(terms_of_questions: DataFrame) -> DataFrame:

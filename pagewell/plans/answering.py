@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewell.operators import answers as an
@@ -30,7 +30,8 @@ class IndexSettings:
     Chunks are small enough that several fit into one prompt. ``load_encoder``
     fills the encoder slot; without it the hashed vectors are used.
     ``cell_bits`` stores the collection by search cells cut by fixed planes, ``learned_cells``
-    by that many cells fitted to the vectors.
+    by that many cells fitted to the vectors. ``parts`` stores it by that many parts of documents,
+    so that `Index.upsert` replaces the parts of changed documents alone.
     """
 
     dim: int = embedding.DIM
@@ -41,10 +42,11 @@ class IndexSettings:
     cell_bits: int = 0
     buckets: int = 0
     learned_cells: int = 0
+    parts: int = 0
 
     def kept(self) -> dict[str, int]:
         """What a collection remembers of its settings: the whole numbers."""
-        names = ("chunk_size", "overlap", "sentences", "cell_bits", "buckets", "learned_cells")
+        names = ("chunk_size", "overlap", "sentences", "cell_bits", "buckets", "learned_cells", "parts")
         return {name: int(getattr(self, name)) for name in names}
 
     @classmethod
@@ -109,6 +111,8 @@ class Index:
 
     def with_vectors(self, chunks: DataFrame) -> DataFrame:
         rows = self.embed(chunks, "chunk_text")
+        if self.settings.parts:
+            return rows.withColumn("part", self.part_of(F.col("doc_id")))
         if self.settings.learned_cells:
             return cells.with_learned_cell(rows, self.cells.centres)
         if self.settings.cell_bits:
@@ -119,6 +123,9 @@ class Index:
     def postings(self) -> DataFrame:
         return self.store.companion(self.name, "postings")
 
+    def part_of(self, doc_id: Column) -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.settings.parts)).cast("int")
+
     def terms_of(self, questions: DataFrame) -> DataFrame:
         return lexical.question_terms(
             questions, self.store.companion(self.name, "terms"), self.store.totals(self.name)
@@ -140,6 +147,69 @@ class Index:
             self.count_cells(rows)
         self.write_statistics(rows)
 
+    def upsert(self, changes: DataFrame, strict: bool = False) -> None:
+        """Apply changes (doc_id, text, sequence, withdrawn): new, changed and withdrawn documents.
+
+        Of several changes of a document the one with the highest sequence counts, and only if it is
+        higher than the last one applied, so a replay or a late older change does nothing. Chunks,
+        postings and the last changes are rewritten for the parts that hold such documents; the
+        statistics get the difference, and are counted again if an earlier upsert was cut off.
+        A change without an id or a sequence is kept among the rejected rows.
+        """
+        if not self.settings.parts:
+            raise ValueError("only a collection stored by parts takes changes; set IndexSettings.parts")
+        store, name, key = self.store, self.name, ["doc_id"]
+        with scratch():
+            arrived = stored(changes.select("doc_id", "text", "sequence", "withdrawn"), "changes", store.spark)
+            usable = F.col("doc_id").isNotNull() & F.col("sequence").isNotNull()
+            bad = arrived.filter(~usable).select(
+                "doc_id", F.lit(None).cast("int").alias("chunk_no"), F.lit("a change without id or sequence").alias("reason")
+            )
+            store.append_companion(name, "rejected", bad)
+            gone = F.coalesce("withdrawn", F.lit(False)).alias("withdrawn")
+            last = F.max(F.struct("sequence", gone, "text")).alias("last")
+            latest = arrived.filter(usable).groupBy("doc_id").agg(last).select("doc_id", "last.*")
+            latest = latest.withColumn("part", self.part_of(F.col("doc_id")))
+            done = store.companion(name, "applied").select("doc_id", "part", F.col("sequence").alias("before"))
+            news = latest.join(done, ["doc_id", "part"], "left").filter("before IS NULL OR sequence > before")
+            news = stored(news.drop("before"), "news")
+            parts = [r[0] for r in news.select("part").distinct().collect()]  # at most settings.parts
+            if not parts:
+                return
+            self.repair_statistics()
+            store.remember(name, unfinished=1)
+            here = F.col("part").isin(parts)
+            every = stored(self.rows_for(news.filter("NOT withdrawn").select("doc_id", "text")), "new-rows")
+            new = store.valid_rows(name, every, strict)
+            old = self.chunks.filter(here)
+            removed = stored(old.join(news.select(*key), key, "left_semi"), "removed")
+            kept = old.join(news.select(*key), key, "left_anti")
+            rows = stored(kept.select(*old.columns).unionByName(new.select(*old.columns)), "rewritten")
+            applied = store.companion(name, "applied").filter(here).join(news.select(*key), key, "left_anti")
+            applied = stored(applied.unionByName(news.select(*applied.columns)), "applied")
+            store.overwrite_parts(name, None, rows, parts)
+            store.overwrite_parts(name, "postings", self.listed(rows).sortWithinPartitions("token"), parts)
+            store.reject(name, every)
+            for more, sign in ((new, 1), (removed, -1)):
+                self.count_statistics(self.listed(more), more, sign)
+            store.overwrite_parts(name, "applied", applied, parts)
+            store.remember(name, unfinished=0)
+
+    def listed(self, rows: DataFrame) -> DataFrame:
+        """The postings of rows of the collection, as they are stored."""
+        listed = postings.postings(rows)
+        return listed.withColumn("part", self.part_of(F.col("doc_id"))) if self.settings.parts else listed
+
+    def count_statistics(self, listed: DataFrame, rows: DataFrame, sign: int = 1, overwrite: bool = False) -> None:
+        """Counts and totals as increments; with sign -1 those of removed rows. Totals come last."""
+        terms, totals = lexical.term_frequencies(listed), lexical.chunk_totals(rows)
+        if sign < 0:
+            none = F.lit(None).cast("int")
+            terms = terms.select("token", (-F.col("n_chunks")).alias("n_chunks"), none.alias("max_tf"), none.alias("min_len"))
+            totals = totals.select((-F.col("n_chunks")).alias("n_chunks"), (-F.col("n_terms")).alias("n_terms"))
+        self.store.append_companion(self.name, "terms", terms, overwrite)
+        self.store.append_companion(self.name, "totals", totals, overwrite)
+
     def reweigh(self) -> None:
         """Weights from the present statistics, and all vectors anew from the stored tokens.
 
@@ -156,20 +226,20 @@ class Index:
         self.__dict__.pop("weights", None)
 
     def write_statistics(self, rows: DataFrame, overwrite: bool = False) -> None:
-        """Postings, counts and totals of ``rows``; of all chunks with ``overwrite``. Totals come last."""
-        listed = postings.postings(rows)
-        self.store.append_companion(self.name, "postings", postings.in_slots(listed), overwrite)
-        terms = lexical.term_frequencies(self.postings if overwrite else listed)
-        self.store.append_companion(self.name, "terms", terms, overwrite)
-        self.store.append_companion(self.name, "totals", lexical.chunk_totals(rows), overwrite)
+        """Postings, counts and totals of ``rows``; of all chunks with ``overwrite``."""
+        listed = self.listed(rows)
+        ordered = postings.in_slots(listed, "part" if self.settings.parts else "slot")
+        self.store.append_companion(self.name, "postings", ordered, overwrite)
+        self.count_statistics(self.postings if overwrite else listed, rows, 1, overwrite)
 
     def repair_statistics(self) -> None:
-        """Count again if an earlier append was cut off between chunks and statistics.
+        """Count again if an earlier append or upsert was cut off between chunks and statistics.
 
         Seen by comparing the row count, which Parquet keeps, with the totals,
-        which are written last.
+        which are written last, and by the mark that an upsert leaves until its end.
         """
-        if self.store.totals(self.name).first()["n_chunks"] != self.chunks.count():
+        whole = self.store.properties(self.name).get("unfinished", "0") == "0"
+        if not whole or self.store.totals(self.name).first()["n_chunks"] != self.chunks.count():
             self.write_statistics(self.chunks, overwrite=True)
 
 
@@ -187,7 +257,7 @@ def build_index(
     folder; statistics, weights and vectors are computed from that table.
     """
     celled = bool(settings.cell_bits or settings.learned_cells)
-    staged = store.begin(name, settings.dim, settings.buckets or None, celled)
+    staged = store.begin(name, settings.dim, settings.buckets or None, celled, bool(settings.parts))
     try:
         store.remember(staged, **settings.kept(), encoder=int(settings.load_encoder is not None))
         index = Index(store, staged, settings)

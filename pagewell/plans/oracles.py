@@ -578,6 +578,14 @@ FROM every_turn LEFT JOIN answered USING (query_id)""",
         body="SELECT doc_id, chunk_no, CAST(n_terms AS INTEGER) AS n_terms, round(norm, 3) AS norm "
         "FROM lens JOIN norms USING (doc_id, chunk_no)",
     ),
+    "ST1_stream_changes": with_(
+        CHUNKS.replace(
+            "FROM documents",
+            "FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'changed ' || text ELSE text END AS text"
+            " FROM documents WHERE doc_id % 5 <> 0)",
+        ),
+        body="SELECT doc_id, chunk_no, n_tokens, md5(chunk_text) AS text_md5, (SELECT count(*) FROM chunks) AS points FROM chunks",
+    ),
     "ST2_stream_questions": with_(*answer_ctes(USER_TURNS), body="SELECT query_id, answer FROM answered"),
     "M1_stage_metrics": with_(
         chunk_ctes(1024, 200),

@@ -31,7 +31,7 @@ from pagewell.plans.answering import (
 from pagewell.session import ship_package, spread, stored, work_dir
 from pagewell.sources import files, tables
 from pagewell.sources.collections import Collections, as_json, collection_info
-from pagewell.streaming.ingest import document_stream, ingest_to_collection, ingest_to_folder
+from pagewell.streaming.ingest import change_stream, document_stream, ingest_changes, ingest_to_collection, ingest_to_folder
 from pagewell.streaming.questions import answer_stream, turn_stream
 
 VECTOR_DIM = 64
@@ -607,6 +607,26 @@ def stream_append(spark, folder):
     return rows
 
 
+@query("ST1_stream_changes")
+def stream_changes(spark, folder):
+    """An index of the English documents; then all documents arrive, some change, some are withdrawn, twice over."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    index = build_index(
+        spread(docs.filter(F.col("lang") == "en"), "doc_id"), fresh_store(spark, "change"), "documents", IndexSettings(parts=8)
+    )
+    rows = lambda at, text, gone: docs.select("doc_id", text.alias("text"), F.lit(at).cast("long").alias("sequence"), F.lit(gone).alias("withdrawn"))
+    changed = rows(2, F.concat(F.lit("changed "), "text"), False).filter("doc_id % 3 = 0")
+    withdrawn = rows(3, F.lit(None).cast("string"), True).filter("doc_id % 5 = 0")
+    feed = work_dir(spark, "feed")
+    for part in (rows(1, F.col("text"), False), changed, withdrawn):
+        part.coalesce(1).write.mode("append").parquet(feed)
+    for files in (1, None):  # the second run, from a checkpoint of its own, replays everything
+        arriving = change_stream(spark, feed, files_per_batch=files)
+        ingest_changes(arriving, index, work_dir(spark, "change-log")).awaitTermination()
+    points = index.store.totals(index.name).select(F.col("n_chunks").alias("points"))
+    return index.chunks.select("doc_id", "chunk_no", "n_tokens", F.md5("chunk_text").alias("text_md5")).crossJoin(points)
+
+
 @query("ST2_stream_questions")
 def stream_questions(spark, folder):
     out, log = work_dir(spark, "answered"), work_dir(spark, "answer-log")

@@ -34,3 +34,13 @@ COLLECTION = T.StructType(
 )
 
 CHUNK_KEYS = ["doc_id", "chunk_no"]
+
+# A document as it is from ``sequence`` on; a withdrawn one has no text.
+CHANGES = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("sequence", T.LongType()),
+        T.StructField("withdrawn", T.BooleanType()),
+    ]
+)

@@ -5,7 +5,7 @@ A collection ``c`` is the table ``c`` (one row per chunk, properties ``dim`` and
 is built, so that chunks and questions share one vector space), ``c__terms`` and
 ``c__totals`` (BM25 statistics as increments that are summed when read, so an
 append writes only what it adds). ``c__postings`` lists the chunks of each token, for BM25 search, by
-slots of tokens; ``c__cells`` has learned search cells and their sizes. ``c__rejected`` names the chunks whose vectors did not fit.
+slots of tokens; ``c__cells`` has learned search cells and their sizes. ``c__applied`` has the last change of each document, ``c__rejected`` names the chunks whose vectors did not fit.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pagewell import schemas
 from pagewell.operators import postings
 from pagewell.operators.embedding import split_valid
-from pagewell.session import work_dir
+from pagewell.session import settings, work_dir
 
 DISTANCE = "cosine"
 COMPANIONS = {
@@ -29,9 +29,10 @@ COMPANIONS = {
     "rejected": "doc_id bigint, chunk_no int, reason string",
     "postings": postings.COLUMNS,
     "cells": "cell int, centre array<double>, n bigint",
+    "applied": "doc_id bigint, sequence bigint, withdrawn boolean, part int",
 }
 # Companions that are stored in parts.
-PARTS = {"postings": "slot"}
+PARTS = {"postings": "slot", "applied": "part"}
 POINTER = "__current"
 
 
@@ -96,27 +97,34 @@ class Collections:
         dim: int,
         buckets: int | None = None,
         celled: bool = False,
+        parted: bool = False,
         folder: str | None = None,
         version: str | None = None,
     ) -> str:
         """Create the empty tables of a new version and give its name; nobody reads it before `switch`.
 
+        ``parted`` stores chunks and postings by parts of documents, which `overwrite_parts` replaces.
         ``folder`` and ``version`` are for `attach`.
         """
+        if parted and (buckets or celled):
+            raise ValueError("a collection is stored by parts of documents, by cells or by buckets")
         staged = f"{name}@{version or 'v' + uuid.uuid4().hex[:12]}"
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.COLLECTION)
-        layout = " PARTITIONED BY (cell)" if celled else ""
+        by = "cell" if celled else "part" if parted else None
+        layout = f" PARTITIONED BY ({by})" if by else ""
         if buckets:
             layout += f" CLUSTERED BY ({', '.join(schemas.CHUNK_KEYS)}) INTO {buckets} BUCKETS"
         base = staged.replace("@", "__")
         place = lambda table: f" LOCATION '{folder}/{table}'" if folder else ""
         self.spark.sql(
             f"CREATE TABLE {self.table(staged)} "
-            f"({columns}{', cell int' if celled else ''}) USING parquet{layout}{place(base)} "
+            f"({columns}{f', {by} int' if by else ''}) USING parquet{layout}{place(base)} "
             f"TBLPROPERTIES ('dim' = '{dim}', 'distance' = '{DISTANCE}')"
         )
         for companion, ddl in COMPANIONS.items():
             parts = f" PARTITIONED BY ({PARTS[companion]})" if companion in PARTS else ""
+            if companion == "postings" and parted:
+                ddl, parts = f"{ddl}, part int", " PARTITIONED BY (part)"
             self.spark.sql(
                 f"CREATE TABLE {self.table(staged, companion)} ({ddl}) "
                 f"USING parquet{parts}{place(f'{base}__{companion}')}"
@@ -154,7 +162,13 @@ class Collections:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.table(staged, companion)}")
 
     def attach(
-        self, name: str, folder: str, dim: int, buckets: int | None = None, celled: bool = False
+        self,
+        name: str,
+        folder: str,
+        dim: int,
+        buckets: int | None = None,
+        celled: bool = False,
+        parted: bool = False,
     ) -> None:
         """Register a collection an earlier session left in ``folder``, as it was created.
 
@@ -164,8 +178,8 @@ class Collections:
         place = f"{folder}/{name}{POINTER}"
         last = self.spark.read.schema("version string, number bigint").parquet(place)
         version = last.agg(F.max_by("version", "number")).first()[0]
-        staged = self.begin(name, dim, buckets, celled, folder, version)
-        if celled:
+        staged = self.begin(name, dim, buckets, celled, parted, folder, version)
+        if celled or parted:
             self.spark.catalog.recoverPartitions(self.table(staged))
         for companion in PARTS:
             self.spark.catalog.recoverPartitions(self.table(staged, companion))
@@ -251,6 +265,16 @@ class Collections:
         columns = self.companion(name, companion).columns
         rows.select(*columns).write.insertInto(self.table(name, companion), overwrite=overwrite)
 
+    def overwrite_parts(self, name: str, companion: str | None, rows: DataFrame, parts: list[int]) -> None:
+        """Put ``rows`` in place of all rows of these parts; a part without rows becomes empty."""
+        table, dynamic = self.table(name, companion), {"spark.sql.sources.partitionOverwriteMode": "dynamic"}
+        columns = self.spark.table(table).columns
+        with settings(self.spark, dynamic):
+            rows.select(*columns).hint("rebalance", "part").write.insertInto(table, overwrite=True)
+        left = {r[0] for r in rows.select("part").distinct().collect()}
+        for part in set(parts) - left:
+            self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (part = {part})")
+
     def info(self, name: str) -> DataFrame:
         """(name, points, dim, distance), the dimension as found in the rows."""
         found = self.open(name).select("embedding")
