@@ -400,7 +400,16 @@ ORACLES = {
     "S1_recursive_folder_scan": LINES.format(where=""),
     "S2_flat_folder_scan": LINES.format(where=" WHERE lang = 'en'"),
     "S3_suffix_routing": LINES.format(where="") + """
-UNION ALL SELECT '' AS lang, 17 AS n_chars, md5('a compressed page') AS text_md5 FROM pages""",
+UNION ALL SELECT '' AS lang, length(text) AS n_chars, md5(text) AS text_md5
+FROM (SELECT """ + page_text_sql("html") + """ AS text FROM pages)""",
+    "S1_folder_stream": with_(
+        CHUNKS.replace(
+            "FROM documents",
+            f"FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - page_id, {page_text_sql('html')} FROM pages)",
+        ),
+        body="SELECT chunk_no, n_tokens, md5(chunk_text) AS text_md5, "
+        "(SELECT count(*) FROM documents) + (SELECT count(*) FROM pages) AS n_files FROM chunks",
+    ),
     "S4_filename_as_id": """
 SELECT true AS ids_unique, true AS names_match, count(*) AS n_files FROM documents""",
     "S5_missing_folder": """

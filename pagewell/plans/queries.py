@@ -31,7 +31,14 @@ from pagewell.plans.answering import (
 from pagewell.session import ship_package, spread, stored, work_dir
 from pagewell.sources import files, tables
 from pagewell.sources.collections import Collections, as_json, collection_info
-from pagewell.streaming.ingest import change_stream, document_stream, ingest_changes, ingest_to_collection, ingest_to_folder
+from pagewell.streaming.ingest import (
+    change_stream,
+    document_stream,
+    ingest_changes,
+    ingest_files,
+    ingest_to_collection,
+    ingest_to_folder,
+)
 from pagewell.streaming.questions import answer_stream, turn_stream
 
 VECTOR_DIM = 64
@@ -121,11 +128,24 @@ def suffix_routing(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("html")
     pages.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(f"{root}/pages")
     scanned = files.scan_folder(spark, root)
-    routed = files.extract(
-        scanned,
-        {".txt.gz": lambda f: f.withColumn("text", F.lit("a compressed page"))},
+    return by_file(files.extract(scanned, {".txt.gz": files.decode_packed_page}))
+
+
+@query("S1_folder_stream")
+def folder_stream(spark, folder):
+    """The exported folder as a stream into a collection, in two runs; files of the second run arrive between them."""
+    index = build_index(
+        spark.createDataFrame([], "doc_id long, text string"), fresh_store(spark, "folder"), "files", IndexSettings(parts=8)
     )
-    return by_file(routed)
+    root, log = exported_folder(spark, folder), work_dir(spark, "folder-log")
+    for late in (False, True):
+        if late:
+            pages = spark.read.parquet(f"{folder}/pages.parquet").select("html")
+            pages.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(f"{root}/pages")
+        arriving = files.folder_stream(spark, root)
+        ingest_files(arriving, index, log, {".txt.gz": files.decode_packed_page}).awaitTermination()
+    read = index.store.companion(index.name, "applied").agg(F.count(F.lit(1)).alias("n_files"))
+    return index.chunks.select("chunk_no", "n_tokens", F.md5("chunk_text").alias("text_md5")).crossJoin(read)
 
 
 @query("S4_filename_as_id")

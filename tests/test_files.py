@@ -1,3 +1,4 @@
+import gzip
 import os
 
 import pytest
@@ -46,3 +47,46 @@ def test_page_extractor(spark, tmp_path):
     page = lambda f: files.decode_text(f).withColumn("text", tx.page_text(F.col("text")))
     got = files.extract(files.scan_folder(spark, str(tmp_path)), {".html": page})
     assert [r["text"] for r in got.collect()] == ["Hi & bye"]
+
+
+def test_packed_pages(spark, tmp_path):
+    (tmp_path / "p.txt.gz").write_bytes(gzip.compress("<p>H\u00e9 &lt;</p><script>x</script>".encode()))
+    (tmp_path / "broken.txt.gz").write_bytes(b"no gzip")
+    got = files.extract(files.scan_folder(spark, str(tmp_path)), {".txt.gz": files.decode_packed_page})
+    assert {(r["path"].split("/")[-1], r["text"]) for r in got.collect()} == {("p.txt.gz", "H\u00e9 <"), ("broken.txt.gz", None)}
+
+
+def test_files_added_between_two_runs_are_read_once(spark, store, tmp_path):
+    from pagewell.plans.answering import IndexSettings, build_index
+    from pagewell.session import work_dir
+    from pagewell.streaming.ingest import ingest_files
+
+    index = build_index(
+        spark.createDataFrame([], "doc_id long, text string"), store, "c", IndexSettings(parts=2)
+    )
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(f):
+        @F.udf("string")
+        def text(content):
+            reads.add(1)
+            return content.decode()
+
+        return f.withColumn("text", text("content"))
+
+    def run(log):
+        ingest_files(files.folder_stream(spark, str(tmp_path)), index, log, {".txt": counted}, rest=None).awaitTermination()
+        return sorted(r["chunk_text"] for r in index.chunks.collect())
+
+    log = work_dir(spark, "log")
+    (tmp_path / "a.txt").write_text("first file")
+    (tmp_path / "c.bin").write_bytes(b"left out")
+    assert run(log) == ["first file"]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.txt").write_text("second file")
+    assert run(log) == ["first file", "second file"]
+    assert run(log) == ["first file", "second file"] and reads.value == 2
+    os.utime(tmp_path / "a.txt", (2_000_000_000, 2_000_000_000))
+    (tmp_path / "a.txt").write_text("first file, changed")
+    os.utime(tmp_path / "a.txt", (2_000_000_000, 2_000_000_000))
+    assert run(work_dir(spark, "log")) == ["first file, changed", "second file"]  # a new checkpoint sees it
