@@ -138,14 +138,16 @@ class Index:
         first, so that chunks and statistics are taken from the same rows.
         """
         self.repair_statistics()
-        new = self.store.new_rows(self.name, self.settings.chunk(docs))
-        every = stored(self.with_vectors(new), "new-rows", self.store.spark)
-        rows = self.store.valid_rows(self.name, every, strict)
-        self.store.append(self.name, rows)
-        self.store.reject(self.name, every)
-        if self.settings.learned_cells:
-            self.count_cells(rows)
-        self.write_statistics(rows)
+        with scratch():
+            chunks = stored(self.settings.chunk(docs), "chunks", self.store.spark)
+            new = self.store.unseen_rows(self.name, chunks)
+            every = stored(self.with_vectors(new), "new-rows", self.store.spark)
+            rows = self.store.valid_rows(self.name, every, strict)
+            self.store.append(self.name, rows)
+            self.store.reject(self.name, every)
+            if self.settings.learned_cells:
+                self.count_cells(rows)
+            self.write_statistics(rows)
 
     def upsert(self, changes: DataFrame, strict: bool = False) -> None:
         """Apply changes (doc_id, text, sequence, withdrawn): new, changed and withdrawn documents.
@@ -187,6 +189,7 @@ class Index:
             rows = stored(kept.select(*old.columns).unionByName(new.select(*old.columns)), "rewritten")
             applied = store.companion(name, "applied").filter(here).join(news.select(*key), key, "left_anti")
             applied = stored(applied.unionByName(news.select(*applied.columns)), "applied")
+            store.sketch(name, new)
             store.overwrite_parts(name, None, rows, parts)
             store.overwrite_parts(name, "postings", self.listed(rows).sortWithinPartitions("token"), parts)
             store.reject(name, every)
@@ -217,7 +220,7 @@ class Index:
         """
         rows = stored(self.chunks.drop("embedding", "norm", "cell"), "reweighed", self.store.spark)
         self.count_weights()
-        self.store.append(self.name, self.with_vectors(rows), overwrite=True)
+        self.store.append(self.name, self.with_vectors(rows), overwrite=True, sketched=True)
 
     def count_weights(self) -> None:
         totals = self.store.totals(self.name)
@@ -274,15 +277,16 @@ def fill(index: Index, chunks: DataFrame, strict: bool) -> None:
     """The tables of an empty version, from tokenised chunks."""
     store, name, settings = index.store, index.name, index.settings
     index.write_statistics(chunks, overwrite=True)
+    store.sketch(name, chunks)
     if settings.load_encoder is None:
         index.count_weights()
     if settings.learned_cells:
         index.fit_cells(chunks)
     if settings.load_encoder is None:
-        store.append(name, store.valid_rows(name, index.with_vectors(chunks), strict))
+        store.append(name, store.valid_rows(name, index.with_vectors(chunks), strict), sketched=True)
     else:  # an encoder's vectors are not trusted, and not computed twice
         every = stored(index.with_vectors(chunks), "encoded")
-        store.append(name, store.valid_rows(name, every, strict))
+        store.append(name, store.valid_rows(name, every, strict), sketched=True)
         store.reject(name, every)
         index.repair_statistics()
     if settings.learned_cells:

@@ -603,6 +603,12 @@ SELECT 'documents' AS stage, 'rows' AS metric, count(*)::DOUBLE AS value FROM do
 UNION ALL SELECT 'documents', 'bad', count(*) FROM doc_words WHERE len(w) = 0
 UNION ALL SELECT 'chunks', 'rows', count(*) FROM chunks
 UNION ALL SELECT 'chunks', 'bad', count(*) FROM chunks WHERE n_tokens < 1024""",
+    ),
+    "M1_stream_metrics": with_(
+        chunk_ctes(1024, 200),
+        body="""
+SELECT 0::BIGINT AS batch, 'documents' AS stage, 'rows' AS metric, count(*)::DOUBLE AS value FROM documents
+UNION ALL SELECT 0, 'documents', 'bad', count(*) FROM doc_words WHERE len(w) = 0""",
     ),
     "M2_result_quality": quality_sql(),
     "M3_answer_cache": CACHE,

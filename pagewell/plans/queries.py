@@ -669,6 +669,17 @@ def stage_metrics(spark, folder):
     return evaluation.metrics(spark, [("documents", loaded), ("chunks", cut)])
 
 
+@query("M1_stream_metrics")
+def stream_metrics(spark, folder):
+    """Rows and rows without words of each micro-batch; the seconds are left out here."""
+    index, out, log = shared_index(spark, folder), work_dir(spark, "watched"), work_dir(spark, "watched-log")
+    arriving = document_stream(spark, folder, "documents.parquet")
+    watched = evaluation.observed_stream(arriving, "documents", F.size(tx.words(F.col("text"))) == 0)
+    run = ingest_to_folder(watched, index, out, log)
+    run.awaitTermination()
+    return evaluation.batch_metrics(run).filter("stage <> 'batch'")
+
+
 @query("M2_result_quality")
 def result_quality(spark, folder):
     index = shared_index(spark, folder)

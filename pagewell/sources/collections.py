@@ -5,7 +5,8 @@ A collection ``c`` is the table ``c`` (one row per chunk, properties ``dim`` and
 is built, so that chunks and questions share one vector space), ``c__terms`` and
 ``c__totals`` (BM25 statistics as increments that are summed when read, so an
 append writes only what it adds). ``c__postings`` lists the chunks of each token, for BM25 search, by
-slots of tokens; ``c__cells`` has learned search cells and their sizes. ``c__applied`` has the last change of each document, ``c__rejected`` names the chunks whose vectors did not fit.
+slots of tokens; ``c__cells`` has learned search cells and their sizes. ``c__sketches``
+the Bloom filters of the stored keys, ``c__applied`` the last change of each document, ``c__rejected`` names the chunks whose vectors did not fit.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewell import schemas
-from pagewell.operators import postings
+from pagewell.operators import postings, sketches
 from pagewell.operators.embedding import split_valid
-from pagewell.session import settings, work_dir
+from pagewell.session import settings, stored, work_dir
 
 DISTANCE = "cosine"
 COMPANIONS = {
@@ -29,6 +30,7 @@ COMPANIONS = {
     "rejected": "doc_id bigint, chunk_no int, reason string",
     "postings": postings.COLUMNS,
     "cells": "cell int, centre array<double>, n bigint",
+    "sketches": sketches.COLUMNS,
     "applied": "doc_id bigint, sequence bigint, withdrawn boolean, part int",
 }
 # Companions that are stored in parts.
@@ -234,6 +236,29 @@ class Collections:
             rows = rows.repartition(buckets, *keys)
         return rows.dropDuplicates(keys).join(self.open(name).select(*keys), keys, "left_anti")
 
+    def unseen_rows(self, name: str, rows: DataFrame) -> DataFrame:
+        """The same as `new_rows`, by the stored Bloom filters: only keys that may be known are looked up.
+
+        Nothing of the collection is read if there are none, and of one stored by parts only the parts of
+        such keys. ``rows`` are read several times.
+        """
+        keys = schemas.CHUNK_KEYS
+        own = rows.dropDuplicates(keys)
+        maybe = stored(sketches.maybe_known(rows, self.companion(name, "sketches"), keys), "maybe-known", self.spark)
+        if maybe.isEmpty():
+            return own
+        held = self.open(name)
+        if "part" in held.columns:
+            n = int(self.properties(name)["parts"])
+            part = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+            held = held.filter(F.col("part").isin([r[0] for r in maybe.select(part).distinct().collect()]))  # at most n
+        known = stored(held.select(*keys).join(maybe, keys, "left_semi"), "known", self.spark)
+        return own.join(known, keys, "left_anti")
+
+    def sketch(self, name: str, rows: DataFrame) -> None:
+        """Add the keys of rows to the Bloom filters. Done before the rows are stored, so that none is missing."""
+        self.append_companion(name, "sketches", sketches.sketch(rows, schemas.CHUNK_KEYS))
+
     def valid_rows(self, name: str, rows: DataFrame, strict: bool = False) -> DataFrame:
         """Rows that fit the collection's dimension; `split_valid` also shows the others."""
         return split_valid(rows, int(self.properties(name)["dim"]), strict)[0]
@@ -248,8 +273,13 @@ class Collections:
         bad = bad.select("doc_id", "chunk_no", F.coalesce(reason, F.lit("a NULL element")).alias("reason"))
         self.append_companion(name, "rejected", bad)
 
-    def append(self, name: str, rows: DataFrame, overwrite: bool = False) -> None:
-        """Append rows as they are, or put them in place; `new_rows` makes an append repeatable."""
+    def append(self, name: str, rows: DataFrame, overwrite: bool = False, sketched: bool = False) -> None:
+        """Append rows as they are, or put them in place; `new_rows` makes an append repeatable.
+
+        ``sketched`` says that the Bloom filters know the rows' keys.
+        """
+        if not sketched:
+            self.sketch(name, rows)
         target = self.open(name)
         buckets = self.buckets(name)
         out = rows.select(*target.columns)
