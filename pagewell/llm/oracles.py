@@ -125,12 +125,17 @@ WITH common(lang, list) AS (VALUES
     (CASE WHEN a > 0 THEN a * log2(2 * a / (a + b)) ELSE 0 END
      + CASE WHEN b > 0 THEN b * log2(2 * b / (a + b)) ELSE 0 END) / 2), 0)) AS d
   FROM shares WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL
+), limits AS (  -- three quarters of the distance of a text without common words; o: share of the other words
+  SELECT lang, least(0.34, 0.75 * sqrt((1 - o + log2(2 / (1 + o)) + CASE WHEN o > 0 THEN o * log2(2 * o / (1 + o)) ELSE 0 END) / 2)) AS most
+  FROM (SELECT lang, arg_max(q, i) / sum(q) AS o FROM refs WHERE kind = 'w' GROUP BY lang) WHERE o < 1
 ), judged AS (
-  SELECT b.*, coalesce(c.d, 0) AS cd, coalesce(w.d, 0) AS wd, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed
+  SELECT b.*, coalesce(c.d, 0) AS cd, coalesce(w.d, 0) AS wd, coalesce(most, 0.34) AS word_limit,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed
   FROM bins b LEFT JOIN distances c ON b.r = c.r AND c.kind = 'c' LEFT JOIN distances w ON b.r = w.r AND w.kind = 'w'
+    LEFT JOIN limits ON b.lang = limits.lang
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
-  NOT failed AND NOT (chars >= 200 AND cd > 0.29) AND NOT (n_words >= 120 AND wd > 0.34) AS kept
+  NOT failed AND NOT (chars >= 200 AND cd > 0.29) AND NOT (n_words >= 120 AND wd > word_limit) AS kept
 FROM judged
 """
 

@@ -56,6 +56,9 @@ def clean(rows):
 
     every = [measures(r[1] or "") for r in rows]
     classes, common = (np.sum([m[k] for m in every], 0) for k in (1, 2))
+    none = np.zeros_like(common)
+    none[-1] = 1
+    limit = min(0.34, 0.75 * distance(none, common)) if common[:-1].any() else 0.34
     kept = []
     for row, (words, own_classes, own_common) in zip(rows, every):
         grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -63,7 +66,7 @@ def clean(rows):
         repeated = {i + j for i, g in enumerate(grams) if seen[g] > 1 for j in range(3)}
         failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
         odd = len(row[1] or "") >= 200 and distance(own_classes, classes) > 0.29
-        odd = odd or len(words) >= 120 and distance(own_common, common) > 0.34
+        odd = odd or len(words) >= 120 and distance(own_common, common) > limit
         if not failed and not odd:
             kept.append(row)
     return kept
