@@ -11,9 +11,12 @@ Lists of links are part of the article that holds them.
 Blocks come out in page order, one line each.
 
 Defined results: a null or empty page, and a page without text, give an empty string; markup
-that is never closed is closed at the end of the page; character references are decoded,
+that is never closed ends with the page, and so does a comment without an end (what follows it is
+in the comment); a tag with unbalanced quotes ends at its next ``>``; a paragraph right ahead of the
+chosen article belongs to it; character references are decoded,
 white space inside a block becomes one space; pages of any length and depth are read whole,
-without recursion; repeated rows each give their row; extra columns of any name are carried.
+without recursion; repeated rows each give their row; extra columns are carried, but those named like the two
+results are replaced by them.
 """
 
 from __future__ import annotations
@@ -63,6 +66,9 @@ UNLIKELY = re.compile(
 UNLIKELY_ROLES = frozenset(
     "navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split()
 )
+COMMENT_END = re.compile("--!?>")
+TAG_NAME = re.compile(r"<([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 LIKELY = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 # Of the page's unlinked text, the most that an element can hold to be left out for its name, a
 # thread of comments, and all such elements together beside threads.
@@ -89,7 +95,49 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", None)
         self.open: dict[str, int] = {}
-        self.articles = 0
+        self.checked = -1, -1
+
+    # Pages are fed whole, so markup without an end has none: nothing is searched for twice.
+
+    def check_for_whole_start_tag(self, i: int) -> int:
+        if self.checked[0] != i:
+            self.checked = i, super().check_for_whole_start_tag(i)
+        return self.checked[1]
+
+    def parse_starttag(self, i: int) -> int:
+        end = self.check_for_whole_start_tag(i)
+        if end >= 0 and self.rawdata[end - 1] == ">":
+            return super().parse_starttag(i)
+        end = self.rawdata.find(">", i)
+        if end < 0:
+            return len(self.rawdata)
+        name = TAG_NAME.match(self.rawdata, i, end)
+        found = ATTRIBUTE.findall(self.rawdata[name.end() : end])
+        tag = name[1].lower()
+        self.handle_starttag(tag, [(key.lower(), a or b or c) for key, a, b, c in found])
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
+        return end + 1
+
+    def parse_endtag(self, i: int) -> int:
+        end = super().parse_endtag(i)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        for empty in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(empty, i):
+                return i + len(empty)
+        end = COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        cdata = self.rawdata.startswith("<![CDATA[", i)
+        end = self.rawdata.find("]]>" if cdata else ">", i)
+        return end + (3 if cdata else 1) if end >= 0 else len(self.rawdata)
+
+    def parse_pi(self, i: int) -> int:
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _P_ENDERS and self.open.get("p"):
@@ -273,12 +321,18 @@ def chosen(root: Node) -> list[Node]:
     if up is None or best is root:
         return [best]
     limit = max(10.0, best.points * 0.2)
-    kept = []
+    kept: list[Node] = []
+    lead: list[Node] = []  # prose right ahead of the article
     for c in up.children:
         if not isinstance(c, Node) or c.skipped or c.doubtful and c is not best:
+            if not isinstance(c, str) or c.strip():
+                lead = []
             continue
         prose = c.tag in ("p", "pre", "blockquote") and density(c) < 0.25 and c.length > 80
         heading = c.tag in HEADINGS and density(c) < 0.5
+        if c is best:
+            kept += [n for n in lead if n not in kept]
+        lead = [*lead, c] if prose else []
         if c is best or c.points >= limit and density(c) < 0.33 or (not articles and (prose or heading)):
             kept.append(c)
     return kept
