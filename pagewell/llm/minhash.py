@@ -252,6 +252,30 @@ def _block_by_block(rows: DataFrame, size: Column, query_size: int, member_size:
     return met.applyInArrow(compare, schema)
 
 
+class _Forest:
+    """Groups of nodes that grow together, and the links that joined two of them."""
+
+    def __init__(self, *nodes: np.ndarray):
+        self.nodes = np.unique(np.concatenate(nodes))
+        self.group = np.arange(len(self.nodes))
+        self.a: list[np.ndarray] = []
+        self.b: list[np.ndarray] = []
+
+    def join(self, node: int, others: np.ndarray) -> None:
+        own = self.group[np.searchsorted(self.nodes, node)]
+        groups, first = np.unique(self.group[np.searchsorted(self.nodes, others)], return_index=True)
+        new = groups != own
+        if new.any():
+            found = others[first[new]]
+            self.a.append(np.minimum(found, node))
+            self.b.append(np.maximum(found, node))
+            self.group[np.isin(self.group, groups[new])] = own
+
+    def links(self) -> pa.Table:
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(self.a or none)), "b": pa.array(np.concatenate(self.b or none))})
+
+
 def _near(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     """For each query its number and those of the members that may be linked with it."""
     q_sig, sig = (
@@ -266,10 +290,10 @@ def _near(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _rest_links(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links between different labels in all open buckets, found block by block.
+    """Links (of labels) that join all classes of different labels in an open bucket that are linked.
 
-    By signatures first, which leaves the members that have a similar one. Only these bring their sets
-    along, so pairs are confirmed where they meet and only links leave a block.
+    Blocks of buckets compare signatures. What is similar grows into groups that need not end at a bucket,
+    so a class has one group and brings its set along once; blocks of the groups compare the sets.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,25 +305,23 @@ def _rest_links(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
                 )
 
     def similar(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[np.ndarray] = []
+        asked, members = left["q_class"].to_numpy(), right["class"].to_numpy()
+        forest = _Forest(asked, members)
         if left.num_rows and right.num_rows:
-            asked, members = left["q_class"].to_numpy(), right["class"].to_numpy()
             for i, near in _near(left, right):
                 if len(near):
-                    found += [asked[i : i + 1], members[near]]
-        classes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        key = left["q_key"][0].as_py() if left.num_rows else None
-        return pa.table({"key": pa.array([key] * len(classes), pa.int64()), "class": pa.array(classes)})
+                    forest.join(asked[i], members[near])
+        return forest.links()
 
     def linked(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
+        asked, label = left["q_label"].to_numpy(), right["label"].to_numpy()
+        forest = _Forest(asked, label)
         if left.num_rows and right.num_rows:
             own = [np.frombuffer(x, np.uint64) for x in left["q_set"].to_pylist()]
             theirs = [np.frombuffer(x, np.uint64) for x in right["set"].to_pylist()]
             size = np.array([len(x) for x in theirs])
             known, ids = np.unique(np.concatenate(theirs), return_inverse=True)
             bags = np.split(ids, np.cumsum(size)[:-1])
-            asked, members = left["q_class"].to_numpy(), right["class"].to_numpy()
             for i, near in _near(left, right):
                 if len(near):
                     bag = own[i]
@@ -309,25 +331,23 @@ def _rest_links(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
                     hits = mark[np.concatenate([bags[j] for j in near])]
                     both = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
                     good = near[100 * both >= THRESHOLD * (size[near] + len(bag) - both)]
-                    found += [(int(asked[i]), int(members[j])) for j in good]
-        return pa.table(
-            {
-                "a": pa.array([min(x) for x in found], pa.int64()),
-                "b": pa.array([max(x) for x in found], pa.int64()),
-            }
-        )
+                    if len(good):
+                        forest.join(asked[i], label[good])
+        return forest.links()
 
     rows = written(rows.join(classes.select("class", "sig", "n_shingles"), "class"), "open-signatures")
-    close = _block_by_block(rows, F.lit(1), QUERIES, MEMBERS, similar, "key bigint, class bigint")
-    signed_rows, rows = rows, written(rows.join(close.distinct(), ["key", "class"]), "close-members")
-    discard(signed_rows)
-    open_texts = texts.join(rows.select("class").distinct(), "class").select("class", "text")
+    close = written(_block_by_block(rows, F.lit(1), QUERIES, MEMBERS, similar, "a bigint, b bigint"), "similar")
+    groups = components(close)
+    own = rows.select("class", "label", "sig", "n_shingles").dropDuplicates(["class"])
+    members = written(groups.select(F.col("node").alias("class"), F.col("label").alias("key")).join(own, "class"), "groups")
+    discard(rows, close, groups)
+    open_texts = texts.join(members.select("class"), "class").select("class", "text")
     bags = written(open_texts.mapInArrow(sets, "class bigint, set binary"), "open-sets")
     links = _block_by_block(
-        rows.join(bags, "class"), F.col("n_shingles"), QUERY_SIZE, MEMBER_SIZE, linked, "a bigint, b bigint"
+        members.join(bags, "class"), F.col("n_shingles"), QUERY_SIZE, MEMBER_SIZE, linked, "a bigint, b bigint"
     )
     links = written(links.distinct(), "links")
-    discard(rows, bags)
+    discard(members, bags)
     return links
 
 
