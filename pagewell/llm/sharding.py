@@ -3,7 +3,8 @@
 Records are hashed into a fixed number of slots, the bytes of each slot are added up, and a
 versioned table maps slots to shards. Rebalancing writes a new version of the map, edited
 in few slots; records never change their slot. All tables but the records have one row
-per slot, so their size is a parameter.
+per slot, so their size is a parameter. The records themselves, with all their columns, are stored
+by shard; they are shuffled once, by virtual slot, so there are at most as many files as slots.
 
 Law of this method: ``bytes`` - the shards' sizes are near equal: the heaviest slot goes to
 the lightest shard, and so on.
@@ -11,8 +12,8 @@ the lightest shard, and so on.
 Defined results: a null text is empty; a null id counts as an id of its own, told apart by
 the text's checksum; repeated rows share a slot and get places of their own; equal loads
 go to the lower shard, equal slots to the lower slot number first; an empty table gives
-an empty result; extra columns of any name are carried as they are by ``place`` and not
-read otherwise.
+an empty result; all columns of a record, whatever their names, are carried in the struct ``doc``;
+texts of any length are carried whole.
 """
 
 from __future__ import annotations
@@ -37,10 +38,13 @@ def slot_of(doc_id: Column, crc: Column, slots: int = SLOTS) -> Column:
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of every row."""
+    """doc_id, size, text_crc32, virtual slot and the whole record ``doc`` of every row."""
     crc = F.crc32(F.encode(text_or_empty(), "UTF-8"))
     df = docs.select(
-        "doc_id", record_size(F.col("text").cast("string")).alias("size"), crc.alias("text_crc32")
+        "doc_id",
+        record_size(F.col("text").cast("string")).alias("size"),
+        crc.alias("text_crc32"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
     )
     return df.withColumn("vslot", slot_of(F.col("doc_id"), F.col("text_crc32"), slots))
 
@@ -145,7 +149,16 @@ def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def sharded(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """Every record with its shard, and the stored map (version 1, partitioned by version)."""
-    records = written(sized(docs, slots), "shard-records")
+    """The stored records (partitioned by shard), and the stored map (version 1, partitioned by version).
+
+    The documents are read twice, for the slots' bytes and for the records, rather than copied in between.
+    """
+    records = sized(docs, slots)
     slot_map = written(initial_map(slot_bytes(records), shards), "slot-map", "version")
-    return place(records, slot_map), slot_map
+    return written(place(records, slot_map), "shards", "shard"), slot_map
+
+
+def resharded(stored: DataFrame, slot_map: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """The stored records by the map's next version, and that version; records keep their virtual slot."""
+    new_map = written(rebalanced(slot_map, shards), "slot-map", "version")
+    return written(place(stored.drop("shard", "slot"), new_map), "shards", "shard"), new_map
