@@ -3,7 +3,7 @@
 Documents become token sequences, an end token each, and only those longer than a sequence
 are cut. All patterns of two pieces and a spread of those of three that fill a sequence
 exactly are weighted by non-negative least squares against the histogram, rounded to whole
-repeats, and what is left is packed best-fit, again by lengths and counts. Histogram,
+repeats by largest remainder, and what is left is packed best-fit, again by lengths and counts. Histogram,
 patterns and plan are bounded by the sequence length, whatever the corpus; the pieces
 stay in Spark. A piece's place follows from its rank among the pieces of its length.
 
@@ -31,7 +31,7 @@ LENGTH = 2048
 END = 0
 TRIPLES = 24  # partners tried for the longest piece of a three-piece pattern
 STEPS = 600
-SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1)
+SHARES = (1.0, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5)  # of the fitted repeats, tried for the rounding
 GROUP_ROWS = 100_000
 
 
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None,
                         size.append(hi - lo)
                         crc.append(zlib.crc32(piece))
                         if ids:
-                            values.append(np.frombuffer(piece, "<u4").astype(np.int32))
+                            values.append(piece)
                         lo, hi, k = hi, hi + length, k + 1
                 columns = {
                     "doc_id": part.column("doc_id").take(pa.array(row, pa.int64())),
@@ -71,7 +71,9 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None,
                     "ids_crc32": pa.array(crc, pa.int64()),
                 }
                 if ids:
-                    columns["ids"] = pa.array(values, pa.list_(pa.int32()))
+                    flat = np.frombuffer(b"".join(values), "<i4")
+                    ends = np.cumsum([0, *size], dtype=np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_pydict(columns)
 
     text = F.col("text").cast("string").alias("text")
@@ -165,34 +167,52 @@ def best_fit(histogram: np.ndarray, total: int) -> list[Pattern]:
 def plan(histogram: np.ndarray, total: int = LENGTH) -> list[Pattern]:
     """Patterns whose repeats use up the histogram exactly (index: length).
 
-    The fit may leave lengths that go badly together, so smaller shares of it are tried as
-    well, and the plan with the fewest sequences is taken.
+    The last patterns to be rounded up may leave lengths that go badly together, so rounding
+    is also stopped earlier; of the plans with the fewest sequences the one with the most repeats
+    of fitted patterns is taken.
     """
     left = histogram.astype(np.int64).copy()
     whole = [Pattern((total,), int(left[total]))] if left[total] else []
     left[total] = 0
     patterns = candidate_patterns(np.flatnonzero(left), total)
     repeats = fitted(patterns, left.astype(float))
-    plans = [_rounded(patterns, repeats, left, total, share) for share in SHARES]
-    return whole + min(plans, key=lambda p: sum(x.repeats for x in p))
-
-
-def _rounded(
-    patterns: list[np.ndarray], repeats: list[np.ndarray], histogram: np.ndarray, total: int, share: float
-) -> list[Pattern]:
+    best: list[Pattern] | None = None
+    for share in SHARES:
+        chosen, residual = rounded(patterns, repeats, left, share)
+        found = chosen + best_fit(residual, total)
+        if best is None or sum(p.repeats for p in found) < sum(p.repeats for p in best):
+            best = found
+    return whole + best
+
+
+def rounded(
+    patterns: list[np.ndarray], weights: list[np.ndarray], histogram: np.ndarray, share: float
+) -> tuple[list[Pattern], np.ndarray]:
+    """Whole repeats by largest remainder, up to ``share`` of the fitted sum, and the lengths left over."""
     left, chosen = histogram.copy(), []
-    for group, weights in zip(patterns, repeats):
-        for at in np.argsort(-weights, kind="stable"):
-            wanted = int(round(weights[at] * share))
-            if not wanted:
-                break
-            needs = np.bincount(group[at], minlength=1)
-            used = np.flatnonzero(needs)
-            n = min(wanted, int((left[used] // needs[used]).min()))
-            if n:
-                left[used] -= n * needs[used]
-                chosen.append(Pattern(tuple(int(v) for v in group[at]), n))
-    return chosen + best_fit(left, total)
+    members = [row for group in patterns for row in group]
+    weight = np.concatenate(weights)
+    whole = np.floor(weight).astype(np.int64)
+    goal, used = int(share * weight.sum()), 0
+
+    def take(at: int, wanted: int) -> int:
+        needs = np.bincount(members[at], minlength=1)
+        lengths = np.flatnonzero(needs)
+        n = min(wanted, int((left[lengths] // needs[lengths]).min()))
+        if n > 0:
+            left[lengths] -= n * needs[lengths]
+            chosen.append(Pattern(tuple(int(v) for v in members[at]), n))
+        return n
+
+    for at in np.argsort(-weight, kind="stable"):
+        if not whole[at]:
+            break
+        used += take(at, int(whole[at]))
+    for at in np.argsort(whole - weight, kind="stable"):
+        if used >= goal:
+            break
+        used += take(at, 1)
+    return chosen, left
 
 
 def places(patterns: list[Pattern]) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
