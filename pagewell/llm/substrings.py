@@ -34,7 +34,7 @@ from pagewell.llm.blocks import (
     opened,
     with_answers,
 )
-from pagewell.llm.common import Words, discard, rolling_hash, text_slices, written
+from pagewell.llm.common import Words, discard, mix, rolling_hash, text_slices, written
 
 LENGTH = 35
 SEED = 16
@@ -81,7 +81,10 @@ class Repeats:
             yield at, words, starts, _anchors(words, starts, self.length, self.seed)
 
     def anchors(self, block: dict) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Distinct anchors; twice if two anchors at different places have this hash."""
+        """Distinct anchors; twice if two anchors at different places have this hash.
+
+        An anchor is the smallest of several hashes; mixed anew, it is as likely in every bucket.
+        """
         found = []
         for _, words, starts, anchors in self.slices(block):
             runs = rolling_hash(words.hash, self.seed)
@@ -93,7 +96,7 @@ class Repeats:
                 np.add.at(marks, np.minimum(starts + self.length - self.seed + 1, len(words.hash)), -1)
                 inside = np.cumsum(marks)[: len(runs)] > 0
                 here = inside & np.isin(runs, anchors)
-            found.append(runs[here])
+            found.append(mix(runs[here]))
         return _counted(found)
 
     def candidates(self, block: dict) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray]]:
@@ -101,7 +104,7 @@ class Repeats:
         asked_keys, _ = self.anchors(block)
         repeated = asked_keys[joined(block["anchors"], 0, "?")]
         for at, words, starts, anchors in self.slices(block):
-            starts = starts[np.isin(anchors, repeated)]
+            starts = starts[np.isin(mix(anchors), repeated)]
             yield at, words, starts, rolling_hash(words.hash, self.length)[starts] if len(starts) else starts.astype(
                 np.uint64
             )
