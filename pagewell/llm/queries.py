@@ -62,7 +62,7 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
-    packed = packing.packed(read(spark, folder, "documents"), ids=False)
+    packed = packing.packed(read(spark, folder, "documents"))
     return packed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
@@ -74,7 +74,7 @@ def op5_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
-    done = substrings.deduplicated(read(spark, folder, "documents"), "doc_id", texts=False)
+    done = substrings.deduplicated(read(spark, folder, "documents"), "doc_id")
     return done.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
