@@ -396,6 +396,18 @@ every AS (SELECT * FROM q UNION ALL SELECT item_id, text FROM benchmark)
 SELECT query_id, answer, key IS NOT NULL AS hit
 FROM every LEFT JOIN cache ON key = md5(trim(lower(text)))"""
 
+MEASURED = """
+measured AS (
+  SELECT doc_id, chunk_no, length(chunk_text) AS chars,
+         length(chunk_text) - length(replace(chunk_text, ' ', '')) + 1 AS blanks,
+         length(chunk_text) - length(replace(chunk_text, '.', '')) AS stops FROM chunks)"""
+MEASURES = """
+SELECT doc_id, chunk_no, CAST(chars AS INTEGER) AS chars, CAST(blanks AS INTEGER) AS blanks,
+       CAST(stops AS INTEGER) AS stops,
+       round(sqrt((chars * chars + blanks * blanks + stops * stops)::DOUBLE), 3) AS norm
+FROM measured"""
+
+
 ORACLES = {
     "S1_recursive_folder_scan": LINES.format(where=""),
     "S2_flat_folder_scan": LINES.format(where=" WHERE lang = 'en'"),
@@ -464,18 +476,12 @@ FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)""",
         VECTORS,
         body="SELECT doc_id, chunk_no, place, round(x, 2) AS x FROM vec WHERE round(x, 2) > 0",
     ),
-    "T6_encoder_slot": with_(
-        chunk_ctes(1024, 200),
-        """
-measured AS (
-  SELECT doc_id, chunk_no, length(chunk_text) AS chars,
-         length(chunk_text) - length(replace(chunk_text, ' ', '')) + 1 AS blanks,
-         length(chunk_text) - length(replace(chunk_text, '.', '')) AS stops FROM chunks)""",
-        body="""
-SELECT doc_id, chunk_no, CAST(chars AS INTEGER) AS chars, CAST(blanks AS INTEGER) AS blanks,
-       CAST(stops AS INTEGER) AS stops,
-       round(sqrt((chars * chars + blanks * blanks + stops * stops)::DOUBLE), 3) AS norm
-FROM measured""",
+    "T6_encoder_slot": with_(chunk_ctes(1024, 200), MEASURED, body=MEASURES),
+    "T3_T6_sql_functions": with_(f"chunks AS ({packed(1024, 200)})", MEASURED, body=MEASURES),
+    "T1_S6_sql_functions": with_(
+        f"documents AS (SELECT page_id AS doc_id, {page_text_sql('html')} AS text FROM pages)",
+        CHUNKS,
+        body="SELECT doc_id AS page_id, chunk_no, n_tokens, md5(chunk_text) AS text_md5 FROM chunks",
     ),
     "T7_unit_vectors": with_(
         UNIT,

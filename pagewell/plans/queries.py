@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewell.functions import sql
 from pagewell.functions import text as tx
 from pagewell.functions import vectors as vx
 from pagewell.operators import answers as an
@@ -380,6 +381,38 @@ def encoder_slot(spark, folder):
     )
 
 
+@query("T3_T6_sql_functions")
+def sql_functions(spark, folder):
+    """Documents cut into sentences and embedded by functions of SQL alone."""
+    sql.register(spark, load_encoder=length_encoder)
+    return spark.sql(
+        """
+        SELECT doc_id, chunk_no, CAST(embedding[0] AS INT) AS chars, CAST(embedding[1] AS INT) AS blanks,
+               CAST(embedding[2] AS INT) AS stops, round(norm, 3) AS norm
+        FROM embed_chunks(TABLE(
+          SELECT d.doc_id, c.chunk_no, c.chunk_text,
+                 pmod(xxhash64(d.doc_id, c.chunk_no), 4096) AS part
+          FROM {docs} d, LATERAL sentence_chunks(d.text, {size}, {overlap}) c) PARTITION BY part)
+        """,
+        docs=tables.documents(spark, folder),
+        size=SENTENCE_SIZE,
+        overlap=SENTENCE_OVERLAP,
+    )
+
+
+@query("T1_S6_sql_functions")
+def native_sql_functions(spark, folder):
+    """The text of all pages, cut into windows: functions written in SQL, without Python."""
+    sql.register(spark)
+    return spark.sql(
+        """
+        SELECT p.page_id, c.chunk_no, c.n_tokens, md5(c.chunk_text) AS text_md5
+        FROM (SELECT page_id, page_text(html) AS body FROM {pages}) p, LATERAL fixed_chunks(p.body, 128, 28) c
+        """,
+        pages=spread(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html"), "page_id"),
+    )
+
+
 @query("T7_unit_vectors")
 def unit_vectors(spark, folder):
     rows = embedding.with_norm(embedding_rows(spark, folder))
