@@ -32,7 +32,7 @@ END = 0
 TRIPLES = 24  # partners tried for the longest piece of a three-piece pattern
 STEPS = 600
 SHARES = (1.0, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5)  # of the fitted repeats, tried for the rounding
-GROUP_ROWS = 100_000
+GROUP_ROWS = 2_000  # pieces of one length that are numbered together
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, ids: bool = True) -> DataFrame:
@@ -250,11 +250,11 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None,
     for row in counts:
         histogram[row["length"]] = row["count"]
     look_up = places(plan(histogram, length))
-    # Ranks: numbered inside groups of bounded size, moved by the sizes of the groups before.
-    groups = max(1, -(-int(histogram.sum()) // GROUP_ROWS))
-    cut = cut.withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int")
-    )
+    # Ranks: numbered inside groups of bounded size, moved by the sizes of the groups before. A frequent
+    # length has more groups, so there are at most ``length`` groups more than pieces need.
+    groups = np.maximum(1, -(-histogram[1:] // GROUP_ROWS))
+    own = F.element_at(F.lit(groups.tolist()), F.col("length").cast("int"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), own).cast("int"))
     sizes = cut.groupBy("length", "part").count()
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
