@@ -126,6 +126,9 @@ def features_of(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.n
     runs = np.zeros(len(data) + 1, np.int64)
     if len(data) > 2:
         same = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
+        for back in (1, 2):  # runs end with their text
+            across = np.asarray(offsets[1:-1], np.int64) - back
+            same[across[(across >= 0) & (across < len(same))]] = False
         runs[3:] = np.cumsum(same)
     question = np.concatenate([[0], np.cumsum(data == ord("?"))])
     columns = [
