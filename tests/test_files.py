@@ -90,3 +90,20 @@ def test_files_added_between_two_runs_are_read_once(spark, store, tmp_path):
     (tmp_path / "a.txt").write_text("first file, changed")
     os.utime(tmp_path / "a.txt", (2_000_000_000, 2_000_000_000))
     assert run(work_dir(spark, "log")) == ["first file, changed", "second file"]  # a new checkpoint sees it
+
+
+def test_written_files_are_those_of_sparks_writer(spark, tmp_path):
+    langs = ["en", "de", None, "", "a/b=c%d e"]
+    rows = spark.createDataFrame([(langs[i % 5], None if i == 3 else f"t\u00e9xt {i}\nmore") for i in range(20)], "lang string, text string")
+    rows.write.partitionBy("lang").option("maxRecordsPerFile", 1).option("compression", "none").text(str(tmp_path / "spark"))
+    files.write_each(rows, f"file://{tmp_path}/ours", by="lang")
+    files.write_each(rows.select("text"), str(tmp_path / "packed"), packed=True)
+
+    def found(folder):
+        out = [(str(p.parent.relative_to(tmp_path / folder)), p.read_bytes()) for p in (tmp_path / folder).rglob("*.txt")]
+        return sorted(out)
+
+    assert found("ours") == found("spark") and len(found("ours")) == 20
+    assert not list((tmp_path / "ours").rglob("*.crc"))  # nor a process for each
+    texts = sorted(gzip.decompress(p.read_bytes()) for p in (tmp_path / "packed").glob("*.txt.gz"))
+    assert texts == sorted(t for _, t in found("spark"))
