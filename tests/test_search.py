@@ -232,3 +232,35 @@ def test_intermediate_tables_of_a_search_are_removed(spark, monkeypatch):
         assert postings.search(listed, terms, 3, Limits(plain_pairs=0)).count() == 12
         assert [name.split("-")[0] for name in os.listdir(place)] == ["hits"]
     assert os.listdir(place) == []
+
+
+def test_posting_lists_hold_every_chunk_once(spark):
+    rows = [(i, c, ["a"] * (i % 3) + ["b", f"t{i % 4}"] if i % 5 else None if i % 2 else [], i % 2) for i in range(40) for c in range(2)]
+    rows.append((None, None, ["a", "a", "b"], 0))
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_no int, tokens array<string>, part int").repartition(3)
+    want = sorted(
+        repr((t, d, c, tokens.count(t), len(tokens), part)) for d, c, tokens, part in rows for t in set(tokens or [])
+    )
+    packed = postings.lists(chunks, "part")
+    got = postings.unpacked(packed).select("token", "doc_id", "chunk_no", "tf", "length", "part").collect()
+    assert sorted(repr(tuple(r)) for r in got) == want
+    assert packed.count() < len(want) / 3  # a token of many chunks is one row of a batch
+    counted = lexical.list_frequencies(postings.lists(chunks))
+    assert sorted(counted.collect()) == sorted(lexical.term_frequencies(postings.postings(chunks)).collect())
+
+
+def test_blocks_of_chunks_give_the_plain_sums(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_POSTINGS", 50)  # read on the driver: many blocks
+    texts, chunks = corpus(spark)
+    chunks = chunks.unionByName(chunks.filter("doc_id % 7 = 0")).unionByName(
+        chunks.filter("doc_id % 9 = 1").withColumn("doc_id", F.lit(None).cast("long"))
+    )  # keys that repeat or are null
+    _, asked = random_questions(spark, 30)
+    asked = asked.unionByName(asked.filter("query_id < 3")).unionByName(asked.limit(1).withColumn("query_id", F.lit(None).cast("long")))
+    listed = postings.postings(chunks)
+    terms = lexical.question_terms(asked, lexical.term_frequencies(listed), lexical.chunk_totals(chunks))
+    for k in (1, 5):
+        plain = postings.search(listed, terms, k).collect()
+        blocks = postings.search(listed, terms, k, Limits(plain_pairs=0)).collect()
+        shape = lambda rows: sorted((str(r["query_id"]), r["rank"], str(r["doc_id"]), r["chunk_no"], r["score"]) for r in rows)
+        assert shape(plain) == shape(blocks) and len(blocks) > 20
