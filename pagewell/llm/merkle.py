@@ -166,12 +166,10 @@ def climbed(start: DataFrame, nodes: DataFrame, span: int) -> DataFrame:
     A step's row carries its own siblings alone; they are put together per leaf at the end.
     """
     spark = start.sparkSession
-    start.createOrReplaceTempView("merkle_start")
-    nodes.createOrReplaceTempView("merkle_nodes")
-    query = _CLIMB.format(start="merkle_start", nodes="merkle_nodes", span=span)
     steps = F.sort_array(F.collect_list(F.struct("step", "siblings", "folded")))
     with _set(spark, **{ROW_LIMIT: "-1"}):  # the recursion ends at the root, whatever the number of rows
-        ends = spark.sql(query).groupBy("row").agg(steps.alias("steps"))
+        climb = spark.sql(_CLIMB, start=start, nodes=nodes, span=span)  # leaves no view behind
+        ends = climb.groupBy("row").agg(steps.alias("steps"))
         siblings = F.expr("aggregate(steps, CAST('' AS BINARY), (a, s) -> concat(a, s.siblings))")
         return written(
             ends.select(
