@@ -3,57 +3,30 @@
 from __future__ import annotations
 
 import base64
-import re
-
-import numpy as np
 
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json
 SPECIAL = {"<|endoftext|>": 50256}
-# Remembered chunks per Python worker; bounds memory and has no effect on results.
-CACHE_ENTRIES = 300_000
-
-_BESIDE_SPACE = re.compile(r" \s|\s ")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Encoder(dict):
+class Encoder:
     """Text to little-endian 32-bit ids, as bytes.
 
-    The vocabulary's pattern always ends a piece before a single space between two
-    characters that are no space, so a text may be cut there and its chunks are looked up.
+    A text is encoded in one call. Remembered words do not pay: a call for each word that is not
+    among them costs more than all others save, unless nearly every word of the corpus is.
     """
 
     def __init__(self, path: str | None = None, pattern: str | None = None):
         import public_tokenizers
         import tiktoken
 
-        super().__init__()
         with open(path or public_tokenizers.path(VOCABULARY), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._encoding = tiktoken.Encoding(
             "given", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL
         )
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self._encoding.encode(chunk, allowed_special="all")
-        found = np.array(ids, "<u4").tobytes()
-        if len(self) < CACHE_ENTRIES and len(chunk) < 64:
-            self[chunk] = found
-        return found
-
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _BESIDE_SPACE.search(text):
-            chunks = _CUT.split(text)
-        else:
-            chunks = text.split(" ")
-            if not chunks[-1]:  # a space at the end, or at the start, has no neighbour
-                chunks[-2:] = [chunks[-2] + " "]
-            if not chunks[0] and len(chunks) > 1:
-                chunks[:2] = [" " + chunks[1]]
-        first, *rest = chunks
-        return self[first] + b"".join(map(self.__getitem__, [" " + c for c in rest]))
+        return self._encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 _encoders: dict[str | None, Encoder] = {}

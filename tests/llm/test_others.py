@@ -122,6 +122,18 @@ def test_packed_round_trip(frame):
     assert packing.packed(frame([])).count() == 0
 
 
+def test_a_text_is_encoded_in_one_call(monkeypatch):
+    """The cost of a text of words never seen before does not depend on how many they are."""
+    rng, calls = random.Random(5), []
+    text = " ".join("".join(rng.choices("abcdeé\n", k=9)) for _ in range(500)) + "  <|endoftext|> "
+    own = encoder()
+    whole = own._encoding
+    fake = type("Counted", (), {name: lambda _, t, _n=name, **k: calls.append(t) or getattr(whole, _n)(t, **k) for name in ("encode", "encode_to_numpy")})
+    monkeypatch.setattr(own, "_encoding", fake())
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, allowed_special="all")
+    assert calls == [text]
+
+
 # ---- extraction ------------------------------------------------------------------------
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
