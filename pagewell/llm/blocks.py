@@ -23,6 +23,7 @@ from pagewell.llm.common import written
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 24 << 20  # text per bucket of keys
 BATCH_ROWS = 4
+SUMMARY = -1  # the block that summaries of buckets are answers to
 
 
 def block_schema(row: StructType) -> StructType:
@@ -120,11 +121,13 @@ def answered(
     kinds: Sequence[str],
     answer: Callable[[np.ndarray, list[np.ndarray]], Sequence[np.ndarray]],
     label: str,
+    summary: Callable[[Sequence[np.ndarray]], np.ndarray] | None = None,
 ) -> DataFrame:
     """block and ``label``: for each bucket it asked, in order, the arrays that ``answer`` gives.
 
     ``answer`` gets a bucket's keys, block after block, and the arrays sent along them; it
-    returns arrays of the same length.
+    returns arrays of the same length. ``summary`` gets these and returns one small array for the whole
+    bucket; such arrays are the answers of a further block ``SUMMARY``.
     """
 
     def reply(table: pa.Table) -> pa.Table:
@@ -135,13 +138,16 @@ def answered(
         ]
         cuts = np.cumsum([0, *map(len, keys)])
         found = answer(np.concatenate(keys), values)
+        blocks, buckets = table["block"].to_pylist(), table["bucket"].to_pylist()
+        arrays = [[f[a:b].tobytes() for f in found] for a, b in zip(cuts, cuts[1:])]
+        if summary:
+            blocks, buckets = [*blocks, SUMMARY], [*buckets, buckets[0]]
+            arrays.append([summary(found).tobytes()])
         return pa.table(
             {
-                "block": table["block"],
-                "bucket": table["bucket"],
-                "arrays": pa.array(
-                    [[f[a:b].tobytes() for f in found] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.binary())
-                ),
+                "block": pa.array(blocks, pa.int64()),
+                "bucket": pa.array(buckets, pa.int32()),
+                "arrays": pa.array(arrays, pa.list_(pa.binary())),
             }
         )
 

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from pagewell.llm.blocks import (
     BATCH_ROWS,
+    SUMMARY,
     answered,
     asked,
     blocked,
@@ -126,19 +127,12 @@ def _counts(keys: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
     return [sums[at], owner]
 
 
-def _tallied(part: pa.Table) -> pa.Table:
-    """Of a bucket's n-grams: how many have each count 1 .. K + 1, at 0 how many there are, at -1 their sum."""
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in part["keys"].to_pylist()])
-    values = np.concatenate([np.frombuffer(row[0], np.int64) for row in part["values"].to_pylist()])
-    counts, owner = _counts(keys, [values])
+def _tallied(found: list[np.ndarray]) -> np.ndarray:
+    """Of a bucket's n-grams: the sum of their counts, how many there are, and how many have each count 1 .. K + 1."""
+    counts, owner = found
     counts = counts[owner]
     few = np.bincount(counts[counts <= K + 1], minlength=K + 2)
-    return pa.table(
-        {
-            "r": pa.array([-1, 0, *range(1, K + 2)], pa.int64()),
-            "n": pa.array([int(counts.sum()), len(counts), *few[1:].tolist()], pa.int64()),
-        }
-    )
+    return np.array([counts.sum(), len(counts), *few[1:]], np.int64)
 
 
 class Scorer:
@@ -238,17 +232,20 @@ class Model:
         return written(rows, label, "bucket", batch_rows=BATCH_ROWS)
 
     def _count(self, n: int) -> None:
-        # Asked anew for answers, tallies and table rather than kept: the questions are large.
+        # Asked anew for the table rather than kept: the questions are large. Answers and tallies come from
+        # one asking, as each shuffles all of them.
         messages = asked(self.blocks, _grams_asked(self.order, n), self.buckets)
-        answers = answered(messages, "l", _counts, f"counts{n}")
-        self.answers.append(written(answers, f"counts-{n}", batch_rows=BATCH_ROWS))
-        tallies = messages.groupBy("bucket").applyInArrow(_tallied, "r bigint, n bigint")
-        # K + 3 rows.
-        found = {row["r"]: row["n"] for row in tallies.groupBy("r").agg(F.sum("n").alias("n")).collect()}
+        answers = answered(messages, "l", _counts, f"counts{n}", _tallied)
+        answers = written(answers, f"counts-{n}", batch_rows=BATCH_ROWS)
+        self.answers.append(answers)
+        # One row of K + 3 numbers for each bucket.
+        rows = answers.filter(F.col("block") == SUMMARY).first()
+        found = sum((np.frombuffer(a[0], np.int64) for a in rows[1]), np.zeros(K + 3, np.int64)) if rows else np.zeros(K + 3)
+        tokens, distinct, *few = map(int, found)
         if n == 1:
-            self.totals.distinct, self.totals.tokens = found.get(0, 0), found.get(-1, 0)
+            self.totals.distinct, self.totals.tokens = distinct, tokens
         else:
-            self.totals.discounts.append(discounts(found))
+            self.totals.discounts.append(discounts(dict(enumerate(few, 1))))
 
     def store_counts(self) -> None:
         """The tables of n-grams; written last, as nothing here reads them."""

@@ -323,6 +323,18 @@ def test_katz_against_recursion(frame, order):
             assert abs(mass - 1) < 1e-9
 
 
+def test_katz_tallies_come_with_the_counts(frame):
+    """Answers and tallies come from one asking: the questions of all blocks are shuffled once."""
+    docs = frame([(1, "a b a"), (2, "b a c"), (3, "b a")]).withColumn("held_out", F.lit(False))
+    blocks = katz.blocked(docs, "held_out", limit=6)
+    messages = katz.asked(blocks, katz._grams_asked(1, 1), 4)
+    rows = {r["block"]: r["n"] for r in katz.answered(messages, "l", katz._counts, "n", katz._tallied).collect()}
+    assert len(rows) == blocks.count() + 1 > 2
+    tallies = sum(np.frombuffer(bucket[0], np.int64) for bucket in rows.pop(katz.SUMMARY))
+    # a 4 times, b and the end 3 times, c once
+    assert tallies.tolist() == [11, 4, 1, 0, 2, 1, 0, 0]
+
+
 def test_katz_without_training(frame):
     docs = frame([(1, "a b"), (2, None)]).withColumn("is_held", F.lit(True))
     assert all(r["n_known"] == 0 and r["score"] == 0 for r in katz.Model(docs, "is_held").scored().collect())
