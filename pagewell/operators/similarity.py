@@ -70,6 +70,7 @@ def cosine_top_k(
         keys,
         F.size("embedding"),
         limits,
+        dim=dim,
     )
 
 
@@ -129,21 +130,17 @@ def with_probes(df: DataFrame, bits: int, dim: int, probes: int) -> DataFrame:
 
 
 def celled_scorer(dim: int):
-    """Cosine, but each question meets only the chunks of the cells it visits.
-
-    In a grid task all chunks and questions already share the cell.
-    """
-    plain = cosine_scorer(dim)
+    """Cosine, but each question meets only the chunks of the cells it visits."""
 
     def prepare(block: pa.Table):
-        if "probes" not in block.column_names:
-            return plain(block)
         questions, q = matrix(block.column("embedding").combine_chunks(), dim)
         probes, owner = list_rows(block.column("probes").combine_chunks())
         probes = np.asarray(probes)
         position = np.full(block.num_rows, -1)
         position[questions] = np.arange(len(questions))
-        visitors = {c: position[owner[probes == c]] for c in np.unique(probes)}
+        by_cell = np.argsort(probes, kind="stable")
+        visited, firsts = np.unique(probes[by_cell], return_index=True)
+        visitors = dict(zip(visited, np.split(position[owner[by_cell]], firsts[1:])))
 
         def score(batch: pa.RecordBatch) -> Iterator[Scored]:
             rows, x = matrix(batch.column("embedding"), dim)
@@ -211,4 +208,5 @@ def celled_top_k(
         F.size("embedding") + F.size("probes"),
         limits,
         cells=("cell", "probes"),
+        dim=dim,
     )

@@ -454,9 +454,10 @@ def learned_cells(spark, folder):
     asked = vector_questions(rows)
     near = cells.learned_top_k(celled, asked, 5, learned, 0.25, ["vec_id"]).select("query_id", "vec_id")
     exact = cosine_top_k(rows, asked, 5, VECTOR_DIM, ["vec_id"]).select("query_id", "vec_id")
-    visited = cells.with_visited_cells(asked, learned, 0.25).select("query_id", F.explode("probes").alias("cell"))
+    visited = cells.with_visited_cells(asked, learned, 0.25).select(F.explode("probes").alias("cell"))
+    visited = visited.groupBy("cell").agg(F.count(F.lit(1)).alias("visits"))  # a row per cell is shuffled, not one per visit
     sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    read = visited.join(sizes, "cell").agg(F.sum("n").alias("read"))
+    read = visited.join(sizes, "cell").agg(F.sum(F.col("n") * F.col("visits")).alias("read"))
     both = near.withColumn("hit", F.lit(1)).join(exact, ["query_id", "vec_id"], "right")
     recall = both.agg(F.count_distinct("query_id").alias("questions"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
     return recall.crossJoin(read).select(  # one row each

@@ -3,10 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagewell.operators import chunking, lexical, postings
+from pagewell.operators import blockscan, chunking, lexical, postings
 from pagewell.operators.blockscan import Limits
 from pagewell.operators.similarity import approx_top_k, cosine_top_k, with_cell
 
@@ -93,6 +94,17 @@ def test_grid_and_scan_agree_when_visiting_some_cells(spark, hot):
     assert found(approx_top_k(stored, questions(c), 4, 8, 3, 3, ["vec_id"]), "vec_id") == scan
 
 
+def test_a_grid_copies_a_question_once_for_each_chunk_group(spark):
+    """Not once for each cell it visits as well, of which there may be thousands."""
+    rows = with_cell(vectors(spark, np.random.default_rng(2).normal(size=(60, 8))), 4, 8)
+    ask = questions(rows).withColumn("probes", F.sequence(F.lit(0), F.lit(15)))
+    seen = blockscan.grid(rows, ask, Limits(block_rows=7, group_rows=30), ("cell", "probes"), ["vec_id"], 8).applyInArrow(
+        lambda left, right: pa.table({"chunks": [left.num_rows], "asked": [right.num_rows]}), "chunks long, asked long"
+    ).collect()
+    n_qg, n_cg = 2, max(2, -(-spark.sparkContext.defaultParallelism // 2))
+    assert sum(r["asked"] for r in seen) == 60 * n_cg and sum(r["chunks"] for r in seen) == 60 * n_qg
+
+
 def recall(df, k, dim, bits, probes):
     pairs = lambda hits: {(r["query_id"], r["vec_id"]) for r in hits.collect()}
     exact = pairs(cosine_top_k(df, questions(df), k, dim, ["vec_id"]))
