@@ -86,6 +86,49 @@ def _edges(buckets: int) -> np.ndarray:
     return np.array([b * 2**64 // buckets for b in range(1, buckets)], np.uint64)
 
 
+# ---- keys and arrays as bytes, in as few as hold them: most of what is shuffled and stored ----
+
+NARROW = [np.dtype(t) for t in (np.uint8, np.uint16, np.uint32)]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """An array for `unpacked`: whole numbers in the narrowest type that holds all of them, truths as bits."""
+    if values.dtype == bool:
+        return np.packbits(values).tobytes() + bytes([-len(values) % 8]) + b"?"
+    if values.dtype.kind == "i" and len(values) and values.min() >= 0:
+        top = values.max()
+        values = values.astype(next((t for t in NARROW if top <= np.iinfo(t).max), values.dtype), copy=False)
+    return values.tobytes() + values.dtype.char.encode()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    kind = np.dtype(chr(data[-1]))
+    if kind == bool:
+        bits = np.frombuffer(data, np.uint8, len(data) - 2)
+        return np.unpackbits(bits, count=8 * len(bits) - data[-2]).view(bool)
+    return np.frombuffer(data, kind, (len(data) - 1) // kind.itemsize)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the steps between them, first all lowest bytes, then all next ones.
+
+    The highest bytes of the steps between many keys are zeros, which compression takes away.
+    """
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def received(messages: pa.Table, kinds: Sequence[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The keys of each message, and the arrays of these ``kinds`` along all of them."""
+    keys = [unpacked_keys(k) for k in messages["keys"].to_pylist()]
+    sent = messages["values"].to_pylist()
+    return keys, [np.concatenate([unpacked(row[j]) for row in sent], dtype=kind) for j, kind in enumerate(kinds)]
+
+
 Asked = tuple[np.ndarray, Sequence[np.ndarray]]  # distinct sorted keys, and arrays along them
 
 
@@ -104,9 +147,9 @@ def asked(blocks: DataFrame, ask: Callable[[dict], Asked], buckets: int) -> Data
                     [
                         pa.array(full, pa.int32()),
                         pa.array(np.full(len(full), row["block"]), pa.int64()),
-                        pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
+                        pa.array([packed_keys(keys[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
                         pa.array(
-                            [[v[cuts[b] : cuts[b + 1]].tobytes() for v in values] for b in full],
+                            [[packed(v[cuts[b] : cuts[b + 1]]) for v in values] for b in full],
                             pa.list_(pa.binary()),
                         ),
                     ],
@@ -131,15 +174,11 @@ def answered(
     """
 
     def reply(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
-        sent = table["values"].to_pylist()
-        values = [
-            np.concatenate([np.frombuffer(row[j], kind) for row in sent]) for j, kind in enumerate(kinds)
-        ]
+        keys, values = received(table, kinds)
         cuts = np.cumsum([0, *map(len, keys)])
         found = answer(np.concatenate(keys), values)
         blocks, buckets = table["block"].to_pylist(), table["bucket"].to_pylist()
-        arrays = [[f[a:b].tobytes() for f in found] for a, b in zip(cuts, cuts[1:])]
+        arrays = [[packed(f[a:b]) for f in found] for a, b in zip(cuts, cuts[1:])]
         if summary:
             blocks, buckets = [*blocks, SUMMARY], [*buckets, buckets[0]]
             arrays.append([summary(found).tobytes()])
@@ -177,4 +216,4 @@ def opened(batch: pa.RecordBatch, i: int) -> dict:
 
 def joined(answers: list[list[bytes]], at: int, kind: str) -> np.ndarray:
     """One of the arrays of all buckets' answers, along the keys that were asked."""
-    return np.frombuffer(b"".join(a[at] for a in answers), kind)
+    return np.concatenate([np.zeros(0, kind), *[unpacked(a[at]) for a in answers]], dtype=kind)

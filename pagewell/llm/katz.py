@@ -44,6 +44,7 @@ from pagewell.llm.blocks import (
     joined,
     with_answers,
     opened,
+    received,
 )
 from pagewell.llm.common import Words, discard, mix, sequence_hash, text_slices, written
 
@@ -169,7 +170,8 @@ class Scorer:
         at, counts = at[owner], counts[owner]
         shorter = self.probabilities(n - 1)[owner]
         parts = (counts, self.discounted(n, counts), shorter)
-        return keys, [np.bincount(at, p, len(keys)).astype(float) for p in parts]
+        count, *others = (np.bincount(at, p, len(keys)).astype(float) for p in parts)
+        return keys, [count.astype(np.int64), *others]
 
 
 def _weights(keys: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
@@ -180,7 +182,7 @@ def _weights(keys: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
     with np.errstate(divide="ignore", invalid="ignore"):
         alpha = (1 - mass / total) / (1 - shorter)
     total[count == 0] = 0
-    return [total[at], np.where(count > 0, alpha, 1.0)[at]]
+    return [total.astype(np.int64)[at], np.where(count > 0, alpha, 1.0)[at]]
 
 
 def discounts(counts_of_counts: dict[int, int]) -> np.ndarray:
@@ -216,15 +218,14 @@ class Model:
         """The model's table: a row per bucket, with the sums of its distinct keys as arrays."""
 
         def table(part: pa.Table) -> pa.Table:
-            keys = np.concatenate([np.frombuffer(k, np.uint64) for k in part["keys"].to_pylist()])
-            sent = part["values"].to_pylist()
-            values = [np.concatenate([np.frombuffer(row[j], kind) for row in sent]) for j, kind in enumerate(kinds)]
+            keys, values = received(part, kinds)
+            keys = np.concatenate(keys)
             distinct, first = np.unique(keys, return_index=True)
             found = [x[first] for x in combine(keys, values)]
             used = found[0] > 0
             columns = {"bucket": part["bucket"].slice(0, 1), "keys": pa.array([distinct[used].view(np.int64)])}
             for name, column in zip(names, found):
-                columns[name] = pa.array([column[used]])
+                columns[name] = pa.array([column[used]], pa.list_(pa.int64() if name == "counts" else pa.float64()))
             return pa.table(columns)
 
         fields = ", ".join(f"{n} array<{'bigint' if n == 'counts' else 'double'}>" for n in names)
@@ -257,9 +258,9 @@ class Model:
         order, totals = self.order, self.totals
         messages = asked(self._known(), lambda row: Scorer(row, order, totals).sums(n), self.buckets)
         messages = written(messages, f"contexts-{n}", batch_rows=BATCH_ROWS)
-        self.answers.append(written(answered(messages, "ddd", _weights, f"contexts{n}"), f"weights-{n}"))
+        self.answers.append(written(answered(messages, "ldd", _weights, f"contexts{n}"), f"weights-{n}"))
         self.tables[f"contexts{n}"] = self._store(
-            messages, "ddd", ["totals", "alphas"], _weights, f"model-contexts-{n}"
+            messages, "ldd", ["totals", "alphas"], _weights, f"model-contexts-{n}"
         )
         discard(messages)
 
