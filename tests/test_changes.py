@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewell.operators import postings
+from pagewell.plans import answering
 from pagewell.plans.answering import Index, IndexSettings, build_index
-from pagewell.session import work_dir
+from pagewell.session import settings, work_dir
 from pagewell.sources.collections import Collections
 from pagewell.streaming.ingest import change_stream, ingest_changes
 
@@ -111,3 +112,26 @@ def test_changes_need_parts(spark, store):
         index.upsert(changes(spark, [(1, "x", 1, False)]))
     with pytest.raises(ValueError):
         store.begin("x", 3, buckets=2, parted=True)
+
+
+def test_the_collection_is_not_shuffled_to_find_changed_documents(spark, store, monkeypatch):
+    """However large the changes are: their ids travel, and only rows that stay are stored on the way."""
+    state = dict(enumerate(texts(5, 30)))
+    index = build_index(docs(spark, state), store, "c", SETTINGS)
+    plans, rows, write = {}, {}, answering.stored
+
+    def seen(df, label, *args, **kwargs):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        out = write(df, label, *args, **kwargs)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(answering, "stored", seen)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        index.upsert(changes(spark, [(i, "changed whale", 1, False) for i in range(20)]))
+    kept = index.chunks.filter("doc_id >= 20").count()
+    for label in ("removed", "kept"):
+        assert "BroadcastHashJoin" in plans[label] and "Exchange hashpartitioning" not in plans[label]
+    assert rows["kept"] == kept and "rewritten" not in rows and "embedding" not in plans["removed"]
+    state |= {i: "changed whale" for i in range(20)}
+    assert contents(index) == contents(build_index(docs(spark, state), store, "d", SETTINGS))
