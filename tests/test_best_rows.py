@@ -75,3 +75,9 @@ def test_a_block_is_scored_as_by_sums(monkeypatch, cells):
     assert [r[:3] for r in found] == [r[:3] for r in sorted(want)]
     assert np.allclose([r[3] for r in found], [r[3] for r in sorted(want)], atol=1e-9)
     assert sum(rounded) < 2 * 7 * 40
+
+
+def test_rounding_takes_whole_numbers_and_nothing():
+    assert blockscan.round_scores(np.bincount([], [], minlength=2)).tolist() == [0, 0]
+    assert blockscan.round_scores(np.array([])).tolist() == []
+    assert blockscan.round_scores(np.array([0.00005, -0.00005, 1.23456])).tolist() == [0.0001, -0.0001, 1.2346]
