@@ -73,7 +73,7 @@ def blocked(docs: DataFrame, *keep: str, limit: int = BLOCK_BYTES) -> DataFrame:
             yield block()
 
     return written(
-        source.mapInArrow(pack, block_schema(source.schema["row"].dataType)), "blocks"
+        source.mapInArrow(pack, block_schema(source.schema["row"].dataType)), "blocks", group_rows=BATCH_ROWS
     )
 
 

@@ -22,6 +22,7 @@ SPACES = " \t\n\x0b\f\r"
 # Shuffle files of a query that ends in a table are not needed after it.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+GROUP_ROWS = "parquet.block.row.count.limit"
 
 
 @contextmanager
@@ -39,17 +40,21 @@ def _set(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def written(df: DataFrame, label: str, *partitions: str, batch_rows: int | None = None) -> DataFrame:
+def written(
+    df: DataFrame, label: str, *partitions: str, batch_rows: int | None = None, group_rows: int | None = None
+) -> DataFrame:
     """The rows, written once to the shared folder and read back: cuts lineage, survives lost executors.
 
-    ``batch_rows`` bounds the rows of an Arrow batch, for tables of large rows.
+    ``batch_rows`` bounds the rows of an Arrow batch, for tables of large rows. ``group_rows`` bounds those of
+    a row group: a scan holds up to 4,096 rows of one at once, and the writer looks at their size only after 100.
     """
     spark = df.sparkSession
     ship_package(spark)
     place = work_dir(spark, label)
     settings = {CLEANUP: "true"} | ({ARROW_ROWS: str(batch_rows)} if batch_rows else {})
+    groups = {GROUP_ROWS: str(group_rows)} if group_rows else {}
     with _set(spark, **settings):
-        df.write.option("compression", "zstd").partitionBy(*partitions).parquet(place)
+        df.write.options(compression="zstd", **groups).partitionBy(*partitions).parquet(place)
     table = spark.read.schema(df.schema).parquet(place)
     table.place = place
     return table

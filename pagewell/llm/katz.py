@@ -237,7 +237,7 @@ class Model:
         # one asking, as each shuffles all of them.
         messages = asked(self.blocks, _grams_asked(self.order, n), self.buckets)
         answers = answered(messages, "l", _counts, f"counts{n}", _tallied)
-        answers = written(answers, f"counts-{n}", batch_rows=BATCH_ROWS)
+        answers = written(answers, f"counts-{n}", batch_rows=BATCH_ROWS, group_rows=BATCH_ROWS)
         self.answers.append(answers)
         # One row of K + 3 numbers for each bucket.
         rows = answers.filter(F.col("block") == SUMMARY).first()
@@ -257,8 +257,10 @@ class Model:
     def _weigh(self, n: int) -> None:
         order, totals = self.order, self.totals
         messages = asked(self._known(), lambda row: Scorer(row, order, totals).sums(n), self.buckets)
-        messages = written(messages, f"contexts-{n}", batch_rows=BATCH_ROWS)
-        self.answers.append(written(answered(messages, "ldd", _weights, f"contexts{n}"), f"weights-{n}"))
+        # A block sends a message to each bucket.
+        messages = written(messages, f"contexts-{n}", batch_rows=BATCH_ROWS, group_rows=BATCH_ROWS * self.buckets)
+        weights = answered(messages, "ldd", _weights, f"contexts{n}")
+        self.answers.append(written(weights, f"weights-{n}", group_rows=BATCH_ROWS))
         self.tables[f"contexts{n}"] = self._store(
             messages, "ldd", ["totals", "alphas"], _weights, f"model-contexts-{n}"
         )

@@ -145,10 +145,11 @@ def deduplicated(
     blocks = blocked(docs, *keep)
     buckets = buckets_for(blocks)
     anchors = answered(asked(blocks, repeats.anchors, buckets), "?", _elsewhere, "anchors")
-    anchors = written(anchors, "anchor-answers", batch_rows=BATCH_ROWS)
+    anchors = written(anchors, "anchor-answers", batch_rows=BATCH_ROWS, group_rows=BATCH_ROWS)
     messages = asked(with_answers(blocks, anchors), repeats.windows, buckets)
-    messages = written(messages, "window-questions", batch_rows=BATCH_ROWS)
-    windows = written(answered(messages, "?", _elsewhere, "windows"), "window-answers")
+    # A block sends a message to each bucket.
+    messages = written(messages, "window-questions", batch_rows=BATCH_ROWS, group_rows=BATCH_ROWS * buckets)
+    windows = written(answered(messages, "?", _elsewhere, "windows"), "window-answers", group_rows=BATCH_ROWS)
     discard(messages)
     row = blocks.schema["rows"].dataType.elementType
     schema = blocks.select().schema.add("row", row).add("n_words", "long").add("n_removed", "long")

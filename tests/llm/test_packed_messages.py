@@ -37,3 +37,17 @@ def test_few_bytes_are_sent(frame):
     got = blocks.answered(blocks.asked(docs, lambda row: (keys, [counts, truths]), 7), "l?", lambda k, v: v, "a").first()["a"]
     assert blocks.joined(got, 0, np.int64).tolist() == counts.tolist()
     assert blocks.joined(got, 1, "?").tolist() == truths.tolist()
+
+
+def test_few_blocks_are_in_a_row_group(frame):
+    """A scan holds the rows of a row group at once, so large rows stand in small groups."""
+    from urllib.parse import urlsplit
+
+    import pyarrow.dataset as ds
+
+    docs = frame([(i, "word " * 20) for i in range(90)]).coalesce(1)
+    table = blocks.blocked(docs, "doc_id", limit=1)
+    answers = blocks.answered(blocks.asked(table, lambda row: (np.arange(9, dtype=np.uint64), []), 3), "", lambda k, v: [k], "a")
+    for place, least in ((table.place, 90), (blocks.written(answers, "answers", group_rows=4).place, 90)):
+        rows = [g.num_rows for f in ds.dataset(urlsplit(place).path).get_fragments() for g in f.row_groups]
+        assert sum(rows) == least and max(rows) <= 4
