@@ -107,3 +107,53 @@ def test_written_files_are_those_of_sparks_writer(spark, tmp_path):
     assert not list((tmp_path / "ours").rglob("*.crc"))  # nor a process for each
     texts = sorted(gzip.decompress(p.read_bytes()) for p in (tmp_path / "packed").glob("*.txt.gz"))
     assert texts == sorted(t for _, t in found("spark"))
+
+
+def odd_tree(tmp_path):
+    names = ["a b%20.txt", "_x.txt", "_x=1.txt", ".h", "sub/_s=2/q.txt", "sub/_hid/z", "sub/.hid/z", "_metadata", "sub/_metadata/in.txt",
+             "c._COPYING_", "é+&.PDF", "sub/deep/er/x.pdf", "lang=__HIVE_DEFAULT_PARTITION__/p.txt", "empty.txt"]
+    for name in names:
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"" if name == "empty.txt" else name.encode())
+    os.symlink(tmp_path / "nowhere", tmp_path / "in" / "broken")
+    os.symlink(tmp_path / "in" / "sub" / "deep", tmp_path / "in" / "linked")
+    return f"{tmp_path}/in"
+
+
+def test_a_scanned_tree_has_the_rows_of_sparks_reader(spark, tmp_path):
+    folder = odd_tree(tmp_path)
+    for place in (folder, f"file://{folder}/", f"{folder}/../in"):
+        for suffix in (None, "*.pdf", "*.{txt,PDF}", "?[b ]*"):
+            reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            want = (reader.option("pathGlobFilter", suffix) if suffix else reader).load(place)
+            got = files.scan_folder(spark, place, suffix=suffix)
+            assert got.schema.simpleString() == want.schema.simpleString()
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_scan_does_not_list_the_files_in_the_driver(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    scanned = files.scan_folder(spark, str(tmp_path))
+    assert scanned.count() == 300
+    assert len(scanned.inputFiles()) < 50  # those of the stored listing
+
+
+def test_a_large_file_is_a_batch_of_its_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "READ_BYTES", 10)
+    monkeypatch.setattr(files, "TASK_FILES", 4)
+    texts = ["x" * (1 + 7 * (i % 4)) for i in range(30)]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_text(text)
+    got = files.decode_text(files.scan_folder(spark, str(tmp_path)))
+    assert sorted(r["text"] for r in got.collect()) == sorted(texts)
+
+
+def test_no_extractor_reads_anothers_files(spark, tmp_path):
+    for name in ("a.txt", "b.bin"):
+        (tmp_path / name).write_text(name)
+    got = files.extract(files.scan_folder(spark, str(tmp_path)), {".txt": files.decode_text}, rest=None)
+    os.remove(tmp_path / "b.bin")
+    assert [r["text"] for r in got.collect()] == ["a.txt"]
+    assert not any(path.endswith(".txt") for path in got.inputFiles())  # they are not listed in the driver
