@@ -157,3 +157,17 @@ def test_no_extractor_reads_anothers_files(spark, tmp_path):
     os.remove(tmp_path / "b.bin")
     assert [r["text"] for r in got.collect()] == ["a.txt"]
     assert not any(path.endswith(".txt") for path in got.inputFiles())  # they are not listed in the driver
+
+
+def test_a_stream_of_small_files_is_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    seen = []
+    stream = files.folder_stream(spark, str(tmp_path))
+    out = stream.writeStream.foreachBatch(lambda batch, _: seen.append((batch.count(), batch.rdd.getNumPartitions())))
+    from pagewell.session import work_dir
+
+    out.option("checkpointLocation", work_dir(spark, "log")).trigger(availableNow=True).start().awaitTermination()
+    assert sum(n for n, _ in seen) == 300 and max(tasks for _, tasks in seen) <= 8  # not one for each 32 files
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
